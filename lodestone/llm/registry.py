@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import quality_model, quality_rules, secret_scan
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
+    "op5_quality_rules": quality_rules.op5,
+    "op10_quality_classifier": quality_model.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
