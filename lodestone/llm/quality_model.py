@@ -2,7 +2,7 @@
 
 Fitting needs only counts, sums and cross products of the transformed statistics for each class;
 workers add them up, so the driver sees two small matrices. Class covariances are shrunk towards
-their diagonal; scores are the logistic of the difference of the two Gaussian log densities, from
+the mean of both diagonals; scores are the logistic of the difference of the two Gaussian log densities, from
 Cholesky factors that are computed once and travel with the task. Scoring is one pass, no shuffle.
 
 Labelled rows: at most ``Fit.most`` ids of each class (smallest id hash), never held-out ones. Without
@@ -47,14 +47,16 @@ STATISTICS = (
 
 
 def statistics(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Transformed statistics, one row for each document: logs of counts, roots of shares."""
+    """Transformed statistics, one row for each document: logs of counts, roots of shares. Shares have
+    pseudo-counts below, so that a few characters or lines are not taken for a whole text's habit."""
     starts, ends, first = K.words(raw, offs)
     n = np.diff(first).astype(float)
-    at_least = np.maximum(n, 1)
+    at_least = n + 20
     points = K.code_points(raw)
-    chars = np.maximum(K.per_document(points & ~K._SPACE[raw], offs).astype(float), 1)
+    body = np.maximum(K.per_document(points & ~K._SPACE[raw], offs).astype(float), 1)
+    chars = body + 100
     share = lambda flags: K.per_document(flags[raw], offs) / chars
-    letters = np.maximum(K.per_document(_LETTER[raw], offs), 1)
+    letters = K.per_document(_LETTER[raw], offs) + 100
     hashes = K.span_hashes(raw, starts, ends)
     doc = K.document_of(first)
 
@@ -64,18 +66,18 @@ def statistics(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     _, old = K.repeated(K.within(hashes, doc))
-    distinct = at_least - K.per_document(old, first)
+    distinct = n - K.per_document(old, first)
     length = ends - starts
 
     l_start, l_end, _ = K.lines(raw, offs)
     l_first = np.searchsorted(l_start, offs)
-    n_lines = np.maximum(np.diff(l_first), 1)
+    n_lines = np.diff(l_first) + 4
     _, dup = K.repeated(K.within(K.span_hashes(raw, l_start, l_end), K.document_of(l_first)))
     open_end = ~_ends_sentence(raw, l_end) if len(l_end) else np.zeros(0, bool)
     return np.column_stack([
-        np.log1p(n), np.log(np.maximum(chars / at_least, 0.5)), np.sqrt(share(_SYMBOL)), np.sqrt(K.per_document(_UPPER[raw], offs) / letters),
+        np.log1p(n), np.log((body + 100) / at_least), np.sqrt(share(_SYMBOL)), np.sqrt(K.per_document(_UPPER[raw], offs) / letters),
         np.sqrt(share(_DIGIT)), np.sqrt(share(_BANG)), np.sqrt(share(_PUNCT)), np.sqrt(repeats), np.sqrt(K.per_document(same, first) / at_least),
-        np.log(np.maximum(distinct, 1)) - 0.85 * np.log(at_least), np.sqrt(K.per_document(dup, l_first) / n_lines), np.sqrt(K.per_document(open_end, l_first) / n_lines),
+        np.log(distinct + 20) - 0.85 * np.log(at_least), np.sqrt(K.per_document(dup, l_first) / n_lines), np.sqrt(K.per_document(open_end, l_first) / n_lines),
         np.log1p(n / n_lines), np.sqrt(K.per_document(length >= 14, first) / at_least), np.sqrt(K.per_document(length <= 2, first) / at_least),
     ])
 
@@ -103,10 +105,10 @@ def solve(n: np.ndarray, sums: np.ndarray, cross: np.ndarray, fit: Fit = Fit())
     means, whiten, offsets = [], [], []
     p = sums.shape[1]
     within = [cross[c] / n[c] - np.outer(sums[c] / n[c], sums[c] / n[c]) for c in (0, 1)]
-    pooled = (n[0] * within[0] + n[1] * within[1]) / n.sum()
+    target = np.diag(np.diag(within[0] + within[1]) / 2)  # lends each class some of the other's spread: heavier tails
     for c in (0, 1):
-        a = min(1.0, fit.shrinkage + p / (n[c] + p))  # few rows: closer to the pooled diagonal
-        cov = (1 - a) * within[c] + a * np.diag((np.diag(within[c]) * n[c] + np.diag(pooled) * p) / (n[c] + p)) + fit.ridge * np.eye(p)
+        a = min(1.0, fit.shrinkage + p / (n[c] + p))  # few rows: closer to the diagonal
+        cov = (1 - a) * within[c] + a * target + fit.ridge * np.eye(p)
         factor = np.linalg.cholesky(cov)
         means.append(sums[c] / n[c])
         whiten.append(np.linalg.inv(factor))
