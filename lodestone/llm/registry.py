@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_model, quality_rules, secret_scan
+from . import quality_model, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
     "op5_quality_rules": quality_rules.op5,
+    "op6_toxicity": toxicity.op6,
     "op10_quality_classifier": quality_model.op10,
 }
 
