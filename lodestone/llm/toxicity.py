@@ -5,14 +5,14 @@ tied to the label (log-likelihood ratio and purity over both classes). Its trie,
 automaton of words within ``max_edits`` edits, becomes one deterministic automaton by subset
 construction; all words of a batch run through its transition array in lockstep. Misspellings that
 also occur in clean training texts are ordinary words and are left out. Each hit weighs by its term's
-purity, less when misspelt, and by a window of words around it: quotation marks or reporting verbs
-without a second person lower it, a second person raises it. The score is
-``base + (1 - base) * (1 - exp(-RATE * evidence))``, ``base`` the label's share in texts without a hit.
+log odds, less when misspelt, and by a window of words around it: quotation marks or reporting verbs
+without a second person lower it, a second person raises it. The score is a logistic function of the
+summed evidence, its density and the text's length, fitted on the same rows with a pull to ``PRIOR``.
 
 Bounds: at most ``Lexicon.most`` labelled ids of each class and ``Lexicon.terms`` terms; never held-out
 rows. Scoring is one pass over whole texts without a shuffle. Nulls: a null text is empty, a null id is
 carried along with a null ``held_out``. Repeated rows are scored alike; an empty table gives none; without
-labels the lexicon is empty and all scores are 0.
+labels the lexicon is empty and all scores are the same low one.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ from .state import written
 REPORTING = {"said", "says", "called", "wrote", "quoted", "quote", "term", "word", "phrase", "dit", "sagte", "dijo", "zitat", "citation", "cita"}
 SECOND_PERSON = {"you", "your", "you're", "youre", "ur", "du", "dich", "dein", "tu", "te", "toi", "ton", "eres"}
 QUOTES = "\"'“”‘’«»„"
-RATE = math.log(10)
+#: Coefficients without data: constant, evidence in pure hits, density, log of the length.
+PRIOR = (-4.0, 4.0, 1.0, 0.0)
+PURE = 7.0  # log odds of a term as good as never seen in clean texts
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,7 @@ class Lexicon:
     terms: int = 2_000
     least: int = 4
     likelihood: float = 20.0
-    impurity: float = 0.05
+    impurity: float = 0.15
     stems: tuple[int, int] = (4, 8)
     max_edits: int = 1
     fuzzy_length: int = 5
@@ -95,7 +97,7 @@ class Matcher:
     final: np.ndarray
     terms: tuple[str, ...]
     weights: np.ndarray
-    base: float
+    curve: tuple[float, ...]
     ordinary: frozenset
     lexicon: Lexicon
 
@@ -121,7 +123,7 @@ class Matcher:
         return words[order], states[order]
 
 
-def build_matcher(weights: dict[str, float], base: float = 0.0, ordinary: frozenset = frozenset(), lexicon: Lexicon = Lexicon()) -> Matcher:
+def build_matcher(weights: dict[str, float], curve: tuple[float, ...] = PRIOR, ordinary: frozenset = frozenset(), lexicon: Lexicon = Lexicon()) -> Matcher:
     """The lexicon trie (a term ending in ``*`` is a stem) intersected with Levenshtein automata of its longer words."""
     terms = sorted(weights)
     child: list[dict[str, int]] = [{}, {}]  # node 0: all terms as they are; node 1: terms that may be misspelt
@@ -200,7 +202,7 @@ def build_matcher(weights: dict[str, float], base: float = 0.0, ordinary: frozen
                 order.append(to)
             row.append(index[to])
         table.append(row or [0] * (len(letters) + 1))
-    return Matcher(np.array(table, np.int32), symbol, np.array(found), np.array(fuzzy), np.array(final), tuple(terms), np.array([0.0] + [weights[t] for t in terms]), base, ordinary, lexicon)
+    return Matcher(np.array(table, np.int32), symbol, np.array(found), np.array(fuzzy), np.array(final), tuple(terms), np.array([0.0] + [weights[t] for t in terms]), curve, ordinary, lexicon)
 
 
 def _context(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: int, lo: int, hi: int, bounds: tuple[int, int], lexicon: Lexicon) -> float:
@@ -215,28 +217,43 @@ def _context(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: in
     return lexicon.quoted if marks or around & REPORTING else 1.0
 
 
-def evidence(m: Matcher, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(evidence, number of hits) of each document of a chunk."""
+def evidence(m: Matcher, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(evidence in pure hits, number of hits, number of words) of each document of a chunk."""
     lowered, starts, ends, first, bounds = code_words(raw, offs)
     total, hits = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1, np.int64)
-    if not len(m.terms):
-        return total, hits
-    words, states = m.match(lowered, starts, ends)
-    docs = np.searchsorted(first, words, "right") - 1
-    for word, state, doc in zip(words.tolist(), states.tolist(), docs.tolist(), strict=True):
-        weight = m.weights[m.found[state]]
-        if m.fuzzy[state]:
-            if spell(lowered, int(starts[word]), int(ends[word])) in m.ordinary:
-                continue
-            weight *= m.lexicon.fuzzy_weight
-        hits[doc] += 1
-        if total[doc] < 20:  # the score is 1 to 9 places from here on
+    if len(m.terms):
+        words, states = m.match(lowered, starts, ends)
+        docs = np.searchsorted(first, words, "right") - 1
+        for word, state, doc in zip(words.tolist(), states.tolist(), docs.tolist(), strict=True):
+            weight = m.weights[m.found[state]]
+            if m.fuzzy[state]:
+                if spell(lowered, int(starts[word]), int(ends[word])) in m.ordinary:
+                    continue
+                weight *= m.lexicon.fuzzy_weight
+            hits[doc] += 1
             total[doc] += weight * _context(lowered, starts, ends, word, int(first[doc]), int(first[doc + 1]), (int(bounds[doc]), int(bounds[doc + 1])), m.lexicon)
-    return total, hits
+    return total, hits, np.diff(first)
+
+
+def _terms_of(total: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(total)), np.minimum(total, 10), np.log1p(100 * total / (n_words + 30)), np.log1p(n_words) * (total > 0)])
 
 
-def score_of(m: Matcher, total: np.ndarray) -> np.ndarray:
-    return np.round(m.base + (1 - m.base) * (1 - np.exp(-RATE * total)), 9)
+def score_of(m: Matcher, total: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return np.round(1 / (1 + np.exp(-np.clip(_terms_of(total, n_words) @ np.array(m.curve), -500, 500))), 9)
+
+
+def fit_curve(total: np.ndarray, n_words: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic coefficients by Newton steps, with a quadratic pull of weight 1 to ``PRIOR``."""
+    x, prior = _terms_of(total, n_words), np.array(PRIOR)
+    beta = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(beta)), x.T @ (p - y) + beta - prior)
+        beta = beta - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return tuple(np.round(beta, 9).tolist())
 
 
 def learn(rows: DataFrame, lexicon: Lexicon = Lexicon()) -> Matcher:
@@ -260,27 +277,25 @@ def learn(rows: DataFrame, lexicon: Lexicon = Lexicon()) -> Matcher:
     counted = written(rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "terms")
     whole = counted.where("term = ''").first()
     if not whole or not whole.pos or not whole.neg:
-        return build_matcher({}, 0.0, frozenset(), lexicon)
+        return build_matcher({}, PRIOR, frozenset(), lexicon)
     n_pos, n_neg = whole.pos, whole.neg
     share = (F.col("pos") + F.col("neg")) / F.lit(float(n_pos + n_neg))
     part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
     ratio = 2 * (part(F.col("pos"), share * n_pos) + part(F.col("neg"), share * n_neg))
     rates = (F.col("neg") / n_neg) / (F.col("pos") / n_pos)
     best = counted.where((F.col("term") != "") & (F.col("pos") >= lexicon.least)).withColumn("ratio", ratio).where((F.col("ratio") >= lexicon.likelihood) & (rates <= lexicon.impurity))
-    picked = {r.term: (r.pos, r.neg) for r in best.orderBy(F.desc("ratio"), "term").limit(4 * lexicon.terms).collect()}  # bounded by the parameter
+    picked = {r.term: (r.pos, r.neg, r.ratio) for r in best.orderBy(F.desc("ratio"), "term").limit(4 * lexicon.terms).collect()}  # bounded by the parameter
 
     kept: dict[str, float] = {}
-    for t in sorted(picked, key=lambda t: (len(t.rstrip("*")), t)):
-        pos, neg = picked[t]
+    for t in sorted(picked, key=lambda t: (-picked[t][2], t.endswith("*"), -len(t), t)):
         body = t.rstrip("*")
-        if any(body[:n] + "*" in kept for n in range(lo, len(body) + 1)):
-            continue  # a shorter stem has it
-        if t.endswith("*") and any(x != t and x.rstrip("*").startswith(body) and p >= 0.9 * pos for x, (p, _) in picked.items()):
-            continue  # one continuation makes up the stem: the longer term is the better one
-        kept[t] = round(pos / n_pos / (pos / n_pos + 3 * neg / n_neg), 6)
-    kept = dict(sorted(kept.items(), key=lambda x: (-picked[x[0]][0], x[0]))[: lexicon.terms])
-
-    rough = build_matcher(kept, 0.0, frozenset(), lexicon)
+        if any(body[:n] + "*" in kept for n in range(lo, len(body) + 1)) or t.endswith("*") and any(x.startswith(body) for x in kept):
+            continue  # of nested terms, the one that tells most about the label
+        pos, neg, _ = picked[t]
+        kept[t] = round(min(PURE, math.log(pos / n_pos / ((neg + 0.5) / n_neg))) / PURE, 6)
+    kept = {t: w for t, w in list(kept.items())[: lexicon.terms] if w > 0}
+
+    rough = build_matcher(kept, PRIOR, frozenset(), lexicon)
     near = frozenset()
     if rough.fuzzy.any():
 
@@ -291,19 +306,16 @@ def learn(rows: DataFrame, lexicon: Lexicon = Lexicon()) -> Matcher:
                 yield pa.record_batch([pa.array([spell(lowered, int(starts[w]), int(ends[w])) for w, s in zip(words, states, strict=True) if rough.fuzzy[s]], pa.string())], names=["term"])
 
         near = frozenset(r.term for r in counted.where("neg > 0 and term != '' and term not like '%*'").select("term").mapInArrow(ordinary, "term string").distinct().collect())  # near a lexicon of bounded size, from a bounded sample
-    rough = build_matcher(kept, 0.0, near, lexicon)
+    rough = build_matcher(kept, PRIOR, near, lexicon)
 
-    def silent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(2, np.int64)
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offs in K.chunks(batches, "__text"):
-            none = evidence(rough, raw, offs)[1] == 0
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            n += [int((none & (y == 0)).sum()), int((none & (y == 1)).sum())]
-        yield pa.record_batch([pa.array([n[0]]), pa.array([n[1]])], names=["neg", "pos"])
+            total, _, n_words = evidence(rough, raw, offs)
+            yield pa.record_batch([pa.array(total), pa.array(n_words), batch.column(1)], names=["total", "n_words", "label"])
 
-    quiet = rows.mapInArrow(silent, "neg long, pos long").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).first()
-    base = (quiet.pos + 0.1) / (quiet.pos + quiet.neg + 1)
-    return build_matcher(kept, round(min(base, 0.5), 6), near, lexicon)
+    x = rows.mapInArrow(measured, "total double, n_words long, label int").groupBy("total", "n_words", "label").count().collect()  # of the bounded sample
+    x = np.array([tuple(r)[:3] for r in sorted(x) for _ in range(min(r[3], 1000))])
+    return build_matcher(kept, fit_curve(x[:, 0], x[:, 1], x[:, 2]), near, lexicon)
 
 
 def score_documents(docs: DataFrame, matcher: Matcher, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,8 +323,8 @@ def score_documents(docs: DataFrame, matcher: Matcher, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offs in K.chunks(batches, "__text"):
-            total, hits = evidence(matcher, raw, offs)
-            yield pa.record_batch([batch.column(0), pa.array(score_of(matcher, total)), pa.array(hits)], names=[id_col, "score", "hits"])
+            total, hits, n_words = evidence(matcher, raw, offs)
+            yield pa.record_batch([batch.column(0), pa.array(score_of(matcher, total, n_words)), pa.array(hits)], names=[id_col, "score", "hits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, score double, hits long")
@@ -323,7 +335,8 @@ def keep_clean(docs: DataFrame, matcher: Matcher, text_col: str = "text", thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offs in K.chunks(batches, text_col):
-            yield batch.filter(pa.array(score_of(matcher, evidence(matcher, raw, offs)[0]) < threshold))
+            total, _, n_words = evidence(matcher, raw, offs)
+            yield batch.filter(pa.array(score_of(matcher, total, n_words) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
