@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_model, quality_rules, secret_scan, toxicity
+from . import mixing, quality_model, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
     "op5_quality_rules": quality_rules.op5,
     "op6_toxicity": toxicity.op6,
+    "op7_mixing": mixing.op7,
     "op10_quality_classifier": quality_model.op10,
 }
 
