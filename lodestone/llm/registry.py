@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_model, quality_rules, secret_scan, toxicity
+from . import ann, chat, mixing, quality_model, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
     "op5_quality_rules": quality_rules.op5,
     "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
+    "op8_chat_format": chat.op8,
+    "op9_nearest": ann.op9,
     "op10_quality_classifier": quality_model.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_format": chat.OP8_SQL,
+}
