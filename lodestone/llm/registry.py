@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, quality_model, quality_rules, secret_scan, toxicity
+from . import ann, chat, mixing, near_dedup, quality_model, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
+    "op2_near_dedup": near_dedup.op2,
     "op5_quality_rules": quality_rules.op5,
     "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
