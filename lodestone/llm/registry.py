@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, near_dedup, quality_model, quality_rules, secret_scan, toxicity
+from . import ann, chat, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, tokens, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
     "op2_near_dedup": near_dedup.op2,
+    "op3_token_counts": tokens.op3,
+    "op4_best_fit_packing": packing.op4,
     "op5_quality_rules": quality_rules.op5,
     "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
