@@ -39,7 +39,7 @@ class Mix:
     most: float = 2.0
     block_words: int = 128
     shard_slots: int = 4096
-    bucket_rows: int = 20_000
+    bucket_rows: int = 4_096
     seed: int = 11
 
 
@@ -228,8 +228,8 @@ def taken_blocks(placed: DataFrame, plan: Plan) -> DataFrame:
     b = plan.mix.block_words
     used = slots_of(placed.sparkSession, plan).groupBy("src", "block", "words").agg(F.count("*").alias("uses"))
     end = F.col("start") + F.col("size")
-    segments = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((end - 1) / b))))
-    joined = segments.join(used, ["src", "block"])
+    segments = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))))
+    joined = segments.join(used.hint("merge"), ["src", "block"])  # sizes after explode are unknown to the planner: no broadcast
     lo = F.greatest(F.col("start"), F.col("block") * b)
     hi = F.least(end, F.col("block") * b + F.col("words"))
     return joined.where(hi > lo).select("k1", "k2", "src", "start", "size", (lo - F.col("start")).alias("first"), (hi - lo).alias("n"), "uses")
@@ -258,7 +258,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", sou
     texts = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), *_keys(id_col, source_col, text_col))
     if not placed.groupBy("k1", "k2").count().where("count > 1").isEmpty():  # equal rows: each is laid out by itself, their text is wanted once
         texts = texts.groupBy("k1", "k2").agg(F.first("__row").alias("__row"))
-    joined = picked.join(texts, ["k1", "k2"])
+    joined = picked.hint("merge").join(texts, ["k1", "k2"])
     joined = joined.select(*(F.col("__row")[c].alias(c) for c in names), "parts", F.col("size").alias("__size"))
     at = names.index(text_col)
     schema = T.StructType([f for f in docs.schema.fields])
