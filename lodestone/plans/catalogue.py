@@ -1,4 +1,593 @@
-"""Registered queries over the test tables, each with its independent SQL."""
+"""Registered queries over the test tables, each with its independent SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+``benchmark`` passages are the questions and their evidence, ``documents`` the corpus (a line is a paragraph, ``source`` the
+topic), ``embeddings`` the vectors, ``labels`` verdicts, ``pages`` raw input, ``conversations`` questions, ``events`` the request log.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as X
+from ..operators import chunk, evaluate, ingest, retrieval, state
+from ..streaming import events as log
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# shared pieces of the SQL side
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_TOK = f"""tok AS (SELECT doc_id AS doc, list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '')), '{X.TOKEN}'), lambda t: NOT list_contains([{_STOP}], t)),
+  lambda t: CASE WHEN length(t) > 4 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN substr(t, 1, length(t) - 1) ELSE t END) AS tokens FROM documents)"""
+_QTOK = _TOK.replace("tok AS (SELECT doc_id AS doc", "qtok AS (SELECT item_id AS query").replace("FROM documents", "FROM benchmark")
+_POSTS = "posts AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(tokens) AS term FROM tok) GROUP BY ALL)"
+_CORPUS = "corpus AS (SELECT count(*) AS n, avg(len(tokens)) AS avg_len FROM tok)"
+_TERMS = "terms AS (SELECT term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM posts, corpus GROUP BY term)"
+_QTERMS = "asked AS (SELECT DISTINCT query, unnest(tokens) AS term FROM {q})"
+
+
+def _bm25_sql(name: str, q: str = "qtok", k: int = 10) -> str:
+    return f"""{name}_asked AS (SELECT DISTINCT query, unnest(tokens) AS term FROM {q}),
+{name}_all AS (SELECT query, p.doc, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tokens) / avg_len))), 6) AS score
+  FROM {name}_asked JOIN posts p USING (term) JOIN terms USING (term) JOIN tok ON tok.doc = p.doc, corpus GROUP BY query, p.doc),
+{name} AS (SELECT * FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {name}_all) WHERE rank <= {k})"""
+
+
+_BASE = f"WITH RECURSIVE {_TOK}, {_QTOK}, {_POSTS}, {_CORPUS}, {_TERMS}"
+
+
+# keyword index and search
+
+
+@register(f"WITH {_TOK} SELECT doc AS doc_id, len(tokens)::BIGINT AS n_tokens, len(list_distinct(tokens))::BIGINT AS n_distinct, md5(array_to_string(tokens, ' ')) AS digest FROM tok")
+def tokenize_docs(spark, sf_dir):
+    tok = retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return tok.select(F.col("doc").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@register(f"WITH {_TOK}, {_POSTS} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term")
+def term_document_freq(spark, sf_dir):
+    posts = retrieval.postings(retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@register(f"WITH {_TOK}, {_POSTS}, {_CORPUS}, {_TERMS} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms")
+def bm25_index(spark, sf_dir):
+    tok = retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.term_table(retrieval.postings(tok), retrieval.corpus_stats(tok)).withColumn("idf", F.round("idf", 6))
+
+
+@register(f"WITH {_TOK}, {_CORPUS} SELECT n::BIGINT AS n, round(avg_len, 6) AS avg_len FROM corpus")
+def bm25_corpus_stats(spark, sf_dir):
+    stats = retrieval.corpus_stats(retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return stats.withColumn("avg_len", F.round("avg_len", 6))
+
+
+def _hits(spark, sf_dir, k=10, queries=None):
+    return retrieval.bm25(table(spark, sf_dir, "documents"), queries if queries is not None else table(spark, sf_dir, "benchmark"), k)
+
+
+@register(f"{_BASE}, {_bm25_sql('hits')} SELECT query, doc, score, rank::BIGINT AS rank FROM hits")
+def bm25_topk(spark, sf_dir):
+    return _hits(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
+
+
+_OVERLAP = """over_all AS (SELECT query, doc, round(count(*)::DOUBLE / any_value(m), 6) AS score FROM
+  (SELECT DISTINCT query, unnest(tokens) AS term FROM qtok) JOIN (SELECT DISTINCT doc, term FROM posts) USING (term) JOIN (SELECT query, len(list_distinct(tokens)) AS m FROM qtok) USING (query) GROUP BY query, doc),
+over AS (SELECT * FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM over_all) WHERE rank <= {k})"""
+
+
+@register(f"{_BASE}, {_OVERLAP.format(k=10)} SELECT query, doc, score, rank::BIGINT AS rank FROM over")
+def overlap_topk(spark, sf_dir):
+    return retrieval.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("rank", F.col("rank").cast("long"))
+
+
+_RRF = """{n}_f AS (SELECT query, doc, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score, min(list_no * 1000000 + rank) AS seen FROM ({lists}) GROUP BY query, doc),
+{n} AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen) AS rank FROM {n}_f)"""
+
+
+@register(f"{_BASE}, {_bm25_sql('hits', k=30)}, {_OVERLAP.format(k=30)}, {_RRF.format(n='fused', lists='SELECT query, doc, rank, 0 AS list_no FROM over UNION ALL SELECT query, doc, rank, 1 FROM hits')} SELECT query, doc, score, rank::BIGINT AS rank FROM fused WHERE rank <= 10")
+def rrf_hybrid(spark, sf_dir):
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return retrieval.reciprocal_rank_fusion([retrieval.overlap(docs, asked, 30), retrieval.bm25(docs, asked, 30)], 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+_VARIANTS = "halves AS (SELECT item_id, len(string_split(text, ' ')) AS m, string_split(text, ' ') AS w FROM benchmark)"
+
+
+def _half(part: str, name: str) -> str:
+    return _TOK.replace("tok AS (SELECT doc_id AS doc", f"{name} AS (SELECT item_id AS query").replace("coalesce(text, '')", f"array_to_string({part}, ' ')").replace("FROM documents", "FROM halves")
+
+
+@register(
+    f"""{_BASE}, {_VARIANTS}, {_half('w[:m // 2]', 'q1')}, {_half('w[m // 2 + 1:]', 'q2')}, {_bm25_sql('h0', k=30)}, {_bm25_sql('h1', 'q1', 30)}, {_bm25_sql('h2', 'q2', 30)},
+{_RRF.format(n='fused', lists='SELECT query, doc, rank, 0 AS list_no FROM h0 UNION ALL SELECT query, doc, rank, 1 FROM h1 UNION ALL SELECT query, doc, rank, 2 FROM h2')} SELECT query, doc, score, rank::BIGINT AS rank FROM fused WHERE rank <= 10"""
+)
+def rrf_nested(spark, sf_dir):
+    """Query expansion: the question and its halves each search by themselves, their rankings are fused."""
+    asked = table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " "))
+    half = F.floor(F.size("w") / 2).cast("int")
+    first = asked.withColumn("text", F.array_join(F.slice("w", F.lit(1), half), " "))
+    second = asked.withColumn("text", F.array_join(F.slice("w", half + 1, F.size("w")), " "))
+    depth = retrieval.candidate_depth(10, 5, False, 2, "bm25")
+    return retrieval.reciprocal_rank_fusion([_hits(spark, sf_dir, depth, q) for q in (asked, first, second)], 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(
+    """WITH k AS (SELECT unnest([0, 3, 5, 10, 50]) AS k), r AS (SELECT unnest([false, true]) AS reranks), v AS (SELECT unnest([0, 2]) AS variants)
+SELECT k::BIGINT AS k, reranks, variants::BIGINT AS variants, (CASE WHEN reranks OR variants > 0 THEN greatest(CASE WHEN k = 0 THEN 5 ELSE k END, 30) ELSE CASE WHEN k = 0 THEN 5 ELSE k END END)::BIGINT AS depth FROM k, r, v"""
+)
+def candidate_depth(spark, sf_dir):
+    rows = [(k, r, v, retrieval.candidate_depth(k, 5, r, v, "hybrid")) for k in (0, 3, 5, 10, 50) for r in (False, True) for v in (0, 2)]
+    return spark.createDataFrame(rows, "k long, reranks boolean, variants long, depth long")
+
+
+@register(
+    f"""{_BASE}, {_bm25_sql('hits', k=30)}, {_OVERLAP.format(k=10)}, both_ AS (SELECT h.query, h.doc, a.score, h.rank AS first_stage_rank FROM hits h JOIN over_all a USING (query, doc))
+SELECT query, doc, score, first_stage_rank::BIGINT AS first_stage_rank, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, first_stage_rank) AS rank FROM both_) WHERE rank <= 5"""
+)
+def rerank_lexical(spark, sf_dir):
+    """First stage to depth 30, then a scorer (here the share of shared terms) on the candidates only."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    first = retrieval.bm25(docs, asked, 30)
+    scores = retrieval.overlap(docs, asked, 1 << 30)
+    out = retrieval.rerank(first, scores, 5)
+    return out.select("query", "doc", "score", F.col("first_stage_rank").cast("long").alias("first_stage_rank"), F.col("rank").cast("long").alias("rank"))
+
+
+# dense
+
+
+@register(
+    """WITH c AS (SELECT label, k, avg(embedding[k]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k) GROUP BY label, k), q AS (SELECT label AS query, list(x ORDER BY k) AS vec FROM c GROUP BY label),
+s AS (SELECT query, vec_id AS doc, round(list_dot_product(embedding::DOUBLE[], vec), 6) AS score FROM embeddings, q)
+SELECT query, doc, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10"""
+)
+def dense_topk(spark, sf_dir):
+    """The ten vectors nearest to each label's mean vector, over the whole table."""
+    e = table(spark, sf_dir, "embeddings")
+    means = e.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("x"))
+    asked = means.groupBy(F.col("label").alias("query")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec"))
+    found = retrieval.dense(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), asked)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS total FROM embeddings")
+def dense_normalise(spark, sf_dir):
+    unit = retrieval.normalised_vector(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+# chunks
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+@register(
+    f"""WITH n AS (SELECT doc_id AS doc, len(regexp_extract_all(text, {_WORDS})) AS n FROM documents), c AS (SELECT doc, n, unnest(range(0, CASE WHEN n <= 100 THEN 1 ELSE ceil((n - 100) / 80.0)::BIGINT + 1 END)) AS chunk_no FROM n WHERE n > 0)
+SELECT doc, chunk_no::BIGINT AS chunk_no, (chunk_no * 80)::BIGINT AS "first", least(100, n - chunk_no * 80)::BIGINT AS n_words FROM c"""
+)
+def chunk_fixed_unit(spark, sf_dir):
+    return chunk.fixed_windows(table(spark, sf_dir, "documents"), 100, 20)
+
+
+_LINES = f"""l AS (SELECT doc_id AS doc, i - 1 AS seq, x AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+p AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY seq) AS k, len(regexp_extract_all(line, {_WORDS})) AS t FROM l WHERE trim(line) <> '')"""
+_MERGE = f"""WITH RECURSIVE {_LINES}, r AS (SELECT doc, k, t, t AS total, 0 AS g FROM p WHERE k = 1
+UNION ALL SELECT p.doc, p.k, p.t, CASE WHEN r.total + p.t > 100 THEN p.t ELSE r.total + p.t END, CASE WHEN r.total + p.t > 100 THEN r.g + 1 ELSE r.g END FROM r JOIN p ON p.doc = r.doc AND p.k = r.k + 1),
+chunks AS (SELECT doc, g::BIGINT AS chunk_no, count(*)::BIGINT AS n_pieces, sum(t)::BIGINT AS n_tokens FROM r GROUP BY doc, g)"""
+
+
+@register(f"{_MERGE} SELECT * FROM chunks")
+def chunk_merge_greedy(spark, sf_dir):
+    return chunk.recursive_chunks(table(spark, sf_dir, "documents"), 100)
+
+
+@register(
+    f"""{_MERGE}, s AS (SELECT list(n_tokens ORDER BY n_tokens) AS v FROM chunks)
+SELECT len(v)::BIGINT AS chunks, floor((v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1]) / 2)::BIGINT AS median, v[floor(len(v) * 0.95::DOUBLE)::BIGINT + 1]::BIGINT AS p95, v[len(v)]::BIGINT AS largest, len(list_filter(v, lambda x: x > 512))::BIGINT AS over_512 FROM s"""
+)
+def chunk_stats(spark, sf_dir):
+    return chunk.chunk_stats(chunk.recursive_chunks(table(spark, sf_dir, "documents"), 100))
+
+
+@register(
+    """WITH r AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT conv_id, turn, role, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM r)
+SELECT conv_id, run::BIGINT AS run, any_value(role) AS role, count(*)::BIGINT AS n, min(turn) AS first_turn FROM g GROUP BY conv_id, run"""
+)
+def chunk_paragraph_islands(spark, sf_dir):
+    """Unbroken runs of one role: gaps and islands, as section chunks use for chapters and headings."""
+    runs = chunk.section_runs(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role"])
+    return runs.groupBy("conv_id", F.col("run").cast("long").alias("run")).agg(F.first("role").alias("role"), F.count("*").alias("n"), F.min("turn").alias("first_turn"))
+
+
+@register(
+    r"""WITH s AS (SELECT doc_id, regexp_replace(text, '([.;:])[ \t\n\r\f\v]+([A-Z(0-9"''‘])', '\1' || chr(1) || '\2', 'g') AS t FROM documents), l AS (SELECT doc_id, string_split(t, chr(1)) AS parts FROM s)
+SELECT doc_id, (len(parts) - len(list_filter(parts[:-2], lambda x: regexp_matches(x, '(No\.|Rs\.|viz\.|i\.e\.|e\.g\.|etc\.|Sr\.|Para\.|Ltd\.|Co\.)$'))))::BIGINT AS n_sentences FROM l"""
+)
+def split_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+# titles, headers, citations
+
+
+@register(
+    r"""WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)
+SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS heading FROM t"""
+)
+def html_heading(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.html_heading(F.col("html")).alias("heading"))
+
+
+_TAGS = ("script", "style", "nav", "footer", "header", "head")
+
+
+@register(
+    r"""WITH b AS (SELECT page_id, """
+    + "regexp_replace(" * 6
+    + "html"
+    + "".join(rf", '(?is)<{t}[^>]*>.*?</{t}>', ' ', 'g')" for t in _TAGS)
+    + r""" AS b FROM pages)
+SELECT page_id, md5(trim(regexp_replace(regexp_replace(b, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS digest FROM b"""
+)
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.html_text(F.col("html"))).alias("digest"))
+
+
+_TITLES = "t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Reserve Bank of India (' || url || ') Directions, 2025 (Updated as on x)' WHEN 1 THEN 'Master Direction – on ' || url || ', dated May 1' WHEN 2 THEN 'Reserve Bank of India [' || url || '] Directions' ELSE url END AS title FROM pages)"
+
+
+def _titles(spark, sf_dir):
+    url, k = F.col("url"), F.col("page_id") % 4
+    made = F.when(k == 0, F.concat(F.lit("Reserve Bank of India ("), url, F.lit(") Directions, 2025 (Updated as on x)"))).when(k == 1, F.concat(F.lit("Master Direction – on "), url, F.lit(", dated May 1")))
+    return table(spark, sf_dir, "pages").select("page_id", made.when(k == 2, F.concat(F.lit("Reserve Bank of India ["), url, F.lit("] Directions"))).otherwise(url).alias("title"))
+
+
+@register(f"WITH {_TITLES} SELECT page_id, CASE WHEN page_id % 4 = 1 THEN replace(replace(title, 'Master Direction – on ', ''), ', dated May 1', '') WHEN page_id % 4 = 3 THEN title ELSE regexp_extract(title, '[(\\[](.+)[)\\]] Directions', 1) END AS short FROM t")
+def short_title(spark, sf_dir):
+    return _titles(spark, sf_dir).select("page_id", X.short_title(F.col("title")).alias("short"))
+
+
+@register("SELECT doc_id, array_to_string(list_filter([source, CASE WHEN lang = 'en' THEN '' ELSE lang END, doc_id::VARCHAR], lambda x: x <> ''), ' > ') AS header FROM documents")
+def section_header(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.section_header(F.col("source"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")), F.col("doc_id").cast("string")).alias("header"))
+
+
+@register(
+    """SELECT doc_id, source || ', ' || lang || CASE WHEN n_chars % 3 = 0 THEN '' WHEN n_chars % 3 = 1 THEN ', para ' || (n_chars % 7) ELSE ', paras ' || (n_chars % 7) || '–' || (n_chars % 7 + 1) END ||
+CASE WHEN doc_id % 2 = 0 THEN ', p. ' || (doc_id % 50) ELSE ', pp. ' || (doc_id % 50) || '–' || (doc_id % 50 + 1) END AS citation FROM documents"""
+)
+def citation_format(spark, sf_dir):
+    k, n = F.col("n_chars") % 3, F.col("n_chars") % 7
+    first = F.when(k == 0, "").otherwise(n.cast("string"))
+    last = F.when(k == 2, (n + 1).cast("string")).otherwise(first)
+    page = F.col("doc_id") % 50
+    return table(spark, sf_dir, "documents").select("doc_id", X.citation(F.col("source"), F.col("lang"), first, last, page, page + F.col("doc_id") % 2).alias("citation"))
+
+
+@register("SELECT user_id, list_sort(list_distinct([(value::BIGINT % 9), user_id % 5, 3])) AS n, count(*)::BIGINT AS events FROM events GROUP BY ALL".replace("list_sort(list_distinct([(value::BIGINT % 9), user_id % 5, 3])) AS n", "array_to_string(list_filter(list_sort(list_distinct([(event_id % 9)::BIGINT, user_id % 5, 3])), lambda x: x BETWEEN 1 AND 5), ',') AS valid, array_to_string(list_filter(list_sort(list_distinct([(event_id % 9)::BIGINT, user_id % 5, 3])), lambda x: x NOT BETWEEN 1 AND 5), ',') AS invalid"))
+def citations_check(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    answer = F.concat(F.lit("as stated ["), (F.col("event_id") % 9).cast("string"), F.lit("], and ["), (F.col("user_id") % 5).cast("string"), F.lit("]."))
+    valid, invalid = X.checked_citations(answer, F.array(F.lit(3)), F.lit(5))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return e.groupBy("user_id", text(valid).alias("valid"), text(invalid).alias("invalid")).agg(F.count("*").alias("events"))
+
+
+@register("SELECT event_type, count(*) FILTER (WHERE (props->>'k')::BIGINT % 2 = 0)::BIGINT AS n_found, sum((props->>'k')::BIGINT % 4)::BIGINT AS cited FROM events GROUP BY event_type")
+def parse_reply_json(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    reply = F.concat(F.lit('```json\n{"found": '), F.when(k % 2 == 0, "true").otherwise("false"), F.lit(', "answer": " x ", "citations": ['), F.array_join(F.array_repeat(F.lit("1"), (k % 4).cast("int")), ","), F.lit("]}\n```"))
+    r = table(spark, sf_dir, "events").select("event_type", X.parsed_reply(reply).alias("r"))
+    return r.groupBy("event_type").agg(F.sum(F.when(F.col("r.found"), 1).otherwise(0)).cast("long").alias("n_found"), F.sum(F.size("r.citations")).cast("long").alias("cited"))
+
+
+@register("SELECT event_type, count(*) FILTER (WHERE event_id % 3 <> 0 AND value > 5 AND user_id % 4 > 0)::BIGINT AS n_found, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def found_rule(spark, sf_dir):
+    from ..operators.answers import found_rule as rule
+
+    answer = F.when(F.col("value") > 5, "text").otherwise("")
+    valid = F.array_repeat(F.lit(1), (F.col("user_id") % 4).cast("int"))
+    e = table(spark, sf_dir, "events").withColumn("ok", rule(F.col("event_id") % 3 != 0, answer, valid))
+    return e.groupBy("event_type").agg(F.sum(F.when(F.col("ok"), 1).otherwise(0)).cast("long").alias("n_found"), F.count("*").alias("n"))
+
+
+# ingest
+
+_PAGES = """l AS (SELECT source AS doc, doc_id AS page, i AS seq, x AS text FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(x) <> '')"""
+
+
+def _page_lines(spark, sf_dir):
+    """Each source as a document, each of its documents as a page."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    return d.where(F.trim("text") != "")
+
+
+@register(
+    rf"""WITH {_PAGES}, e AS (SELECT doc, text FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS n FROM l) WHERE n <= 2 UNION ALL SELECT doc, text FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY seq DESC) AS n FROM l) WHERE n <= 2),
+c AS (SELECT doc, trim(regexp_replace(lower(text), '\d+', '#', 'g')) AS form, count(*) AS n FROM e GROUP BY ALL) SELECT doc, form, n::BIGINT AS n FROM c WHERE n >= 3"""
+)
+def edge_line_counts(spark, sf_dir):
+    """Header and footer candidates: equal edge lines, digits ignored, on three pages or more."""
+    lines = _page_lines(spark, sf_dir)
+    return ingest.edge_lines(lines).groupBy("doc", X.repeated_form(F.col("text")).alias("form")).agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@register(
+    rf"""WITH {_PAGES}, f AS (SELECT *, trim(regexp_replace(lower(text), '\d+', '#', 'g')) AS form FROM l), e AS (SELECT doc, form FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS n FROM f) WHERE n <= 2 UNION ALL SELECT doc, form FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY seq DESC) AS n FROM f) WHERE n <= 2),
+pg AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY doc), rep AS (SELECT doc, form FROM (SELECT doc, form, count(*) AS n FROM e GROUP BY ALL) JOIN pg USING (doc) WHERE pages >= 4 AND n >= greatest(3, pages * 0.5)),
+c AS (SELECT f.doc, CASE WHEN rep.form IS NOT NULL THEN 'repeated' WHEN regexp_matches(text, '(?i)^\s*(page\s*)?\d{{1,3}}(\s*(of|/)\s*\d{{1,3}})?\s*$') THEN 'page_number' WHEN regexp_matches(text, '(\.\s*){{5,}}\s*\d+\s*$') THEN 'contents'
+WHEN length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) > 0 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) < 0.5 THEN 'non_latin' ELSE 'kept' END AS noise FROM f LEFT JOIN rep ON rep.doc = f.doc AND rep.form = f.form)
+SELECT doc, noise, count(*)::BIGINT AS n FROM c GROUP BY ALL"""
+)
+def noise_class_counts(spark, sf_dir):
+    lines = _page_lines(spark, sf_dir).withColumn("size", F.lit(12.0))
+    return ingest.classified(lines).groupBy("doc", F.coalesce("noise", F.lit("kept")).alias("noise")).agg(F.count("*").alias("n"))
+
+
+@register(r"""SELECT doc_id, round(CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) = 0 THEN 0 ELSE length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^\p{L}]', '', 'g')) END, 6) AS ascii_share FROM documents""")
+def non_latin_share(spark, sf_dir):
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(F.when(letters == 0, 0.0).otherwise(F.length(F.regexp_replace("text", r"[^A-Za-z]", "")) / letters), 6).alias("ascii_share"))
+
+
+@register(
+    """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations"""
+)
+def heading_carry_forward(spark, sf_dir):
+    """The last heading-like row (a user's turn) carried to the rows after it."""
+    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), True).over(order).alias("heading"))
+
+
+@register(
+    """WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), s AS (SELECT source, count(*) AS paragraphs, sum(length(x)) AS chars, count(DISTINCT doc_id) AS pages FROM l WHERE trim(x) <> '' GROUP BY source)
+SELECT source, paragraphs::BIGINT AS paragraphs, chars::BIGINT AS chars, pages::BIGINT AS pages, round_even(chars / pages, 0)::BIGINT AS chars_per_page, CASE WHEN round_even(chars / pages, 0) < 500 THEN 'little text; no numbered paragraphs' ELSE 'no numbered paragraphs' END AS warnings FROM s"""
+)
+def parse_report(spark, sf_dir):
+    lines = _page_lines(spark, sf_dir)
+    paras = lines.select("doc", "page", "text", F.lit("").alias("chapter"), F.lit("").alias("para"))
+    pages = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
+    stats = ingest.parse_stats(paras, pages)
+    return stats.select(F.col("doc").alias("source"), "paragraphs", F.col("chars").cast("long").alias("chars"), "pages", "chars_per_page", ingest.quality_warnings(F.col("chars_per_page"), F.col("paras")).alias("warnings"))
+
+
+@register("SELECT doc_id, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents")
+def manifest_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
+
+
+# evaluation
+
+_NORM = r"trim(regexp_replace(lower(translate(text, '‘’“”–—‑', '''''\"\"---')), '[ \t\n\r\f\v]+', ' ', 'g'))".replace('\\"', '"')
+_EVIDENCE = f"""qn AS (SELECT item_id, string_split({_NORM}, ' ') AS w FROM benchmark), span AS (SELECT item_id AS query, array_to_string(w[greatest((len(w) - 12) // 2, 0) + 1 : greatest((len(w) - 12) // 2, 0) + 12], ' ') AS span FROM qn),
+dn AS (SELECT doc_id AS doc, {_NORM} AS t FROM documents), truth AS (SELECT query, doc FROM span JOIN dn ON contains(t, span))"""
+
+
+@register(f"WITH {_EVIDENCE} SELECT query AS item_id, span FROM span")
+def key_span(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", X.key_span(X.normalised(F.col("text"))).alias("span"))
+
+
+@register(f"WITH {_EVIDENCE} SELECT query, doc FROM truth")
+def evidence_match(spark, sf_dir):
+    return evaluate.evidence_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _scores(spark, sf_dir, hits):
+    truth = evaluate.evidence_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("ev", F.lit(0))
+    evidence = truth.select("query").distinct().withColumn("n_evidence", F.lit(1))
+    return evaluate.ranking_scores(hits, truth, evidence)
+
+
+def _scores_sql(hits: str) -> str:
+    return f"""per AS (SELECT t.query, min(h.rank) AS first, sum(CASE WHEN h.rank <= 5 THEN 1 / log2(h.rank + 1) ELSE 0 END) AS dcg FROM (SELECT DISTINCT query FROM truth) t LEFT JOIN (SELECT {hits}.query, rank FROM {hits} JOIN truth USING (query, doc)) h ON h.query = t.query GROUP BY t.query),
+scores AS (SELECT query, {', '.join(f"CASE WHEN first <= {k} THEN 1.0::DOUBLE ELSE 0 END AS recall_{k}" for k in evaluate.KS)}, {', '.join(f"CASE WHEN first <= {k} THEN 1.0::DOUBLE ELSE 0 END AS hit_{k}" for k in evaluate.KS)}, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg, 0), 6) AS ndcg_5 FROM per)"""
+
+
+@register(f"{_BASE}, {_bm25_sql('hits')}, {_EVIDENCE}, {_scores_sql('hits')} SELECT * FROM scores")
+def ranking_scores(spark, sf_dir):
+    """recall@k, hit@k, MRR and nDCG@5 of every answerable question."""
+    return _scores(spark, sf_dir, _hits(spark, sf_dir))
+
+
+_MEANS = ", ".join(f"round(avg({m}), 4) AS {m}" for m in [*(f"recall_{k}" for k in evaluate.KS), *(f"hit_{k}" for k in evaluate.KS), "mrr", "ndcg_5"])
+
+
+@register(
+    f"""{_BASE}, {_bm25_sql('hits')}, {_OVERLAP.format(k=10)}, {_EVIDENCE}, {_scores_sql('hits')}, {_scores_sql('over').replace('per AS', 'per2 AS').replace('scores AS', 'scores2 AS').replace('FROM per)', 'FROM per2)')}
+SELECT 'bm25' AS mode, {_MEANS} FROM scores UNION ALL SELECT 'overlap', {_MEANS} FROM scores2"""
+)
+def eval_grid(spark, sf_dir):
+    """Mean scores of two search modes in one job."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    runs = [("bm25", retrieval.bm25(docs, asked)), ("overlap", retrieval.overlap(docs, asked))]
+    parts = [_scores(spark, sf_dir, hits).withColumn("mode", F.lit(mode)) for mode, hits in runs]
+    return evaluate.mean_scores(parts[0].unionByName(parts[1]), ["mode"])
+
+
+@register("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def percentile_nearest_rank(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(*(evaluate.nearest_rank("value", p).alias(f"p{p}") for p in (50, 95, 99)))
+
+
+_ROWS_SQL = """r AS (SELECT CASE WHEN user_id % 4 = 0 THEN 'unanswerable' WHEN user_id % 4 = 1 THEN 'multi' ELSE 'single' END AS kind, event_id % 5 <> 0 AS found, CASE event_id % 7 WHEN 0 THEN 'incorrect' WHEN 1 THEN 'partial' WHEN 2 THEN NULL ELSE 'correct' END AS c,
+CASE WHEN event_id % 6 = 0 THEN 'unsupported' ELSE 'supported' END AS f, event_id % 8 <> 0 AS cites, event_id % 5 = 0 AS refusal, event_id % 11 // 10 AS inv, value AS s FROM events)"""
+
+
+@register(
+    f"""WITH {_ROWS_SQL}, a AS (SELECT *, kind <> 'unanswerable' AS ans FROM r) SELECT count(*)::BIGINT AS questions, count(*) FILTER (WHERE ans)::BIGINT AS answerable, round(avg(found::INT) FILTER (WHERE ans), 4) AS answered, round(avg((NOT found)::INT) FILTER (WHERE ans), 4) AS false_refusal,
+round(avg((coalesce(c, '') = 'correct')::INT) FILTER (WHERE ans), 4) AS correct, round(avg((coalesce(c, '') IN ('correct', 'partial'))::INT) FILTER (WHERE ans), 4) AS correct_or_partial,
+round(avg(CASE c WHEN 'correct' THEN 1 WHEN 'partial' THEN 0.5 ELSE 0 END::DOUBLE) FILTER (WHERE ans AND found AND c IS NOT NULL), 4) AS correctness_score, round(avg((f = 'supported')::INT) FILTER (WHERE ans AND found AND c IS NOT NULL), 4) AS faithful, round(avg(cites::INT) FILTER (WHERE ans AND found), 4) AS cites_evidence,
+round(avg((inv > 0)::INT) FILTER (WHERE ans), 4) AS invalid_citations, round(avg(refusal::INT) FILTER (WHERE NOT ans), 4) AS correct_refusal, round(avg((coalesce(c, '') = 'correct')::INT) FILTER (WHERE kind = 'multi'), 4) AS multi_correct, round(median(s), 2) AS p50, round(quantile_disc(s, 0.95), 2) AS p95 FROM a"""
+)
+def summary_shares(spark, sf_dir):
+    """Answer summary with its different denominators, verdicts taken from the log's columns."""
+    u, e = F.col("user_id"), F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        F.when(u % 4 == 0, "unanswerable").when(u % 4 == 1, "multi").otherwise("single").alias("kind"), (e % 5 != 0).alias("found"), F.when(e % 7 == 0, "incorrect").when(e % 7 == 1, "partial").when(e % 7 == 2, F.lit(None)).otherwise("correct").alias("correctness"),
+        F.when(e % 6 == 0, "unsupported").otherwise("supported").alias("faithfulness"), (e % 8 != 0).alias("cites_evidence"), (e % 5 == 0).alias("refusal_correct"), F.when(e % 11 == 10, 1).otherwise(0).alias("n_invalid"), F.col("value").alias("total_s"),
+    )
+    return evaluate.summary(rows)
+
+
+@register("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def retrieval_upsert(spark, sf_dir):
+    """Keyed upsert: the later half of the log replaces rows of the earlier half with the same key."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    early = F.col("value") < 20
+    return evaluate.upsert(e.where(early), e.where(~early), ["user_id", "event_type"], "event_id")
+
+
+@register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti_join(spark, sf_dir):
+    return evaluate.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@register("SELECT doc_id AS key, 'vector' AS missing FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'chunk' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+def index_consistency(spark, sf_dir):
+    from ..sources.tables import index_faults
+
+    return index_faults(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), "doc_id", "vec_id")
+
+
+@register(
+    """SELECT 'length' AS rule, count(*)::BIGINT AS n FROM documents WHERE n_chars <> length(text) UNION ALL SELECT 'repeated id', count(*)::BIGINT FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)
+UNION ALL SELECT 'short quote', count(*)::BIGINT FROM benchmark WHERE len(string_split(text, ' ')) < 8 UNION ALL SELECT 'label domain', count(*)::BIGINT FROM labels WHERE quality NOT IN (0, 1) OR toxic NOT IN (0, 1)"""
+)
+def dataset_integrity(spark, sf_dir):
+    """Violations of each rule."""
+    docs, labels, quotes = (table(spark, sf_dir, t) for t in ("documents", "labels", "benchmark"))
+    rules = {
+        "length": docs.where(F.col("n_chars") != F.length("text")), "repeated id": docs.groupBy("doc_id").count().where("count > 1"),
+        "short quote": quotes.where(F.size(X.words(F.col("text"))) < 8), "label domain": labels.where(~F.col("quality").isin(0, 1) | ~F.col("toxic").isin(0, 1)),
+    }
+    parts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n") for name, rows in rules.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("SELECT source, count(*)::BIGINT AS n, round(avg((quality = 1 - toxic)::INT), 4) AS agreement FROM labels JOIN documents USING (doc_id) GROUP BY source")
+def agreement_audit(spark, sf_dir):
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg((F.col("quality") == 1 - F.col("toxic")).cast("int")), 4).alias("agreement"))
+
+
+@register("SELECT d.doc_id, CASE WHEN toxic = 1 AND quality = 1 THEN 'edited' WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'rejected' ELSE 'undecided' END AS status FROM documents d LEFT JOIN labels USING (doc_id)")
+def review_decisions(spark, sf_dir):
+    """Precedence of several decisions on one row."""
+    labels = table(spark, sf_dir, "labels")
+    action = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 1, F.array(F.lit("keep"), F.lit("edit"))).otherwise(F.array(F.lit("keep")))).otherwise(F.array(F.lit("reject")))
+    decisions = labels.select("doc_id", F.explode(action).alias("action"))
+    return evaluate.decide(table(spark, sf_dir, "documents").select("doc_id"), decisions, "doc_id")
+
+
+@register(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, count(*)::BIGINT AS n FROM l WHERE len(regexp_extract_all(x, {_WORDS})) BETWEEN 80 AND 320 AND (regexp_matches(x, '\\d') OR contains(lower(x), 'the')) GROUP BY doc_id")
+def useful_passages(spark, sf_dir):
+    """Passages of 80 to 320 words with a figure or the wanted word."""
+    lines = chunk.lines(table(spark, sf_dir, "documents"))
+    n = chunk.word_count(F.col("line"))
+    kept = lines.where(n.between(80, 320) & (F.col("line").rlike(r"\d") | F.lower("line").contains("the")))
+    return kept.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
+@register("SELECT source, doc_id, n::BIGINT AS n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) AS n FROM documents) WHERE n <= 3")
+def hash_sample_per_group(spark, sf_dir):
+    """A seeded sample: three of each group by hash order (a sampling operator; the cut is its purpose)."""
+    order = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id")
+    return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(order).cast("long").alias("n")).where("n <= 3")
+
+
+@register("SELECT quality, toxic, count(*)::BIGINT AS n FROM labels GROUP BY ALL")
+def review_progress(spark, sf_dir):
+    return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+# service and log
+
+
+@register(r"""WITH k AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')), '[?.! ]+$', '') AS k FROM conversations WHERE role = 'user') SELECT md5(k) AS key_digest, count(*)::BIGINT AS n, min(conv_id) AS first_conv FROM k GROUP BY k""")
+def cache_key_dedup(spark, sf_dir):
+    keys = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", X.cache_key(F.col("text")).alias("k"))
+    return keys.groupBy("k").agg(F.count("*").alias("n"), F.min("conv_id").alias("first_conv")).select(F.md5("k").alias("key_digest"), "n", "first_conv")
+
+
+@register(
+    """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) / 1e6 AS s FROM events),
+r AS (SELECT user_id, event_id, k, true AS allowed, [s] AS hits FROM e WHERE k = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.k, len(list_filter(r.hits, lambda h: e.s - h < 21600)) < 2, CASE WHEN len(list_filter(r.hits, lambda h: e.s - h < 21600)) < 2 THEN list_append(list_filter(r.hits, lambda h: e.s - h < 21600), e.s) ELSE list_filter(r.hits, lambda h: e.s - h < 21600) END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, allowed FROM r"""
+)
+def sliding_rate_limit(spark, sf_dir):
+    """Two calls in six hours for each user; refused calls do not count."""
+    out = state.rate_limited(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], 2, 21600.0)
+    return out.select("user_id", "event_id", (F.col("wait_s") == 0).alias("allowed"))
+
+
+@register(
+    """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) / 1e6 AS s FROM events),
+r AS (SELECT user_id, event_id, k, false AS hit, s AS born FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, e.s - r.born <= 86400, CASE WHEN e.s - r.born <= 86400 THEN r.born ELSE e.s END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, hit FROM r"""
+)
+def ttl_cache_hits(spark, sf_dir):
+    """A day's time to live for each user's entry, counted from the miss that put it."""
+    return state.cache_hits(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], 86400.0).select("user_id", "event_id", "hit")
+
+
+def _log(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@register("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS start_s, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, round(max(value), 4) AS largest FROM events GROUP BY ALL")
+def log_tumbling(spark, sf_dir):
+    return log.tumbling(_log(spark, sf_dir)).select(F.unix_timestamp("start").alias("start_s"), "event_type", "n", "total", "largest")
+
+
+@register("WITH w AS (SELECT value, unnest([0, 1]) AS back, epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) // 1000000 AS s FROM events) SELECT s - back * 1800 AS start_s, count(*)::BIGINT AS n, round(sum(value), 4) AS total, round(max(value), 4) AS largest FROM w GROUP BY ALL")
+def log_sliding(spark, sf_dir):
+    return log.sliding(_log(spark, sf_dir)).select(F.unix_timestamp("start").alias("start_s"), "n", "total", "largest")
+
+
+@register(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, count(*)::BIGINT AS n FROM r GROUP BY user_id, k"""
+)
+def log_sessions(spark, sf_dir):
+    return log.sessions(_log(spark, sf_dir)).select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@register("SELECT event_type, count(*)::BIGINT AS n, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'local' END AS provider, CASE WHEN event_type IN ('click', 'view') THEN 'm:1' ELSE event_type || ':m:1' END AS model FROM events GROUP BY ALL")
+def provider_route(spark, sf_dir):
+    provider, model = X.model_route(F.concat(F.col("event_type"), F.lit(":m:1")), ["click", "view"], "local")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", "n", provider.alias("provider"), model.alias("model"))
+
+
+@register("SELECT p_size::BIGINT AS p_size, count(*)::BIGINT AS n, p_size::BIGINT AS decoded FROM part GROUP BY p_size")
+def chapter_numbers(spark, sf_dir):
+    """Roman numbers written from sizes and read back."""
+    ones, tens = ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"], ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"]
+    n = F.col("p_size").cast("int")
+    sign = F.concat(F.element_at(X.lit_array(tens), F.floor(n / 10).cast("int") + 1), F.element_at(X.lit_array(ones), n % 10 + 1))
+    return table(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("n")).select(F.col("p_size").cast("long").alias("p_size"), "n", X.chapter_number(sign).cast("long").alias("decoded"))
