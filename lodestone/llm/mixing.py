@@ -253,13 +253,13 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", sou
     placed = written(placed, "mix-layout")
     parts = taken_blocks(placed, plan)
     passes = F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses")))
-    picked = parts.withColumn("copy", passes).groupBy("k1", "k2", "start", "size", "copy").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"))
+    picked = parts.withColumn("copy", passes).groupBy("k1", "k2", "start", "size", "copy").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("__parts"))
     names = docs.columns
     texts = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), *_keys(id_col, source_col, text_col))
     if not placed.groupBy("k1", "k2").count().where("count > 1").isEmpty():  # equal rows: each is laid out by itself, their text is wanted once
         texts = texts.groupBy("k1", "k2").agg(F.first("__row").alias("__row"))
     joined = picked.hint("merge").join(texts, ["k1", "k2"])
-    joined = joined.select(*(F.col("__row")[c].alias(c) for c in names), "parts", F.col("size").alias("__size"))
+    joined = joined.select(*(F.col("__row")[c].alias(c) for c in names), "__parts", F.col("size").alias("__size"))
     at = names.index(text_col)
     schema = T.StructType([f for f in docs.schema.fields])
 
