@@ -7,9 +7,11 @@ buckets; with 24 bands of 4 a pair at similarity 0.8 shares none with probabilit
 
 No bucket is ever expanded into its pairs. Documents with equal sets are one node first. In star rounds each bucket links
 its members to one centre, the first in a hash order; links are verified on full sets and components are formed. Buckets whose members
-are all in one component drop out; in the others the next round takes another centre. What mixed buckets still hold is compared in
-blocks of bounded size by 128-bit sketches of the signatures, and pairs of different components that can reach the threshold (miss
-below 1e-6) are verified too. So each pair of a bucket ends verified, excluded by its sketch or sizes, or inside one component; no cap is needed.
+are all in one component drop out; in the others the next round takes another centre, until ``rounds`` are over or what is left
+needs at most ``comparisons`` comparisons. Then mixed buckets are compared in blocks of bounded size by 128-bit sketches of the
+signatures. Members that have a candidate in another component (sizes and sketch allow the threshold; miss below 1e-6) gather in groups,
+and inside each group pairs of different components are verified on full sets until none is left. So each pair of a bucket ends
+verified, excluded by its sketch or sizes, or inside one component; rows grow with members, not with pairs, and no cap is needed.
 
 Verification reads the wanted texts again, sorts pairs by centre in salted pieces, and recomputes the sets. Components: minimum
 labels with pointer jumping over the verified links, each round written to the shared folder.
@@ -20,6 +22,7 @@ one id are one node of the graph, each is returned with its own set size. An emp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +45,8 @@ class Dedup:
     bands: int = 24
     rows: int = 4
     rounds: int = 3
-    block: int = 2_048
+    block: int = 1_024
+    comparisons: int = 200_000_000
     salt_rows: int = 256
     broadcast_ids: int = 500_000
     seed: int = 3
@@ -156,14 +160,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, label): the smallest id of each id's component; ``links`` has columns a, b. Hash-to-min with pointer jumping."""
     both = written(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        parent = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        jumped = step.join(parent, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        # the root of a changed id learns it as well, so that long chains halve
-        told = jumped.where("label < old").groupBy(F.col("old").alias("id")).agg(F.min("label").alias("told"))
-        new = written(jumped.join(told, "id", "left").select("id", "old", F.least("label", F.coalesce("told", "label")).alias("label")), "labels")
+        new = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        if turn >= 2:  # stars are done by now; in long chains labels jump to their label's label, and roots learn from their members
+            parent = new.select(F.col("id").alias("label"), F.col("label").alias("up"))
+            new = new.join(parent, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
+            told = new.where("label < old").groupBy(F.col("old").alias("id")).agg(F.min("label").alias("told"))
+            new = new.join(told, "id", "left").select("id", "old", F.least("label", F.coalesce("told", "label")).alias("label"))
+        new = written(new, "labels")
         labels = new.select("id", "label")
         if new.where("label < old").isEmpty():
             return labels
@@ -177,12 +182,24 @@ def _near(sizes, other, s1, s2, t1, t2, how: Dedup):
     return (small * how.denominator >= large * how.numerator) & (apart <= 128 - AGREE)
 
 
+def _linked(a: np.ndarray, b: np.ndarray, how: Dedup) -> bool:
+    """Whether two sets of hashes, ascending, reach the threshold."""
+    if not len(a) or not len(b):
+        return False
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return how.denominator * common >= how.numerator * (len(a) + len(b) - common)
+
+
+def _texts_of(keys: DataFrame, docs: DataFrame, how: Dedup, text_col: str) -> DataFrame:
+    """(key, text) of the documents in ``keys``."""
+    wanted = written(keys.distinct(), "wanted")
+    few = wanted.count() <= how.broadcast_ids  # beyond it, the join deals out both sides
+    return written(docs.select("key", F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "key", "left_semi"), "wanted-texts")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, how: Dedup, text_col: str) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets reach the threshold; pieces of ``salt_rows`` members of a centre b each."""
-    wanted = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
-    few = wanted.count() <= how.broadcast_ids  # beyond it, the join deals out both sides
-    texts = docs.select("key", F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
-    texts = written(texts, "pair-texts")
+    texts = _texts_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), docs, how, text_col)
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / how.salt_rows).alias("salts"))
     salted = written(pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt")), "salted")
     kind = docs.schema["key"].dataType.simpleString()
@@ -199,71 +216,107 @@ def verified(pairs: DataFrame, docs: DataFrame, how: Dedup, text_col: str) -> Da
                 own = grams[at[i] : at[i + 1]]
                 if first[i]:
                     centre = own
-                elif len(centre) and len(own):
-                    place = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
-                    common = int((centre[place] == own).sum())
-                    found[i] = how.denominator * common >= how.numerator * (len(centre) + len(own) - common)
+                else:
+                    found[i] = _linked(centre, own, how)
             yield pa.record_batch([batch.column(2), batch.column(0)], names=["a", "b"]).filter(pa.array(found))
 
     dealt = members.unionByName(centres).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
     return dealt.select("b", "salt", "a", "text").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _leftover(members: DataFrame, how: Dedup) -> DataFrame:
-    """(a, b): pairs of one mixed bucket in different components whose sizes and sketches allow the threshold.
+def _groups(members: DataFrame, how: Dedup) -> DataFrame:
+    """(g1, g2, key, n, s1, s2, label): members of mixed buckets in groups that hold every pair of one bucket in different components
+    whose sizes and sketches allow the threshold.
 
-    A bucket of more than ``block`` members is split; every two of its pieces meet in one group of at most two pieces."""
+    A bucket of more than ``block`` members is split; every two of its pieces meet in one block of at most two pieces. Each block's graph of
+    such pairs falls into groups named by a hash of their members, so that equal groups of several bands are one. A member gives a row
+    for each group that it is in, never one for each pair."""
     kind = members.schema["key"].dataType.simpleString()
     pieces = members.groupBy("bucket").agg(F.ceil(F.count("*") / how.block).cast("int").alias("pieces"))
     split = members.join(pieces, "bucket").withColumn("piece", F.pmod(F.xxhash64("key", F.lit(9)), F.col("pieces")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    split = split.select("bucket", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "piece", "key", "n", "s1", "s2", "label")
-
-    def pairs_of(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
-        m, n = len(group["n"]), group["n"]
-        for at in range(0, m, 256):
-            i = np.arange(at, min(at + 256, m))
-            apart = np.bitwise_count(group["s1"][i, None] ^ group["s1"][None, :]) + np.bitwise_count(group["s2"][i, None] ^ group["s2"][None, :])
-            ok = (apart <= 128 - AGREE) & (group["label"][i, None] != group["label"][None, :]) & (group["key"][i, None] > group["key"][None, :])
-            ok &= np.minimum(n[i, None], n[None, :]) * how.denominator >= np.maximum(n[i, None], n[None, :]) * how.numerator
-            x, y = np.nonzero(ok)
-            a.append(i[x])
-            b.append(y)
-        return np.concatenate(a), np.concatenate(b)
+    split = split.select("bucket", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "key", "n", "s1", "s2", "label")
+
+    def groups_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        n, key, label = rows["n"].to_numpy(), rows["key"].to_numpy(), rows["label"].to_numpy()
+        s1, s2 = rows["s1"].to_numpy().view(np.uint64), rows["s2"].to_numpy().view(np.uint64)
+        near = np.zeros((len(n), len(n)), bool)
+        for at in range(0, len(n), 256):
+            i = slice(at, at + 256)
+            apart = np.bitwise_count(s1[i, None] ^ s1[None, :]) + np.bitwise_count(s2[i, None] ^ s2[None, :])
+            fit = np.minimum(n[i, None], n[None, :]) * how.denominator >= np.maximum(n[i, None], n[None, :]) * how.numerator
+            near[i] = (apart <= 128 - AGREE) & fit & (label[i, None] != label[None, :])
+        left = near.any(axis=1)
+        while left.any():
+            group = np.zeros(len(n), bool)
+            edge = np.flatnonzero(left)[:1]
+            while len(edge):
+                group[edge] = True
+                edge = np.flatnonzero(near[edge].any(axis=0) & ~group)
+            left &= ~group
+            part = rows.loc[group, ["key", "n", "s1", "s2", "label"]].sort_values("key")
+            name = hashlib.blake2b("\n".join(map(str, part["key"])).encode(), digest_size=16).digest()
+            yield part.assign(g1=int.from_bytes(name[:8], "little", signed=True), g2=int.from_bytes(name[8:], "little", signed=True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _runs(batches, ["bucket", "lo", "hi"]):
+            if len(block) > 1:
+                yield from groups_of(block)
+
+    dealt = split.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    found = dealt.mapInPandas(run, f"g1 long, g2 long, key {kind}, n long, s1 long, s2 long, label {kind}")
+    return found.dropDuplicates(["g1", "g2", "key"])
+
+
+def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The runs of rows that are equal in ``by``, each as one frame; input is sorted by them."""
+    held: list[pd.DataFrame] = []
+    for rows in batches:
+        if not len(rows):
+            continue
+        marks = [rows[c].to_numpy() for c in by]
+        cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+            part = rows.iloc[lo:hi]
+            if held and any(held[-1][c].iloc[-1] != part[c].iloc[0] for c in by):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _group_links(groups: DataFrame, docs: DataFrame, how: Dedup, text_col: str) -> DataFrame:
+    """(a, b): verified links that join each group's components; pairs that earlier links of the group already join are left out."""
+    kind = docs.schema["key"].dataType.simpleString()
+    texts = _texts_of(groups.select("key"), docs, how, text_col)
+
+    def links_of(rows: pd.DataFrame) -> pd.DataFrame:
+        column = pa.array(rows["text"], pa.large_string())
+        grams, at = shingle_sets(*K.buffers(column), how.words)
+        n, key = np.diff(at), rows["key"].to_numpy()
+        _, root = np.unique(rows["label"].to_numpy(), return_inverse=True)
+        s1, s2 = rows["s1"].to_numpy().view(np.uint64), rows["s2"].to_numpy().view(np.uint64)
+        out = []
+        for i in range(1, len(n)):
+            apart = np.bitwise_count(s1[:i] ^ s1[i]) + np.bitwise_count(s2[:i] ^ s2[i])
+            fit = np.minimum(n[:i], n[i]) * how.denominator >= np.maximum(n[:i], n[i]) * how.numerator
+            todo = np.flatnonzero((apart <= 128 - AGREE) & fit & (root[:i] != root[i]))
+            own = grams[at[i] : at[i + 1]]
+            for j in todo[np.argsort(apart[todo], kind="stable")].tolist():
+                if root[j] != root[i] and _linked(own, grams[at[j] : at[j + 1]], how):
+                    out.append((key[i], key[j]))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def flush(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if not len(rows):
-                return
-            out = []
-            marks = rows[["bucket", "lo", "hi"]].to_numpy()
-            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-            columns = {"n": rows["n"].to_numpy(), "key": rows["key"].to_numpy(), "label": rows["label"].to_numpy(), "s1": rows["s1"].to_numpy().view(np.uint64), "s2": rows["s2"].to_numpy().view(np.uint64)}
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
-                if hi - lo > 1:
-                    group = {c: v[lo:hi] for c, v in columns.items()}
-                    x, y = pairs_of(group)
-                    if len(x):
-                        out.append(pd.DataFrame({"a": group["key"][x], "b": group["key"][y]}))
-            if out:
-                yield pd.concat(out).drop_duplicates()
-
-        for rows in batches:
-            held.append(rows)
-            last = rows.iloc[-1] if len(rows) else None
-            if last is None:
-                continue
-            rows = pd.concat(held)
-            same = (rows["bucket"] == last["bucket"]) & (rows["lo"] == last["lo"]) & (rows["hi"] == last["hi"])
-            yield from flush(rows[~same])
-            held = [rows[same]]
-        if held:
-            yield from flush(pd.concat(held))
-
-    return split.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(run, f"a {kind}, b {kind}").distinct()
+        for group in _runs(batches, ["g1", "g2"]):
+            found = links_of(group)
+            if len(found):
+                yield found
+
+    dealt = groups.join(texts, "key").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "n", "key")
+    return dealt.select("g1", "g2", "key", "s1", "s2", "label", "text").mapInPandas(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,41 +335,42 @@ def near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
     members = written(exploded.join(shared, "bucket"), "members").withColumn("label", F.col("key"))
     empty = docs.sparkSession.createDataFrame([], keyed.select(F.col("key").alias("a"), F.col("key").alias("b")).schema)
-    links, tested, labels = empty, empty, None
+    links, labels = empty, None
     if not unique:  # rows of one id hang together
         by_id = some.join(classes.select(*same_set, F.col("key").alias("rep")), same_set).select("id", "rep")
         lowest = by_id.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b != top").select("id", "b")
         links = written(by_id.join(lowest, "id").select(F.col("rep").alias("a"), "b").where("a != b").distinct(), "id-links")
         labels = components(links)
 
-    def relabelled(found: DataFrame) -> DataFrame:
-        out = members.drop("label").join(labels.select(F.col("id").alias("key"), "label"), "key", "left") if labels is not None else members
+    def relabelled() -> DataFrame:
+        out = members.drop("label", "members").join(labels.select(F.col("id").alias("key"), "label"), "key", "left") if labels is not None else members.drop("members")
         out = out.withColumn("label", F.coalesce("label", "key"))
-        mixed = out.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-        return written(out.join(mixed, "bucket").select("bucket", "key", "n", "s1", "s2", "label"), "members")
+        mixed = out.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).where("x != y").select("bucket", "members")
+        return written(out.join(mixed, "bucket").select("bucket", "key", "n", "s1", "s2", "label", "members"), "members")
 
-    for turn in range(how.rounds + 1):
+    turn, last = 0, False
+    while not last:
         if turn or labels is not None:
-            members = relabelled(links)
-        if members.isEmpty():
-            break
-        if turn < how.rounds:
+            members = relabelled()
+            comparisons = members.agg(F.sum("members")).first()[0]
+            if comparisons is None:
+                break
+            last = comparisons <= how.comparisons
+        last = last or turn >= how.rounds
+        if last:
+            groups = written(_groups(members, how), "groups")
+            found = None if groups.isEmpty() else _group_links(groups, keyed, how, "text")
+        else:
             order = F.xxhash64("key", F.lit(turn)) if turn == 0 else F.xxhash64("key", "bucket", F.lit(turn))
             centre = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "key", "n", "s1", "s2", "label")).alias("c"))
             both = members.join(centre, "bucket").where((F.col("key") != F.col("c.key")) & (F.col("label") != F.col("c.label")))
             near = both.where(_near(F.col("n"), F.col("c.n"), F.col("s1"), F.col("s2"), F.col("c.s1"), F.col("c.s2"), how))
-            pairs = near.select(F.col("key").alias("a"), F.col("c.key").alias("b")).distinct()
-        else:
-            pairs = _leftover(members, how)
-        if turn:
-            seen = tested.union(tested.select("b", "a"))
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = tested.union(pairs)
-        links = written(links.union(verified(pairs, keyed, how, "text")), "links")
-        labels = components(links)
+            pairs = written(near.select(F.col("key").alias("a"), F.col("c.key").alias("b")).distinct(), "pairs")
+            found = None if pairs.isEmpty() else verified(pairs, keyed, how, "text")
+        turn += 1
+        if found is not None:
+            links = written(links.union(found), "links")
+            labels = components(links)
 
     label_of = classes.select(*same_set, F.col("key").alias("rep"))
     if labels is not None:
