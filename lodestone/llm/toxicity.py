@@ -244,14 +244,22 @@ def score_of(m: Matcher, total: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 
 
 def fit_curve(total: np.ndarray, n_words: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic coefficients by Newton steps, with a quadratic pull of weight 1 to ``PRIOR``."""
+    """Logistic coefficients by damped Newton steps, with a quadratic pull of weight 1 to ``PRIOR``."""
     x, prior = _terms_of(total, n_words), np.array(PRIOR)
-    beta = prior.copy()
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.logaddexp(0, z).sum() - y @ z + ((b - prior) ** 2).sum() / 2)
+
+    beta, now = prior.copy(), loss(prior)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(beta)), x.T @ (p - y) + beta - prior)
-        beta = beta - step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-10 and loss(beta - size * step) > now:
+            size /= 2
+        beta, before, now = beta - size * step, now, loss(beta - size * step)
+        if before - now <= 1e-9 * max(1.0, now):
             break
     return tuple(np.round(beta, 9).tolist())
 
