@@ -300,7 +300,7 @@ def learn(rows: DataFrame, lexicon: Lexicon = Lexicon()) -> Matcher:
         if any(body[:n] + "*" in kept for n in range(lo, len(body) + 1)) or t.endswith("*") and any(x.startswith(body) for x in kept):
             continue  # of nested terms, the one that tells most about the label
         pos, neg, _ = picked[t]
-        kept[t] = round(min(PURE, math.log(pos / n_pos / ((neg + 0.5) / n_neg))) / PURE, 6)
+        kept[t] = round((max(0.0, min(PURE, math.log(pos / n_pos / ((neg + 0.5) / n_neg)))) / PURE) ** 1.5, 6)  # above 1: many weak hits are no strong one
     kept = {t: w for t, w in list(kept.items())[: lexicon.terms] if w > 0}
 
     rough = build_matcher(kept, PRIOR, frozenset(), lexicon)
