@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +44,7 @@ class Dedup:
     bands: int = 24
     rows: int = 4
     rounds: int = 3
-    block: int = 1_024
+    block: int = 512
     comparisons: int = 200_000_000
     salt_rows: int = 256
     broadcast_ids: int = 500_000
@@ -237,9 +236,11 @@ def _groups(members: DataFrame, how: Dedup) -> DataFrame:
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     split = split.select("bucket", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "key", "n", "s1", "s2", "label")
 
-    def groups_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        n, key, label = rows["n"].to_numpy(), rows["key"].to_numpy(), rows["label"].to_numpy()
-        s1, s2 = rows["s1"].to_numpy().view(np.uint64), rows["s2"].to_numpy().view(np.uint64)
+    def groups_of(c: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        """Row numbers of each group of a block."""
+        n, label, s1, s2 = c["n"], c["label"], c["s1"].view(np.uint64), c["s2"].view(np.uint64)
+        if (label == label[0]).all():
+            return
         near = np.zeros((len(n), len(n)), bool)
         for at in range(0, len(n), 256):
             i = slice(at, at + 256)
@@ -254,36 +255,54 @@ def _groups(members: DataFrame, how: Dedup) -> DataFrame:
                 group[edge] = True
                 edge = np.flatnonzero(near[edge].any(axis=0) & ~group)
             left &= ~group
-            part = rows.loc[group, ["key", "n", "s1", "s2", "label"]].sort_values("key")
-            name = hashlib.blake2b("\n".join(map(str, part["key"])).encode(), digest_size=16).digest()
-            yield part.assign(g1=int.from_bytes(name[:8], "little", signed=True), g2=int.from_bytes(name[8:], "little", signed=True))
+            yield np.flatnonzero(group)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _runs(batches, ["bucket", "lo", "hi"]):
-            if len(block) > 1:
-                yield from groups_of(block)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for c, _ in _runs(batches, ["bucket", "lo", "hi"]):
+            if len(c["n"]) < 2:
+                continue
+            for rows in groups_of(c):
+                key = np.sort(c["key"][rows])
+                name = hashlib.blake2b("\n".join(map(str, key.tolist())).encode(), digest_size=16).digest()
+                marks = [np.full(len(rows), int.from_bytes(name[i : i + 8], "little", signed=True)) for i in (0, 8)]
+                out.append((*marks, *(c[x][rows] for x in ("key", "n", "s1", "s2", "label"))))
+            if sum(len(x[0]) for x in out[-64:]) > 20_000:
+                yield _joined(out)
+                out = []
+        if out:
+            yield _joined(out)
 
     dealt = split.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    found = dealt.mapInPandas(run, f"g1 long, g2 long, key {kind}, n long, s1 long, s2 long, label {kind}")
+    found = dealt.mapInArrow(run, f"g1 long, g2 long, key {kind}, n long, s1 long, s2 long, label {kind}")
     return found.dropDuplicates(["g1", "g2", "key"])
 
 
-def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """The runs of rows that are equal in ``by``, each as one frame; input is sorted by them."""
-    held: list[pd.DataFrame] = []
-    for rows in batches:
-        if not len(rows):
+def _joined(parts: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["g1", "g2", "key", "n", "s1", "s2", "label"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[dict[str, np.ndarray], list[pa.RecordBatch]]]:
+    """The runs of rows that are equal in ``by``, the order of the input: their columns (but texts), and the slices that hold them."""
+    held: list[tuple[dict[str, np.ndarray], pa.RecordBatch]] = []
+
+    def whole() -> tuple[dict[str, np.ndarray], list[pa.RecordBatch]]:
+        one = held[0][0] if len(held) == 1 else {x: np.concatenate([c[x] for c, _ in held]) for x in held[0][0]}
+        return one, [b for _, b in held]
+
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        marks = [rows[c].to_numpy() for c in by]
-        cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
-            part = rows.iloc[lo:hi]
-            if held and any(held[-1][c].iloc[-1] != part[c].iloc[0] for c in by):
-                yield pd.concat(held, ignore_index=True)
+        columns = {x: batch.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(batch.schema.names) if x != "text"}
+        cuts = np.flatnonzero(np.any([columns[x][1:] != columns[x][:-1] for x in by], axis=0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            part = {x: v[lo:hi] for x, v in columns.items()}
+            if held and any(held[-1][0][x][-1] != part[x][0] for x in by):
+                yield whole()
                 held = []
-            held.append(part)
+            held.append((part, batch.slice(lo, hi - lo)))
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield whole()
 
 
 def _group_links(groups: DataFrame, docs: DataFrame, how: Dedup, text_col: str) -> DataFrame:
@@ -291,32 +310,33 @@ def _group_links(groups: DataFrame, docs: DataFrame, how: Dedup, text_col: str)
     kind = docs.schema["key"].dataType.simpleString()
     texts = _texts_of(groups.select("key"), docs, how, text_col)
 
-    def links_of(rows: pd.DataFrame) -> pd.DataFrame:
-        column = pa.array(rows["text"], pa.large_string())
-        grams, at = shingle_sets(*K.buffers(column), how.words)
-        n, key = np.diff(at), rows["key"].to_numpy()
-        _, root = np.unique(rows["label"].to_numpy(), return_inverse=True)
-        s1, s2 = rows["s1"].to_numpy().view(np.uint64), rows["s2"].to_numpy().view(np.uint64)
+    def links_of(c: dict[str, np.ndarray], slices: list[pa.RecordBatch]) -> list[tuple]:
+        sets: list[np.ndarray] = []
+        for _, raw, offs in K.chunks(iter(slices), "text", 1 << 18):  # small chunks: only the sets of a group stay
+            grams, at = shingle_sets(raw, offs, how.words)
+            sets += [grams[at[i] : at[i + 1]].copy() for i in range(len(at) - 1)]
+        n, key = np.array([len(x) for x in sets]), c["key"]
+        _, root = np.unique(c["label"], return_inverse=True)
+        s1, s2 = c["s1"].view(np.uint64), c["s2"].view(np.uint64)
         out = []
         for i in range(1, len(n)):
             apart = np.bitwise_count(s1[:i] ^ s1[i]) + np.bitwise_count(s2[:i] ^ s2[i])
             fit = np.minimum(n[:i], n[i]) * how.denominator >= np.maximum(n[:i], n[i]) * how.numerator
             todo = np.flatnonzero((apart <= 128 - AGREE) & fit & (root[:i] != root[i]))
-            own = grams[at[i] : at[i + 1]]
             for j in todo[np.argsort(apart[todo], kind="stable")].tolist():
-                if root[j] != root[i] and _linked(own, grams[at[j] : at[j + 1]], how):
+                if root[j] != root[i] and _linked(sets[i], sets[j], how):
                     out.append((key[i], key[j]))
                     root[root == root[j]] = root[i]
-        return pd.DataFrame(out, columns=["a", "b"])
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _runs(batches, ["g1", "g2"]):
-            found = links_of(group)
-            if len(found):
-                yield found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, slices in _runs(batches, ["g1", "g2"]):
+            found = links_of(c, slices)
+            if found:
+                yield pa.record_batch([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=["a", "b"])
 
     dealt = groups.join(texts, "key").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "n", "key")
-    return dealt.select("g1", "g2", "key", "s1", "s2", "label", "text").mapInPandas(run, f"a {kind}, b {kind}")
+    return dealt.select("g1", "g2", "key", "s1", "s2", "label", "text").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
