@@ -9,10 +9,12 @@ log odds, less when misspelt, and by a window of words around it: quotation mark
 without a second person lower it, a second person raises it. The score is a logistic function of the
 summed evidence, its density and the text's length, fitted on the same rows with a pull to ``PRIOR``.
 
-Bounds: at most ``Lexicon.most`` labelled ids of each class and ``Lexicon.terms`` terms; never held-out
-rows. Scoring is one pass over whole texts without a shuffle. Nulls: a null text is empty, a null id is
-carried along with a null ``held_out``. Repeated rows are scored alike; an empty table gives none; without
-labels the lexicon is empty and all scores are the same low one.
+Bounds: at most ``Lexicon.most`` labelled ids of each class and ``Lexicon.terms`` terms besides the words
+under its stems, ``4 * Lexicon.terms`` in all; never held-out rows. A stem adds to its words: each word that
+tells enough by itself is searched with its misspellings, whether or not a stem of it is a term. Scoring is
+one pass over whole texts without a shuffle. Nulls: a null text is empty, a null id is carried along with a
+null ``held_out``. Repeated rows are scored alike; an empty table gives none; without labels the lexicon is
+empty and all scores are the same low one.
 """
 
 from __future__ import annotations
@@ -294,14 +296,22 @@ def learn(rows: DataFrame, lexicon: Lexicon = Lexicon()) -> Matcher:
     best = counted.where((F.col("term") != "") & (F.col("pos") >= lexicon.least)).withColumn("ratio", ratio).where((F.col("ratio") >= lexicon.likelihood) & (rates <= lexicon.impurity))
     picked = {r.term: (r.pos, r.neg, r.ratio) for r in best.orderBy(F.desc("ratio"), "term").limit(4 * lexicon.terms).collect()}  # bounded by the parameter
 
+    def weight(t: str) -> float:
+        pos, neg, _ = picked[t]
+        return round((max(0.0, min(PURE, math.log(pos / n_pos / ((neg + 0.5) / n_neg)))) / PURE) ** 1.5, 6)  # above 1: many weak hits are no strong one
+
     kept: dict[str, float] = {}
+    words: dict[str, str] = {}  # words under a kept stem, which stay open to misspelling, and that stem
     for t in sorted(picked, key=lambda t: (-picked[t][2], t.endswith("*"), -len(t), t)):
         body = t.rstrip("*")
-        if any(body[:n] + "*" in kept for n in range(lo, len(body) + 1)) or t.endswith("*") and any(x.startswith(body) for x in kept):
+        over = next((body[:n] + "*" for n in range(lo, len(body) + 1) if body[:n] + "*" in kept), None)
+        if over and not t.endswith("*"):
+            words[t] = over
+        if over or t.endswith("*") and any(x.startswith(body) for x in kept):
             continue  # of nested terms, the one that tells most about the label
-        pos, neg, _ = picked[t]
-        kept[t] = round((max(0.0, min(PURE, math.log(pos / n_pos / ((neg + 0.5) / n_neg)))) / PURE) ** 1.5, 6)  # above 1: many weak hits are no strong one
+        kept[t] = weight(t)
     kept = {t: w for t, w in list(kept.items())[: lexicon.terms] if w > 0}
+    kept |= {t: w for t, stem in words.items() if stem in kept and (w := weight(t)) > 0}
 
     rough = build_matcher(kept, PRIOR, frozenset(), lexicon)
     near = frozenset()

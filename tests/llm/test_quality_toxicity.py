@@ -153,3 +153,17 @@ def test_words_of_long_buffers_hash_alike():
     both = np.frombuffer(b"Abc abc", np.uint8)
     s, e, _ = K.words(both, np.array([0, 7]))
     assert len(np.unique(K.span_hashes(both, s, e))) == 2 and len(np.unique(K.span_hashes(both, s, e, lower=True))) == 1
+
+
+def hit_words(m, words):
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    low, starts, ends, _, _ = T.code_words(raw, np.array([0, len(raw)]))
+    return {words[w]: int(m.fuzzy[s]) for w, s in zip(*m.match(low, starts, ends), strict=True)}
+
+
+def test_a_stem_does_not_replace_its_words(spark):
+    toxic = [f"what an idiot number{i}" for i in range(60)] + ["all are idiots here", "some idiott came"]
+    clean = [f"plain words of text {i}" for i in range(200)]
+    m = T.learn(spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "__text string, __label int"))
+    assert "idiot" in m.terms and any(t.endswith("*") and "idiot".startswith(t[:-1]) for t in m.terms)
+    assert hit_words(m, ["idiot", "idiots", "idjot", "jdiot", "iddiot", "idolt", "plain"]) == {"idiot": 0, "idiots": 0, "idjot": 1, "jdiot": 1, "iddiot": 1}
