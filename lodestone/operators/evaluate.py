@@ -2,28 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .retrieval import blocks
 
 KS = (1, 3, 5, 10)
-#: Most evidence spans whose array is put in the plan; each text is then read once against all of them.
+#: Most short spans that are put in one array; more are cut into blocks, each of which reads the texts once.
 MOST_SPANS = 20_000
+#: Most hashes of spans that are broadcast; more are joined by shuffle.
+BROADCAST_SPANS = 1_000_000
 
 
 def evidence_matches(docs: DataFrame, quotes: DataFrame, doc_col: str = "doc_id", text_col: str = "text", quote_col: str = "item_id", quote_text: str = "text") -> DataFrame:
-    """(query, doc): documents whose normalised text holds the quote's key span."""
-    spans = quotes.select(F.col(quote_col).alias("query"), X.key_span(X.normalised(F.col(quote_text))).alias("span")).where("span != ''")
-    if spans.limit(MOST_SPANS + 1).count() > MOST_SPANS:
-        raise ValueError(f"more than {MOST_SPANS} quotes in one call")
-    table = spans.agg(F.collect_list(F.struct("query", "span")).alias("spans"))  # bounded by the check above
-    texts = docs.select(F.col(doc_col).alias("doc"), X.normalised(F.col(text_col)).alias("norm"))
+    """(query, doc): documents whose normalised text holds the quote's key span; any number of quotes.
+
+    A text that holds a span holds the words between the span's first and last as whole words, so the texts' word runs are
+    looked up by the hash of those, in one pass, and compared afterwards. Spans of one or two words, which have none, are
+    searched for in blocks."""
+    spans = quotes.select(F.monotonically_increasing_id().alias("asked"), F.col(quote_col).alias("query"), X.key_span(X.normalised(F.col(quote_text))).alias("span")).where("span != ''")
+    spans = spans.withColumn("inner", F.split("span", " ")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0))))
+    counts = {r.n: r["count"] for r in spans.groupBy(F.size("inner").alias("n")).count().collect()}  # one row for each length of a span
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_col).alias("doc"), X.normalised(F.col(text_col)).alias("norm"))
+    short = spans.where(F.size("inner") == 0).select("query", "span")
+    parts = [_held(texts, x) for x in blocks(short, ["query", "span"], counts.pop(0, 0), MOST_SPANS)]
+    if counts:
+        parts.append(_looked_up(texts, spans.where(F.size("inner") > 0), sorted(counts), sum(counts.values())))
+    return reduce(DataFrame.unionAll, parts) if parts else _held(texts, short)
+
+
+def _held(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each text read once against all of a bounded number of spans."""
+    table = spans.agg(F.collect_list(F.struct("query", "span")).alias("spans"))
     held = texts.crossJoin(F.broadcast(table)).select("doc", F.explode(F.filter("spans", lambda s: F.contains(F.col("norm"), s["span"]))).alias("s"))
     return held.select(F.col("s.query").alias("query"), "doc")
 
 
+def _looked_up(texts: DataFrame, spans: DataFrame, sizes: list[int], count: int) -> DataFrame:
+    spans = spans.withColumn("key", F.xxhash64("inner"))
+    keys = spans.select("key").distinct()
+    w = F.col("words")
+
+    def runs(n: int) -> Column:
+        """Every run of n words, by its hash, with the words at its sides."""
+        at = F.when(F.size(w) >= n + 2, F.sequence(F.lit(1), F.size(w) - n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, n)).alias("key"), F.array_join(F.slice(w, i, n + 2), " ").alias("around")))
+
+    found = texts.withColumn("words", F.split("norm", " ")).select("row", "doc", F.explode(F.concat(*map(runs, sizes))).alias("r")).select("row", "doc", "r.*")
+    found = found.join(F.broadcast(keys) if count <= BROADCAST_SPANS else keys, "key", "left_semi")
+    return found.join(spans, "key").where(F.contains("around", "span")).dropDuplicates(["row", "asked"]).select("query", "doc")
+
+
 def longest_run(quote: Column, text: Column) -> Column:
     """Longest run of the quote's words that occurs in the text as a character substring."""
     w = X.words(quote)

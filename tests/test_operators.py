@@ -236,3 +236,28 @@ def test_retry_rules(spark):
     assert one(spark, X.daily_limit(F.lit(429), F.lit("Requests Per Day"))) and not one(spark, X.daily_limit(F.lit(500), F.lit("per day")))
     assert one(spark, X.client_key(F.lit(" 1.2.3.4, 5"), F.lit("h"))) == "1.2.3.4" and one(spark, X.client_key(F.lit(None).cast("string"), F.lit(""))) == "?"
     assert one(spark, X.parsed_queries(F.lit('x {"queries": [" a ", "", "b"]} y'))) == ["a", "b"]
+
+
+def test_evidence_has_no_limit_of_quotes(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "MOST_SPANS", 3)
+    rng = random.Random(5)
+    made = lambda n: " ".join(rng.choice(["ab", "b", "ba", "a", "abba"]) for _ in range(n))
+    docs = [(i % 40, made(rng.randint(0, 60))) for i in range(50)] + [(99, None)]
+    quotes = [(i, made(rng.randint(0, 5))) for i in range(40)] + [(50 + i, docs[i][1][1:30]) for i in range(20)] + [(7, "ab b ba"), (80, None)]
+    got = evaluate.evidence_matches(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(quotes, "item_id int, text string"))
+
+    def span(text):
+        w = (text or "").split()
+        at = max((len(w) - 12) // 2, 0)
+        return " ".join(w[at : at + 12])
+
+    want = [(q, d) for q, quote in quotes for d, text in docs if span(quote) and span(quote) in (text or "")]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 200
+
+
+def test_dense_in_blocks_of_queries(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(30)], "doc int, vec array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "query int, vec array<double>")
+    whole, parts = ({tuple(r) for r in retrieval.dense(vectors, asked, 4, most).collect()} for most in (100, 2))
+    assert whole == parts and len(parts) == 36
+    assert retrieval.dense(vectors, asked.limit(0)).count() == 0
