@@ -18,6 +18,8 @@ from ..streaming import events as log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries that SQL does not state; tested against plain Python.
+WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def register(sql: str | None = None):
@@ -220,6 +222,51 @@ def chunk_paragraph_islands(spark, sf_dir):
     return runs.groupBy("conv_id", F.col("run").cast("long").alias("run")).agg(F.first("role").alias("role"), F.count("*").alias("n"), F.min("turn").alias("first_turn"))
 
 
+def _parsed(spark, sf_dir):
+    """Documents with their non-blank lines as numbered paragraphs: twelve a chapter, thirty a page."""
+    place = lambda x, i: F.struct(
+        x.alias("text"), F.floor(i / 30 + 1).alias("page_start"), F.floor(i / 30 + 1).alias("page_end"), F.concat(F.lit("Chapter "), F.floor(i / 12 + 1).cast("string")).alias("chapter"),
+        F.lit("").alias("heading"), (i + 1).cast("string").alias("para"), F.lit("text").alias("kind"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("source").alias("topic"), F.lit("").alias("source_url"), F.transform(lines, place).alias("paragraphs"))
+
+
+_PARAS = f"""l AS (SELECT doc_id, i, x AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, line, len(regexp_extract_all(line, {_WORDS})) AS t FROM l WHERE trim(line) <> '')"""
+
+
+@register(
+    f"""WITH {_PARAS}, w AS (SELECT doc_id, k, unnest(regexp_extract_all(line, {_WORDS})) AS x, generate_subscripts(regexp_extract_all(line, {_WORDS}), 1) AS j FROM p),
+a AS (SELECT doc_id, list(x ORDER BY k, j) AS ws, list(k ORDER BY k, j) AS ks, count(*) AS n FROM w GROUP BY doc_id), c AS (SELECT *, unnest(range(0, CASE WHEN n <= 100 THEN 1 ELSE ceil((n - 100) / 80.0)::BIGINT + 1 END)) AS c FROM a)
+SELECT doc_id, c::BIGINT AS chunk_no, array_to_string(ws[c * 80 + 1 : c * 80 + 100], ' ') AS text, least(100, n - c * 80)::BIGINT AS n_tokens, ks[c * 80 + 1]::VARCHAR AS first_para, ks[least(n, c * 80 + 100)]::VARCHAR AS last_para FROM c"""
+)
+def chunk_fixed_text(spark, sf_dir):
+    """Whole chunks of the fixed strategy."""
+    out = chunk.chunk_document(_parsed(spark, sf_dir), "fixed", 100, 20)
+    return out.select("doc_id", "chunk_no", "text", "n_tokens", F.element_at("paras", 1).alias("first_para"), F.element_at("paras", -1).alias("last_para"))
+
+
+@register(
+    f"""WITH RECURSIVE {_PARAS}, r AS (SELECT doc_id, k, t, line, t AS total, 0 AS g FROM p WHERE k = 1
+UNION ALL SELECT p.doc_id, p.k, p.t, p.line, CASE WHEN s THEN p.t ELSE r.total + p.t END, CASE WHEN s THEN r.g + 1 ELSE r.g END FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k + 1, LATERAL (SELECT r.total + p.t > 320 OR (p.k - 1) // 12 <> (r.k - 1) // 12 AS s))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::BIGINT AS passage_no, 'Chapter ' || ((min(k) - 1) // 12 + 1) AS section, string_agg(line, chr(10) ORDER BY k) AS text, sum(t)::BIGINT AS n_words FROM r GROUP BY doc_id, g HAVING sum(t) >= 80"""
+)
+def passage_runs(spark, sf_dir):
+    """Passages of 80 words and more: runs of lines of one chapter up to 320 words."""
+    return chunk.passages(_parsed(spark, sf_dir)).select("doc_id", "passage_no", "section", "text", "n_words")
+
+
+def chunk_recursive_text(spark, sf_dir):
+    return chunk.chunk_document(_parsed(spark, sf_dir), "recursive", 100)
+
+
+def chunk_section_text(spark, sf_dir):
+    return chunk.chunk_document(_parsed(spark, sf_dir), "section")
+
+
+WITHOUT_SQL |= {f.__name__: f for f in (chunk_recursive_text, chunk_section_text)}
+
+
 @register(
     r"""WITH s AS (SELECT doc_id, regexp_replace(text, '([.;:])[ \t\n\r\f\v]+([A-Z(0-9"''‘])', '\1' || chr(1) || '\2', 'g') AS t FROM documents), l AS (SELECT doc_id, string_split(t, chr(1)) AS parts FROM s)
 SELECT doc_id, (len(parts) - len(list_filter(parts[:-2], lambda x: regexp_matches(x, '(No\.|Rs\.|viz\.|i\.e\.|e\.g\.|etc\.|Sr\.|Para\.|Ltd\.|Co\.)$'))))::BIGINT AS n_sentences FROM l"""

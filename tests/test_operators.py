@@ -261,3 +261,34 @@ def test_dense_in_blocks_of_queries(spark):
     whole, parts = ({tuple(r) for r in retrieval.dense(vectors, asked, 4, most).collect()} for most in (100, 2))
     assert whole == parts and len(parts) == 36
     assert retrieval.dense(vectors, asked.limit(0)).count() == 0
+
+
+def para(text, number="", chapter="", heading="", page=1, kind="text"):
+    return (text, page, page, chapter, heading, number, kind)
+
+
+def parsed(spark, *paras):
+    kind = "doc_id string, title string, topic string, source_url string, paragraphs array<struct<text:string,page_start:long,page_end:long,chapter:string,heading:string,para:string,kind:string>>"
+    return spark.createDataFrame([("d", "Master Direction – Loans, dated June 2", "t", "u", list(paras)), ("e", None, None, None, None)], kind)
+
+
+def test_long_lines_are_split_to_fit(spark):
+    long = " ".join(f"w{i}" for i in range(5000))
+    got = chunk.chunk_document(parsed(spark, para("First words. " + long, "1")), "recursive", 100).orderBy("chunk_no").collect()
+    assert max(r.n_tokens for r in got) == 100 and " ".join(r.text for r in got) == "First words. " + long
+    count = lambda t: len(t.replace(" ", ""))
+    text = "Aa bb. Cc No. 5 dd; Eeeeee fffff ggggg hhhhh. Ii."
+    assert chunk.split_to_fit(text, 12, count) == ["Aa bb.", "Cc No. 5 dd;", "Eeeeee fffff", "ggggg hhhhh.", "Ii."]
+    assert chunk.split_to_fit(text, 12, count, compat=True) == ["Aa bb.", "Eeeeee fffff", "Cc No. 5 dd;", "ggggg hhhhh.", "Ii."]
+
+
+def test_section_chunks_hold_text_and_place(spark):
+    paras = [para("Head", kind="heading"), para("a b c", "1", "C1"), para("d e", "1.2", "C1", page=2), para("f g", "2", "C1", page=3), para("h", "3", "C2", "H", 4)]
+    got = chunk.chunk_document(parsed(spark, *paras), "section", 100, min_tokens=4).orderBy("chunk_no").collect()
+    assert [(r.chunk_id, r.header, r.text, r.paras, r.page_start, r.page_end, r.n_tokens) for r in got] == [
+        ("d:section:0000", "Loans > C1", "a b c d e", ["1", "1.2"], 1, 2, 8), ("d:section:0001", "Loans > C1", "f g", ["2"], 3, 3, 5), ("d:section:0002", "Loans > C2 > H", "h", ["3"], 4, 4, 6),
+    ]
+    with pytest.raises(ValueError):
+        chunk.chunk_document(parsed(spark), "other")
+    fixed = chunk.chunk_document(parsed(spark, *paras), "fixed", 4, 1).orderBy("chunk_no").collect()
+    assert [(r.text, r.paras) for r in fixed] == [("Head a b c", ["1"]), ("c d e f", ["1", "1.2", "2"]), ("f g h", ["2", "3"])]
