@@ -94,6 +94,8 @@ class Matcher:
 
     table: np.ndarray
     symbol: np.ndarray
+    far: np.ndarray  # the lexicon's letters from ``_TOP`` on, sorted, and their symbols
+    far_symbol: np.ndarray
     found: np.ndarray
     fuzzy: np.ndarray
     final: np.ndarray
@@ -106,6 +108,10 @@ class Matcher:
     def match(self, lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(words, states): the words that end in, or pass through, an accepting state."""
         symbols = self.symbol[np.minimum(lowered, _TOP)]
+        if len(self.far):
+            high = np.flatnonzero(lowered >= _TOP)
+            at = np.minimum(np.searchsorted(self.far, lowered[high]), len(self.far) - 1)
+            symbols[high] = np.where(self.far[at] == lowered[high], self.far_symbol[at], symbols[high])
         live, state = np.arange(len(starts)), np.ones(len(starts), np.int32)
         got_word, got_state = [], []
         depth = 0
@@ -153,6 +159,8 @@ def build_matcher(weights: dict[str, float], curve: tuple[float, ...] = PRIOR, o
     for i, c in enumerate(letters):
         if ord(c) < _TOP:
             symbol[ord(c)] = i + 1
+    far = [c for c in letters if ord(c) >= _TOP]
+    symbol_of = {c: i + 1 for i, c in enumerate(letters)}
     most = lexicon.max_edits
 
     def closed(items: set[tuple[int, int]]) -> frozenset:
@@ -196,15 +204,15 @@ def build_matcher(weights: dict[str, float], curve: tuple[float, ...] = PRIOR, o
         final.append(bool(through))
         found.append(through[0] if through else ended[0][1] if ended else 0)
         fuzzy.append(0 if through or not ended else ended[0][0])
-        row = []
-        for c in [None, *letters] if not through else []:
+        row = np.zeros(len(letters) + 1, np.int32)
+        for c in [None, *sorted({c for n, _ in here for c in child[n]})] if not through else []:  # all others act as no letter of the lexicon
             to = step(here, c)
             if to not in index:
                 index[to] = len(order)
                 order.append(to)
-            row.append(index[to])
-        table.append(row or [0] * (len(letters) + 1))
-    return Matcher(np.array(table, np.int32), symbol, np.array(found), np.array(fuzzy), np.array(final), tuple(terms), np.array([0.0] + [weights[t] for t in terms]), curve, ordinary, lexicon)
+            row[symbol_of[c] if c else slice(None)] = index[to]
+        table.append(row)
+    return Matcher(np.array(table, np.int32), symbol, np.array([ord(c) for c in far], np.uint32), np.array([symbol_of[c] for c in far], np.int32), np.array(found), np.array(fuzzy), np.array(final), tuple(terms), np.array([0.0] + [weights[t] for t in terms]), curve, ordinary, lexicon)
 
 
 def _context(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: int, lo: int, hi: int, bounds: tuple[int, int], lexicon: Lexicon) -> float:

@@ -167,3 +167,10 @@ def test_a_stem_does_not_replace_its_words(spark):
     m = T.learn(spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "__text string, __label int"))
     assert "idiot" in m.terms and any(t.endswith("*") and "idiot".startswith(t[:-1]) for t in m.terms)
     assert hit_words(m, ["idiot", "idiots", "idjot", "jdiot", "iddiot", "idolt", "plain"]) == {"idiot": 0, "idiots": 0, "idjot": 1, "jdiot": 1, "iddiot": 1}
+
+
+def test_terms_of_every_script_are_found():
+    m = T.build_matcher({"멍청이바보": 1.0, "ばか*": 1.0, "🤡🤡🤡": 1.0, "笨蛋": 1.0, "idiot": 1.0})
+    assert hit_words(m, ["멍청이바보", "멍청이바", "멍청이한보", "ばかやろう", "🤡🤡🤡", "笨蛋", "笨人", "漢字", "idi漢t"]) == {
+        "멍청이바보": 0, "멍청이바": 1, "멍청이한보": 1, "ばかやろう": 0, "🤡🤡🤡": 0, "笨蛋": 0, "idi漢t": 1,
+    }
