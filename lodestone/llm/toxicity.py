@@ -253,18 +253,18 @@ def score_of(m: Matcher, total: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return np.round(1 / (1 + np.exp(-np.clip(_terms_of(total, n_words) @ np.array(m.curve), -500, 500))), 9)
 
 
-def fit_curve(total: np.ndarray, n_words: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic coefficients by damped Newton steps, with a quadratic pull of weight 1 to ``PRIOR``."""
+def fit_curve(total: np.ndarray, n_words: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[float, ...]:
+    """Logistic coefficients by damped Newton steps, with a quadratic pull of weight 1 to ``PRIOR``; each row counts ``times``."""
     x, prior = _terms_of(total, n_words), np.array(PRIOR)
 
     def loss(b: np.ndarray) -> float:
         z = x @ b
-        return float(np.logaddexp(0, z).sum() - y @ z + ((b - prior) ** 2).sum() / 2)
+        return float(times @ (np.logaddexp(0, z) - y * z) + ((b - prior) ** 2).sum() / 2)
 
     beta, now = prior.copy(), loss(prior)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(beta)), x.T @ (p - y) + beta - prior)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + np.eye(len(beta)), x.T @ (times * (p - y)) + beta - prior)
         size = 1.0
         while size > 1e-10 and loss(beta - size * step) > now:
             size /= 2
@@ -340,8 +340,7 @@ def learn(rows: DataFrame, lexicon: Lexicon = Lexicon()) -> Matcher:
             yield pa.record_batch([pa.array(total), pa.array(n_words), batch.column(1)], names=["total", "n_words", "label"])
 
     x = rows.mapInArrow(measured, "total double, n_words long, label int").groupBy("total", "n_words", "label").count().collect()  # of the bounded sample
-    x = np.array([tuple(r)[:3] for r in sorted(x) for _ in range(min(r[3], 1000))])
-    return build_matcher(kept, fit_curve(x[:, 0], x[:, 1], x[:, 2]), near, lexicon)
+    return build_matcher(kept, fit_curve(*np.array([tuple(r) for r in sorted(x)], float).T), near, lexicon)
 
 
 def score_documents(docs: DataFrame, matcher: Matcher, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

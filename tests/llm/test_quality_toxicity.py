@@ -174,3 +174,15 @@ def test_terms_of_every_script_are_found():
     assert hit_words(m, ["멍청이바보", "멍청이바", "멍청이한보", "ばかやろう", "🤡🤡🤡", "笨蛋", "笨人", "漢字", "idi漢t"]) == {
         "멍청이바보": 0, "멍청이바": 1, "멍청이한보": 1, "ばかやろう": 0, "🤡🤡🤡": 0, "笨蛋": 0, "idi漢t": 1,
     }
+
+
+def test_the_curve_counts_every_row(spark, monkeypatch):
+    total, n, y, times = np.array([0.0, 0.9, 0.0]), np.array([5.0, 9.0, 40.0]), np.array([0.0, 1.0, 1.0]), np.array([2500.0, 40.0, 300.0])
+    again = [np.repeat(a, times.astype(int)) for a in (total, n, y)]
+    assert np.allclose(T.fit_curve(total, n, y, times), T.fit_curve(*again, np.ones(len(again[0]))), atol=1e-4)
+    seen = []
+    real = T.fit_curve
+    monkeypatch.setattr(T, "fit_curve", lambda *a: seen.append(a) or real(*a))
+    rows = [("plain and short", 0)] * 3000 + [(f"you idiot number{i}", 1) for i in range(30)]
+    T.learn(spark.createDataFrame(rows, "__text string, __label int"))
+    assert seen[0][3].sum() == 3030
