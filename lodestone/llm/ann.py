@@ -147,11 +147,13 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", ix: Index = Index()) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row that ``is_query`` (over column ``id``) picks."""
+    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row that ``is_query`` (over column ``id``) picks.
+
+    Equal query rows are one query; different vectors of one id are queries of their own, each with its ranks."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     width = rows.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, key long, vec_id long, score double"
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = written(rows.where(F.size("vec") == width.w), "ann-rows")
@@ -174,22 +176,22 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                 near = _unit(_matrix(batch.column(1).to_pandas())) @ probe_unit.T
                 near[ids[:, None] == probe_ids[None, :]] = -1.0
                 kth = np.partition(near, -ix.k, axis=1)[:, -ix.k] if near.shape[1] >= ix.k else np.full(len(ids), -1.0)
-                yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(2 - 2 * kth + 1e-12)], names=["id", "vec", "chunk", "bound"])
+                yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(2 - 2 * kth + 1e-12)], names=["id", "vec", "chunk", "key", "bound"])
 
-    queries = rows.where(is_query).select("id", "vec", chunk.alias("chunk")).mapInArrow(first_bound, "id long, vec array<double>, chunk int, bound double")
+    queries = rows.where(is_query).distinct().select("id", "vec", chunk.alias("chunk"), F.xxhash64("vec").alias("key")).mapInArrow(first_bound, "id long, vec array<double>, chunk int, key long, bound double")
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def block_search(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "key": [], "vec_id": [], "score": []})
         mine, theirs = mine.sort_values("id", kind="stable"), theirs.sort_values("id", kind="stable")
         ids, raw = mine["id"].to_numpy(), _matrix(mine["vec"])
         q_ids, q_raw = theirs["id"].to_numpy(), _matrix(theirs["vec"])
         q, r, _ = search(ids, _unit(raw), q_ids, _unit(q_raw), theirs["bound"].to_numpy(), ix)
-        return pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[r], "score": exact_cosine(q_raw[q], raw[r])})
+        return pd.DataFrame({"query_id": q_ids[q], "key": theirs["key"].to_numpy()[q], "vec_id": ids[r], "score": exact_cosine(q_raw[q], raw[r])})
 
     found = data.groupBy("block", "chunk").cogroup(queries.groupBy("block", "chunk")).applyInPandas(block_search, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ix.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

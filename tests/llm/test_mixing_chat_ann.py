@@ -168,3 +168,18 @@ def test_awkward_vectors(spark):
     assert got == {0: [1, 50, 8, 9, 9], 50: [0, 1, 8, 9, 9]}
     assert ann.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
     assert ann.nearest(df.where("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
+
+
+def test_repeated_query_rows_lose_no_neighbours(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (50, x[49].tolist()), (100, x[3].tolist()), (100, x[4].tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert sorted(r for r, _ in got[50]) == [1, 2, 3, 4, 5] and len({v for _, v in got[50]}) == 5
+    assert sorted(r for r, _ in got[100]) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    best = {tuple(np.argsort(-(unit @ unit[q]), kind="stable")[:5] + 1) for q in (3, 4)}
+    assert {v for _, v in got[100]} == {v for b in best for v in b}
