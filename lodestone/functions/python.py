@@ -2,29 +2,74 @@
 
 from __future__ import annotations
 
-import difflib
-import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text as X
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def near_quote(quote: str, text: str, ratio: float = 0.9) -> str | None:
-    """The quote as it stands in the text: exact, else the window anchored at the longest common block if it is alike enough."""
-    if quote in text:
-        return quote
-    block = difflib.SequenceMatcher(None, text, quote, autojunk=False).find_longest_match()
-    at = max(0, block.a - block.b)
-    window = text[at : at + len(quote)]
-    alike = difflib.SequenceMatcher(None, window, quote, autojunk=False).ratio()
-    return re.sub(r"\s+", " ", window).strip() if window and alike >= ratio else None
+def normal_form(text: Column) -> Column:
+    """Compatibility forms, plain quotes and dashes, lower case, single blanks. ASCII texts never reach Python's normaliser."""
+    return X.normalised(F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text))
+
+
+def plain(text: str) -> str:
+    """``normal_form`` of one string."""
+    return " ".join(unicodedata.normalize("NFKC", text).translate(str.maketrans("‘’“”–—‑", "''\"\"---")).lower().split())
+
+
+def _signs(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, one row of the table at a time."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for c in a:
+        reached = np.maximum(row[1:], np.where(b == c, row[:-1] + 1, 0))
+        row[1:] = np.maximum.accumulate(reached)
+    return int(row[-1])
+
+
+def near_quote(quote: str, text: str, alike: float = 0.9, gram: int = 4) -> str | None:
+    """The stretch of ``text`` that says ``quote``, both in normal form: the quote itself, else the best window of its length that
+    shares ``alike`` of its characters in order; null for an empty quote or if none does.
+
+    Windows worth comparing begin where the text's character runs of length ``gram`` vote for one offset: each run that both have
+    votes for the offset at which it would match."""
+    quote, text = plain(quote), plain(text)
+    if not quote or quote in text:
+        return quote or None
+    if len(text) < gram or len(quote) < gram:
+        return None
+    places: dict[str, list[int]] = {}
+    for i in range(len(quote) - gram + 1):
+        places.setdefault(quote[i : i + gram], []).append(i)
+    votes = np.zeros(len(text) + len(quote), np.int64)
+    for j in range(len(text) - gram + 1):
+        for i in places.get(text[j : j + gram], ()):
+            votes[j - i + len(quote)] += 1
+    wide = np.convolve(votes, np.ones(2 * max(1, len(quote) // 20) + 1, np.int64), "same")  # an edit moves what follows by one
+    best, found = 0.0, None
+    for offset in np.argsort(-wide, kind="stable")[:8]:
+        if not wide[offset]:
+            break
+        at = max(0, int(offset) - len(quote))
+        window = text[at : at + len(quote)]
+        share = 2 * _common(_signs(window), _signs(quote)) / (len(window) + len(quote))
+        if share >= alike and share > best:
+            best, found = share, window.strip()
+    return found
 
 
 @F.pandas_udf(T.StringType())

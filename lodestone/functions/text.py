@@ -148,11 +148,13 @@ def parsed_queries(reply: Column) -> Column:
     """Non-blank strings of the ``queries`` list in the outermost braces; empty for bad JSON."""
     body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
     found = F.coalesce(F.from_json(body, "queries array<string>")["queries"], F.array().cast("array<string>"))
-    return F.filter(F.transform(found, F.trim), lambda q: q.isNotNull() & (q != ""))
+    blank = r"(?U)^\s+|\s+$"
+    return F.filter(F.transform(found, lambda q: F.regexp_replace(q, blank, "")), lambda q: q.isNotNull() & (q != ""))
 
 
 def daily_limit(status: Column, body: Column) -> Column:
-    return (status == 429) & F.regexp_replace(F.lower(body), r"[\s_-]", "").contains("perday")
+    """A quota that waiting will not bring back today."""
+    return (status == 429) & F.lower(body).rlike("per ?day")
 
 
 def retry_delay(retry_after: Column, attempt: Column) -> Column:

@@ -135,12 +135,28 @@ def rrf_nested(spark, sf_dir):
 
 
 @register(
-    """WITH k AS (SELECT unnest([0, 3, 5, 10, 50]) AS k), r AS (SELECT unnest([false, true]) AS reranks), v AS (SELECT unnest([0, 2]) AS variants)
-SELECT k::BIGINT AS k, reranks, variants::BIGINT AS variants, (CASE WHEN reranks OR variants > 0 THEN greatest(CASE WHEN k = 0 THEN 5 ELSE k END, 30) ELSE CASE WHEN k = 0 THEN 5 ELSE k END END)::BIGINT AS depth FROM k, r, v"""
+    """WITH r AS (SELECT event_type AS mode_of, user_id % 7 AS k, event_id % 2 = 0 AS reranks, event_id % 3 AS variants FROM events), m AS (SELECT CASE WHEN mode_of IN ('click', 'view') THEN 'hybrid' WHEN mode_of = 'purchase' THEN 'dense' ELSE 'bm25' END AS mode, * FROM r),
+d AS (SELECT DISTINCT mode, k, reranks, variants, CASE WHEN k = 0 THEN 5 WHEN k = 6 THEN 50 ELSE k END AS wanted FROM m)
+SELECT mode, k::BIGINT AS k, reranks, variants::BIGINT AS variants, (CASE WHEN mode = 'hybrid' THEN greatest(wanted, 30) WHEN reranks OR variants > 0 THEN greatest(wanted, 30) ELSE wanted END)::BIGINT AS depth FROM d"""
 )
 def candidate_depth(spark, sf_dir):
-    rows = [(k, r, v, retrieval.candidate_depth(k, 5, r, v, "hybrid")) for k in (0, 3, 5, 10, 50) for r in (False, True) for v in (0, 2)]
-    return spark.createDataFrame(rows, "k long, reranks boolean, variants long, depth long")
+    """The depth of every combination of mode, k, reranking and variants that the log holds (six and more stand for a k of 50)."""
+    event, kind = F.col("event_id"), F.col("event_type")
+    mode = F.when(kind.isin("click", "view"), "hybrid").when(kind == "purchase", "dense").otherwise("bm25")
+    asked = table(spark, sf_dir, "events").select(mode.alias("mode"), (F.col("user_id") % 7).alias("k"), (event % 2 == 0).alias("reranks"), (event % 3).alias("variants")).distinct()
+    depths = [(m, k, r, v, retrieval.candidate_depth(50 if k == 6 else k, 5, r, v, m)) for m in retrieval.MODES for k in range(7) for r in (False, True) for v in range(3)]
+    return asked.join(F.broadcast(spark.createDataFrame(depths, "mode string, k long, reranks boolean, variants long, depth long")), ["mode", "k", "reranks", "variants"])  # 126 rows
+
+
+@register("SELECT event_type, sum((props->>'k')::BIGINT % 3 + 1)::BIGINT AS queries, count(*) FILTER (WHERE (props->>'k')::BIGINT % 2 = 0)::BIGINT AS fenced FROM events GROUP BY event_type")
+def parsed_queries(spark, sf_dir):
+    """Search queries read from a rewriter's replies: blanks are cut, blank ones go, some replies have text around their JSON."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    listed = F.array_join(F.concat(F.array_repeat(F.lit('" 0 some query 9 "'), (k % 3 + 1).cast("int")), F.array(F.lit('"  "'))), ",")
+    body = F.concat(F.lit('{"queries": ['), listed, F.lit("]}"))
+    found = X.parsed_queries(F.when(k % 2 == 0, F.concat(F.lit("Here: ```json "), body, F.lit("```"))).otherwise(body))
+    good = F.size(F.filter(found, lambda q: q == "0 some query 9"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(good).cast("long").alias("queries"), F.sum((k % 2 == 0).cast("long")).alias("fenced"))
 
 
 @register(

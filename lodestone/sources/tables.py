@@ -49,8 +49,8 @@ def write_partition(rows: DataFrame, path: str, by: str) -> None:
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, name, stem, size, sha256, kind, modified): kind is pdf, blocked (a bot check) or other, by content."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    head = F.decode(F.substring(F.col("content"), 1, 4096), "ISO-8859-1")
-    kind = F.when(F.substring(F.col("content"), 1, 4) == F.encode(F.lit("%PDF"), "UTF-8"), "pdf").when(F.lower(head).contains("captcha") | head.contains("TSPD"), "blocked").otherwise("other")
+    body = F.decode(F.col("content"), "ISO-8859-1")
+    kind = F.when(F.substring(F.col("content"), 1, 4) == F.encode(F.lit("%PDF"), "UTF-8"), "pdf").when(F.lower(body).contains("captcha") | body.contains("TSPD"), "blocked").otherwise("other")
     name = F.element_at(F.split("path", "/"), -1)
     stem = F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), r" \(.*$", "")
     return raw.select("path", name.alias("name"), stem.alias("stem"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), kind.alias("kind"), F.col("modificationTime").alias("modified"))

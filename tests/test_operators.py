@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,14 +130,40 @@ def test_longest_run(spark):
 
 
 def test_limiter_ignores_refused_calls_and_tells_the_wait():
-    s = state.SlidingLimiter(2, 60)
-    assert [s.wait(t) for t in (0, 10, 20, 59, 60, 61)] == [0, 0, 40, 1, 0, 9]
-    assert state.SlidingLimiter(0, 60).wait(1) == 0
+    times = np.array([0, 10, 20, 59, 60, 61]) * state.SECOND
+    wait, last = state.admissions(times, 2, 60 * state.SECOND)
+    assert (wait / state.SECOND).tolist() == [0, 0, 40, 1, 0, 9] and (last / state.SECOND).tolist() == [10, 60]
+    assert state.admissions(times, 0, 60)[0].tolist() == [0] * 6
+    rng = random.Random(6)
+    for limit in (1, 3):
+        times = np.sort(np.array([rng.randint(0, 400) for _ in range(200)]))
+        hits, want = [], []
+        for t in times:
+            live = [h for h in hits if t - h < 50]
+            want.append(0 if len(live) < limit else 50 - (t - live[-limit]))
+            if len(live) < limit:
+                hits.append(t)
+        parts, last = [], np.zeros(0, np.int64)
+        for piece in np.array_split(times, 7):
+            wait, last = state.admissions(piece, limit, 50, last)
+            parts += wait.tolist()
+        assert parts == want
 
 
 def test_cache_expires_and_evicts():
-    c = state.ExpiringCache(2, 10)
-    assert [c.hit("a", 0), c.hit("a", 10), c.hit("a", 11), c.hit("b", 12), c.hit("a", 13), c.hit("c", 14), c.hit("b", 15)] == [False, True, False, False, True, False, False]
+    c = state.RecentEntries(2, 10)
+    asked = [("a", 0), ("a", 10), ("a", 11), ("b", 12), ("a", 13), ("c", 14), ("b", 15)]
+    assert [c.ask(*x) for x in asked] == [False, True, False, False, True, False, False]
+    assert not state.RecentEntries(0, 10).ask("a", 1)
+    hit, born = state.expiring_hits(np.array([0, 10, 11, 15, 30]), 10)
+    assert hit.tolist() == [False, True, False, True, False] and born == 30
+
+
+def test_refused_calls_always_wait(spark):
+    calls = spark.createDataFrame([("u", 1, 0.0), ("u", 2, 59.99), (None, 3, 1.0), (None, 4, 2.0)], "k string, event_id int, s double").selectExpr("k", "event_id", "timestamp_micros(cast(s * 1000000 as long)) as ts")
+    assert {r.event_id: r.wait_s for r in state.rate_limited(calls, "k", ["ts", "event_id"], 1, 60.0).collect()} == {1: 0.0, 2: 0.1, 3: 0.0, 4: 59.0}
+    got = state.recent_hits(calls.withColumn("c", F.lit(1)), "c", "k", ["ts", "event_id"], 1, 3600.0)
+    assert {r.event_id: r.hit for r in got.collect()} == {1: False, 2: False, 3: False, 4: True}
 
 
 def reader(lines):
@@ -206,6 +234,32 @@ def test_stream_limiter_equals_batch(spark, tmp_path):
     assert sorted((r.event_id, r.allowed) for r in spark.table("limited").collect()) == sorted((r.event_id, r.wait_s == 0) for r in batch.collect())
 
 
+def test_streams_drop_late_rows_and_forget_old_state(spark, tmp_path):
+    """Four files, one a batch: the second moves the watermark, so the last one's old row is too late."""
+    from lodestone.streaming import events as log
+
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = [[(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:10:00")], [(3, "2024-01-02 00:00:00")], [(5, "2024-01-02 00:01:00")], [(4, "2024-01-01 00:20:00"), (6, "2024-01-02 00:02:00")]]
+    for i, part in enumerate(rows):
+        made = spark.createDataFrame([(e, t, 7, "a", 1.0, "{}") for e, t in part], "event_id long, t string, user_id long, event_type string, value double, props string")
+        made.selectExpr("event_id", "cast(t as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    import shutil
+
+    (tmp_path / "flat").mkdir()
+    for i in range(4):
+        part = next((tmp_path / "in" / str(i)).glob("*.parquet"))
+        shutil.move(part, tmp_path / "flat" / f"{i}.parquet")
+        os.utime(tmp_path / "flat" / f"{i}.parquet", (1_700_000_000 + i * 60,) * 2)
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/flat").withColumn("ts", F.col("ts").cast("timestamp"))
+    for name, made, mode in (("late_limit", log.limited(stream, 1, 3600.0, "1 hour"), "append"), ("late_hours", log.tumbling(stream, "1 hour", "1 hour"), "update"), ("late_questions", log.distinct_questions(stream, "event_type", 3600.0), "append")):
+        q = made.writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/{name}").outputMode(mode).start()
+        q.processAllAvailable()
+        q.stop()
+    assert {r.event_id: r.allowed for r in spark.table("late_limit").collect()} == {1: True, 2: False, 3: True, 5: False, 6: False}
+    assert sorted(r.n for r in spark.table("late_hours").collect()) == [1, 2, 2, 3]  # hour of day one: 2; of day two: 1, then 2, then 3
+    assert sorted(r.event_id for r in spark.table("late_questions").collect()) == [1, 3]
+
+
 def test_sources(spark, tmp_path):
     from lodestone.sources import tables
 
@@ -223,19 +277,26 @@ def test_sources(spark, tmp_path):
 
 
 def test_python_functions(spark):
-    from lodestone.functions.python import near_quote, nfkc
+    from lodestone.functions.python import located_quote, near_quote, nfkc, normal_form
 
-    assert spark.createDataFrame([("ﬁn",)], "t string").select(nfkc("t")).first()[0] == "fin"
-    assert near_quote("bank shall lend", "the bank shall lend now") == "bank shall lend"
-    assert near_quote("the bank shall lend today", "now the bank shal lend today too") is not None
-    assert near_quote("nothing like it", "some other words here") is None
+    made = spark.createDataFrame([("ﬁn – “X”  y",)], "t string")
+    assert made.select(nfkc("t")).first()[0] == "fin – “X”  y" and made.select(normal_form(F.col("t"))).first()[0] == 'fin - "x" y'
+    assert near_quote("Bank  shall lend", "the BANK shall lend now") == "bank shall lend"
+    near = near_quote("the bank shall lend to any person today", "now the bank shal lend to any person today too")
+    assert near is not None and "bank shal lend" in near
+    assert near_quote("nothing like it", "some other words here") is None and near_quote("", "text") is None and near_quote("abc", "") is None
+    assert near_quote("“quoted” – text", 'a "quoted" - text') == '"quoted" - text'
+    pairs = spark.createDataFrame([("shall lend", "It SHALL  lend."), (None, "x"), ("x", None)], "q string, t string")
+    assert [r[0] for r in pairs.select(located_quote("q", "t")).collect()] == ["shall lend", None, None]
 
 
 def test_retry_rules(spark):
     assert one(spark, X.retry_delay(F.lit(100.0), F.lit(1))) == 90 and one(spark, X.retry_delay(F.lit(None).cast("double"), F.lit(3))) == 8
     assert one(spark, X.daily_limit(F.lit(429), F.lit("Requests Per Day"))) and not one(spark, X.daily_limit(F.lit(500), F.lit("per day")))
+    assert one(spark, X.daily_limit(F.lit(429), F.lit("PerDay limit"))) and not one(spark, X.daily_limit(F.lit(429), F.lit("per_day, per-day")))
     assert one(spark, X.client_key(F.lit(" 1.2.3.4, 5"), F.lit("h"))) == "1.2.3.4" and one(spark, X.client_key(F.lit(None).cast("string"), F.lit(""))) == "?"
     assert one(spark, X.parsed_queries(F.lit('x {"queries": [" a ", "", "b"]} y'))) == ["a", "b"]
+    assert one(spark, X.parsed_queries(F.lit('{"queries": ["\\n0 x 1\\t", null, 3]}'))) == ["0 x 1", "3"] and one(spark, X.parsed_queries(F.lit("{broken}"))) == []
 
 
 def test_evidence_has_no_limit_of_quotes(spark, monkeypatch):
