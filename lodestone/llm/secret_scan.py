@@ -1,18 +1,18 @@
-"""Secret scans: one combined deterministic automaton reads every byte once; hits are then confirmed.
+"""Secret scans: one combined deterministic automaton reads every byte once, and gives the spans.
 
-All rules are compiled into one minimal automaton (``automata``). Lanes between bytes that occur in
-no rule run through it in lockstep; only lanes that reach an accepting state are matched again by
-the rules' exact expressions, which cannot cross such bytes, so whole-text and lane results agree.
-The transition arrays (some MB, fixed by the rules) travel in the closure; a scan has no shuffle.
+All rules are compiled into one minimal automaton (``automata``). Lanes, cut where no rule can have a match under way, run through it
+in lockstep; in lanes that reach its final state the rules' own automata, over the same byte classes, give the spans' starts and ends
+(leftmost, longest, not overlapping for each kind; length limits are states). As no match crosses a lane's border, whole-text and
+lane results agree. The transition arrays (some hundred KB, fixed by the rules) travel in the closure; a scan has no shuffle.
 
-Nulls: a null text is empty and has no span; a null id is carried along. Repeated rows each give a
-row. An empty table gives an empty result. Other columns never meet the result's own columns.
+Nulls: a null text is empty and has no span; a null id is carried along. Repeated rows each give a row, ties do not arise. An empty
+table gives an empty result. Very long texts are read whole, lane by lane; one without any border is a single lane, walked byte by
+byte. Other columns never meet the result's own columns.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,51 +28,43 @@ _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALNUM = _DIGIT + _UPPER + _UPPER.lower()
 _VALUE = _ALNUM + b"+/_.=-"
 
-#: Kinds in order: the exact expression, the group whose length counts, the least length.
-RULES: list[tuple[str, re.Pattern, int, int]] = [
-    ("assign", re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
-    ("access", re.compile(rb"AKIA[A-Z0-9]+"), 0, 20),
-    ("hex", re.compile(rb"[0-9a-f]+"), 0, 24),
-    ("private_key", re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 0),
-    ("code_host", re.compile(rb"gh[pousr]_[A-Za-z0-9]+"), 0, 40),
-    ("chat_host", re.compile(rb"xox[abprs]-[A-Za-z0-9-]+"), 0, 15),
-    ("payment", re.compile(rb"[rs]k_live_[A-Za-z0-9]+"), 0, 24),
-    ("login_url", re.compile(rb"://[A-Za-z0-9._-]+:[A-Za-z0-9._-]+@"), 0, 0),
-]
 BASE = ("assign", "access", "hex")
 
 
-def _patterns() -> list[A.Pattern]:
-    """The rules over bytes. The base rules are whole; of the others' long tails the first bytes are
-    enough to call the exact expression, which keeps the product of their counters small."""
+def _rules() -> list[A.Rule]:
+    """The kinds in order. A rule's length limit counts inside its automaton: ``passes`` is the part of ``match`` that is long enough.
+    ``search`` only has to fire in every lane with a passing match: of the added kinds' tails the first bytes do, which keeps the
+    product of their counters small."""
     quote = A.repeat(A.chars(b"\"'"), 0, 1)
     blanks = A.repeat(A.chars(b" "), 0, None)
     word = lambda s: A.lit(s, any_case=True)
+    some = lambda allowed, least: A.repeat(A.chars(allowed), least, None)
     key = A.alt(word("password"), word("passwd"), word("secret"), word("token"), A.seq(word("api"), A.repeat(A.lit("_"), 0, 1), word("key")))
-    name = A.repeat(A.chars(_ALNUM + b"._-"), 1, None)
+    given = A.seq(key, quote, blanks, A.chars(b":="), blanks, quote)
+    name = some(_ALNUM + b"._-", 1)
+    url = A.seq(A.lit("://"), name, A.lit(":"))
+    login = A.seq(url, name, A.lit("@"))
+    block = A.seq(A.lit("-----BEGIN "), A.repeat(A.chars(_UPPER + b" "), 0, None), A.lit("PRIVATE KEY-----"))
+
+    def tail(kind: str, front: A.Pattern, allowed: bytes, least: int, seen: int) -> A.Rule:
+        """``front``, then bytes of ``allowed``: one or more match, ``least`` pass."""
+        return A.Rule(kind, A.seq(front, A.repeat(A.chars(allowed), seen, seen)), A.seq(front, some(allowed, 1)), A.seq(front, some(allowed, least)))
+
     return [
-        A.seq(key, quote, blanks, A.chars(b":="), blanks, quote, A.repeat(A.chars(_VALUE), 6, 6)),
-        A.seq(A.lit("AKIA"), A.repeat(A.chars(_UPPER + _DIGIT), 16, 16)),
-        A.repeat(A.chars(b"0123456789abcdef"), 24, 24),
-        A.lit("-----BEGIN "),
-        A.seq(A.lit("gh"), A.chars(b"pousr"), A.lit("_"), A.repeat(A.chars(_ALNUM), 2, 2)),
-        A.seq(A.lit("xox"), A.chars(b"abprs"), A.lit("-"), A.chars(_ALNUM)),
-        A.seq(A.chars(b"rs"), A.lit("k_live_"), A.chars(_ALNUM)),
-        A.seq(A.lit("://"), name, A.lit(":")),
+        tail("assign", given, _VALUE, 6, 6),
+        tail("access", A.lit("AKIA"), _UPPER + _DIGIT, 16, 16),
+        tail("hex", A.seq(), b"0123456789abcdef", 24, 24),
+        A.Rule("private_key", A.lit("-----BEGIN "), block, block),
+        tail("code_host", A.seq(A.lit("gh"), A.chars(b"pousr"), A.lit("_")), _ALNUM, 36, 2),
+        tail("chat_host", A.seq(A.lit("xox"), A.chars(b"abprs"), A.lit("-")), _ALNUM + b"-", 10, 1),
+        tail("payment", A.seq(A.chars(b"rs"), A.lit("k_live_")), _ALNUM, 16, 1),
+        A.Rule("login_url", url, login, login),
     ]
 
 
 @functools.cache
 def automaton() -> A.Automaton:
-    return A.compile_rules(_patterns())
-
-
-def exact_spans(piece: bytes) -> list[tuple[int, int, int]]:
-    """(start, rule, end) of the passing matches in ``piece``, leftmost and non-overlapping for each rule."""
-    out = []
-    for i, (_, expression, group, least) in enumerate(RULES):
-        out += [(m.start(), i, m.end()) for m in expression.finditer(piece) if m.end(group) - m.start(group) >= least]
-    return out
+    return A.compile_rules(_rules())
 
 
 def find(auto: A.Automaton, raw: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
@@ -83,9 +75,10 @@ def find(auto: A.Automaton, raw: np.ndarray, offs: np.ndarray) -> dict[int, list
     for lane in hit:
         a, b = int(starts[lane]), int(ends[lane])
         doc = int(np.searchsorted(offs, a, "right")) - 1
-        shift = a - int(offs[doc])
-        if spans := exact_spans(raw[a:b].tobytes()):
-            found.setdefault(doc, []).extend((s + shift, i, e + shift) for s, i, e in spans)
+        shift, symbols = a - int(offs[doc]), auto.klass[raw[a:b]]
+        for i, rule in enumerate(auto.rules):
+            for s, e in A.spans(auto, rule, symbols):
+                found.setdefault(doc, []).append((s + shift, i, e + shift))
     return {doc: sorted(spans) for doc, spans in found.items()}
 
 
@@ -103,7 +96,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found, spans = find(auto, raw, offs), [[]] * batch.num_rows
             for doc, hits in found.items():
                 points = np.concatenate([[0], np.cumsum(K.code_points(raw[offs[doc] : offs[doc + 1]]))])
-                spans[doc] = [{"kind": RULES[i][0], "start": int(points[s]), "end": int(points[e])} for s, i, e in hits]
+                spans[doc] = [{"kind": auto.rules[i].name, "start": int(points[s]), "end": int(points[e])} for s, i, e in hits]
             yield pa.record_batch([batch.column(0), pa.array(spans, _SPAN_TYPE)], names=[id_col, "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
