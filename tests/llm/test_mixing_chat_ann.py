@@ -127,34 +127,58 @@ def brute_nearest(ids, x, queries, k):
     return out
 
 
-@pytest.mark.parametrize("block", [100, 16_384])
-def test_recall_against_all_rows(spark, block):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = df.orderBy("vec_id").collect()
+def table_of(ids, x):
+    """The best five by brute force, with exact ties to the smaller id."""
+    return brute_nearest(ids, x, np.flatnonzero(ids % 50 == 0), 5)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_recall_against_all_rows(spark, small):
+    """The registered query, and one with leaves, blocks and chunks small enough that all are split."""
+    path = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    expected = brute_nearest(ids, x, np.flatnonzero(ids % 50 == 0), 5)
+    ix = ann.Index(leaf_rows=40, block_rows=150, chunk_queries=7, sample=1000) if small else ann.Index()
+    out = ann.op9(spark, path, ix)
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema.fields] == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
     found = collections.defaultdict(list)
-    for r in ann.nearest(df, F.col("id") % 50 == 0, ix=ann.Index(block_rows=block, chunk_queries=15, probe=64)).orderBy("query_id", "rank").collect():
+    for r in out.orderBy("query_id", "rank").collect():
         found[r.query_id].append(r.vec_id)
+        assert r["rank"] == len(found[r.query_id])
         a, b = x[ids == r.query_id][0], x[ids == r.vec_id][0]
         assert r.score == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
+    expected = table_of(ids, x)
+    assert found.keys() == expected.keys() and all(len(v) == 5 for v in found.values())
     hits = [len(set(found[q]) & set(e)) / len(e) for q, e in expected.items()]
     assert np.mean(hits) >= 0.95
 
 
-def test_stopping_test_saves_work_and_keeps_recall():
+def test_one_vector_of_a_third_of_all_rows(spark):
+    """Ties without end: the smallest ids win, whatever part, leaf or chunk they lie in."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 0.0, 0.0, 0.0] if i % 3 == 0 else rng.normal(size=4).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 50 == 0, ix=ann.Index(leaf_rows=50, block_rows=100, chunk_queries=4, sample=500)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hot = [q for q in range(0, 1500, 50) if q % 3 == 0]
+    assert all(got[q] == [i for i in range(0, 21, 3) if i != q][:5] for q in hot) and len(got) == 30
+
+
+def test_stopping_test_saves_work_and_keeps_recall(spark, monkeypatch):
+    """Vectors in 50 clusters: queries go to few blocks."""
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(50, 32))
-    x = np.repeat(centres, 80, axis=0) + 0.15 * rng.normal(size=(4000, 32))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.repeat(rng.normal(size=(50, 32)), 80, axis=0) + 0.15 * rng.normal(size=(4000, 32))
     ids = np.arange(4000)
-    queries = np.arange(0, 4000, 97)
-    expected = brute_nearest(ids, x, queries, 5)
-    q, r, _ = ann.search(ids, unit, ids[queries], unit[queries], np.full(len(queries), 4.0), ann.Index())
-    got = collections.defaultdict(list)
-    for a, b in zip(q, r, strict=True):
-        got[int(queries[a])].append(int(b))
-    assert np.mean([len(set(got[k]) & set(v)) / 5 for k, v in expected.items()]) >= 0.9
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    visits, real = [], ann._visited
+    monkeypatch.setattr(ann, "_visited", lambda dealt, asked, *rest: visits.append(asked.count()) or real(dealt, asked, *rest))
+    found = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 50 == 0, ix=ann.Index(leaf_rows=50, block_rows=160)).collect():
+        found[r.query_id].append(r.vec_id)
+    expected = table_of(ids, x)
+    assert np.mean([len(set(found[k]) & set(v)) / 5 for k, v in expected.items()]) >= 0.9
+    assert visits[0] == 80 and visits[1] < 80 * 25 * 0.5  # of 25 blocks and more
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 
 
@@ -166,6 +190,8 @@ def test_awkward_vectors(spark):
     for r in ann.nearest(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     assert got == {0: [1, 50, 8, 9, 9], 50: [0, 1, 8, 9, 9]}
+    wide = spark.createDataFrame([(50, [1.0, 0.0]), (51, [1.0, 1.0]), (100, [1.0, 0.0, 0.0]), (101, [0.0, 1.0, 0.0]), (102, [0.0] * 20_000 + [1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in ann.nearest(wide, F.col("id") % 50 == 0).collect()) == [(50, 51), (100, 101)]  # each length by itself
     assert ann.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
     assert ann.nearest(df.where("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
 
