@@ -8,21 +8,28 @@ buckets; with 24 bands of 4 a pair at similarity 0.8 shares none with probabilit
 No bucket is ever expanded into its pairs. Documents with equal sets are one node first. In star rounds each bucket links
 its members to one centre, the first in a hash order; links are verified on full sets and components are formed. Buckets whose members
 are all in one component drop out; in the others the next round takes another centre, until ``rounds`` are over or what is left
-needs at most ``comparisons`` comparisons. Then mixed buckets are compared in blocks of bounded size by 128-bit sketches of the
-signatures. Members that have a candidate in another component (sizes and sketch allow the threshold; miss below 1e-6) gather in groups,
-and inside each group pairs of different components are verified on full sets until none is left. So each pair of a bucket ends
-verified, excluded by its sketch or sizes, or inside one component; rows grow with members, not with pairs, and no cap is needed.
-
-Verification reads the wanted texts again, sorts pairs by centre in salted pieces, and recomputes the sets. Components: minimum
-labels with pointer jumping over the verified links, each round written to the shared folder.
-
-Nulls: a null or empty text has no shingles and links with nothing; rows with a null id are kept, in no component. Rows with
-one id are one node of the graph, each is returned with its own set size. An empty table gives none; other columns are not read.
+needs at most ``comparisons`` comparisons. Buckets of more than ``block`` members that are still mixed hold unlike documents with a common
+passage: their members get ``bands`` further bands from the next coordinates of the same circulant signature, and the bucket falls into
+those (a pair at similarity 0.8 shares one, as before), up to ``levels`` times and as long as that leaves fewer rows. Members of a bucket
+then meet in blocks of bounded size, by 128-bit sketches of the signatures. Members that have a candidate in another component (sizes and
+sketch allow the threshold; miss below 1e-6) gather in groups, and inside each group pairs of different components are verified on
+full sets until none is left. So each pair of a bucket ends verified, excluded by its sketch or sizes, or inside one component, and no
+cap is needed. Rows follow members, but for buckets that stay large and mixed on every level (more than ``block`` documents, each pair nearly
+alike and none alike): a member of m gives m / ``block`` rows there.
+
+Verification reads the wanted texts again and recomputes the sets: star pairs in salted pieces of a centre, groups in slices of about
+``held`` shingles, so that no task holds more than that and its longest documents. Components: minimum labels with pointer jumping over
+the verified links, until no label changes, each round written to the shared folder.
+
+Nulls: a null or empty text has no shingles and links with nothing; rows with a null id are kept, in no component. Rows with one id
+are one node of the graph, each is returned with its own set size. Ties: the smallest id names a component. Very long texts are read
+whole. An empty table gives none; other columns, of whatever name, are not read, and ``drop_near_duplicates`` returns them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import text as K
-from .state import written
+from .state import scratch, written
 
 
 @dataclass(frozen=True)
@@ -46,7 +53,10 @@ class Dedup:
     rounds: int = 3
     block: int = 512
     comparisons: int = 200_000_000
+    levels: int = 2
+    held: int = 2_000_000
     salt_rows: int = 256
+    salt_members: int = 4_096
     broadcast_ids: int = 500_000
     seed: int = 3
 
@@ -95,8 +105,8 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
     return grams, np.searchsorted(doc, np.arange(len(offs)))
 
 
-def signatures(grams: np.ndarray, offs: np.ndarray, coordinates: int, seed: int, piece: int = 1 << 15) -> np.ndarray:
-    """(documents x coordinates) of circulant MinHash; documents without shingles get the highest value."""
+def signatures(grams: np.ndarray, offs: np.ndarray, coordinates: int, seed: int, piece: int = 1 << 15, first: int = 0) -> np.ndarray:
+    """(documents x coordinates from ``first`` on) of circulant MinHash; documents without shingles get the highest value."""
     out = np.full((len(offs) - 1, coordinates), 0xFFFFFFFF, np.uint32)
     some = np.flatnonzero(np.diff(offs))
     if not len(some):
@@ -112,7 +122,7 @@ def signatures(grams: np.ndarray, offs: np.ndarray, coordinates: int, seed: int,
             begin = [0] if len(here) == 1 else offs[here] - a
             hold = np.empty_like(part)
             for k in range(coordinates):
-                low = np.minimum.reduceat(_shifted(part, k, hold), begin)
+                low = np.minimum.reduceat(_shifted(part, first + k, hold), begin)
                 out[here, k] = np.minimum(out[here, k], low)
         at = end
     return out
@@ -130,15 +140,15 @@ def _sketch(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 AGREE = 96
 
 
-def nodes(docs: DataFrame, how: Dedup, text_col: str) -> DataFrame:
+def nodes(docs: DataFrame, how: Dedup, text_col: str, level: int = 0) -> DataFrame:
     """(id, key, n, set_hi, set_lo, s1, s2, buckets): set size, 128-bit set hash, sketch and band hashes of every row;
-    ``docs`` has columns id, key and ``text_col``."""
+    ``docs`` has columns id, key and ``text_col``. Each ``level`` has its own coordinates."""
     types = {c: docs.schema[c].dataType.simpleString() for c in ("id", "key")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offs in K.chunks(batches, "__text"):
             grams, at = shingle_sets(raw, offs, how.words)
-            sig = signatures(grams, at, how.bands * how.rows, how.seed)
+            sig = signatures(grams, at, how.bands * how.rows, how.seed, first=level * how.bands * how.rows)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(K.mix64(grams + np.uint64(s)))]) for s in (1, 2)]
             keys = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
             bands = np.empty((len(sig), how.bands), np.uint64)
@@ -155,11 +165,11 @@ def nodes(docs: DataFrame, how: Dedup, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {types['id']}, key {types['key']}, n long, set_hi long, set_lo long, s1 long, s2 long, buckets array<long>")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each id's component; ``links`` has columns a, b. Hash-to-min with pointer jumping."""
     both = written(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
-    for turn in range(most_rounds):
+    for turn in itertools.count():
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         new = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         if turn >= 2:  # stars are done by now; in long chains labels jump to their label's label, and roots learn from their members
@@ -171,7 +181,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = new.select("id", "label")
         if new.where("label < old").isEmpty():
             return labels
-    raise RuntimeError(f"components still change after {most_rounds} rounds")
 
 
 def _near(sizes, other, s1, s2, t1, t2, how: Dedup):
@@ -305,23 +314,34 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[di
         yield whole()
 
 
+def _sliced(groups: DataFrame, how: Dedup) -> DataFrame:
+    """``groups`` with ``piece``, ``lo`` and ``hi``: a group of more than ``held`` shingles falls into pieces, every two of which meet once."""
+    totals = groups.groupBy("g1", "g2").agg(F.sum("n").alias("total")).where(F.col("total") > how.held)
+    many = totals.select("g1", "g2", F.ceil(2 * F.col("total") / how.held).cast("int").alias("pieces"))
+    split = groups.join(many, ["g1", "g2"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    split = split.withColumn("piece", F.pmod(F.xxhash64("key", F.lit(4)), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return split.withColumn("lo", F.least("piece", "other")).withColumn("hi", F.greatest("piece", "other")).drop("pieces", "other")
+
+
 def _group_links(groups: DataFrame, docs: DataFrame, how: Dedup, text_col: str) -> DataFrame:
-    """(a, b): verified links that join each group's components; pairs that earlier links of the group already join are left out."""
+    """(a, b): verified links that join each group's components; pairs that earlier links of the slice already join are left out."""
     kind = docs.schema["key"].dataType.simpleString()
     texts = _texts_of(groups.select("key"), docs, how, text_col)
 
     def links_of(c: dict[str, np.ndarray], slices: list[pa.RecordBatch]) -> list[tuple]:
         sets: list[np.ndarray] = []
-        for _, raw, offs in K.chunks(iter(slices), "text", 1 << 18):  # small chunks: only the sets of a group stay
+        for _, raw, offs in K.chunks(iter(slices), "text", 1 << 18):  # small chunks: only the sets of a slice stay
             grams, at = shingle_sets(raw, offs, how.words)
             sets += [grams[at[i] : at[i + 1]].copy() for i in range(len(at) - 1)]
-        n, key = np.array([len(x) for x in sets]), c["key"]
+        n, key, piece, crosses = np.array([len(x) for x in sets]), c["key"], c["piece"], bool(c["lo"][0] != c["hi"][0])
         _, root = np.unique(c["label"], return_inverse=True)
         s1, s2 = c["s1"].view(np.uint64), c["s2"].view(np.uint64)
         out = []
         for i in range(1, len(n)):
             apart = np.bitwise_count(s1[:i] ^ s1[i]) + np.bitwise_count(s2[:i] ^ s2[i])
             fit = np.minimum(n[:i], n[i]) * how.denominator >= np.maximum(n[:i], n[i]) * how.numerator
+            if crosses:  # pairs of one piece meet where it is alone
+                fit &= piece[:i] != piece[i]
             todo = np.flatnonzero((apart <= 128 - AGREE) & fit & (root[:i] != root[i]))
             for j in todo[np.argsort(apart[todo], kind="stable")].tolist():
                 if root[j] != root[i] and _linked(sets[i], sets[j], how):
@@ -330,17 +350,52 @@ def _group_links(groups: DataFrame, docs: DataFrame, how: Dedup, text_col: str)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, slices in _runs(batches, ["g1", "g2"]):
+        for c, slices in _runs(batches, ["g1", "g2", "lo", "hi"]):
             found = links_of(c, slices)
             if found:
                 yield pa.record_batch([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=["a", "b"])
 
-    dealt = groups.join(texts, "key").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "n", "key")
-    return dealt.select("g1", "g2", "key", "s1", "s2", "label", "text").mapInArrow(run, f"a {kind}, b {kind}")
+    by = ["g1", "g2", "lo", "hi"]
+    dealt = _sliced(groups, how).join(texts, "key").repartition(*by).sortWithinPartitions(*by, "n", "key")
+    return dealt.select(*by, "piece", "key", "s1", "s2", "label", "text").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(bucket, members) of the buckets whose members are in different components."""
+    by = members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"))
+    return by.where("x != y").select("bucket", "members")
+
+
+def _block_rows(members: DataFrame, how: Dedup) -> int:
+    """Rows that the buckets make when their members meet in blocks."""
+    return members.agg(F.sum(F.ceil(F.col("members") / how.block))).first()[0] or 0
+
+
+def _finer(members: DataFrame, docs: DataFrame, how: Dedup, text_col: str) -> DataFrame:
+    """``members`` with large mixed buckets broken up by further coordinates, as long as that leaves fewer rows."""
+    done, large = members.where(F.col("members") <= how.block), members.where(F.col("members") > how.block)
+    for level in range(1, how.levels + 1):
+        rows = _block_rows(large, how)
+        if not rows:
+            break
+        texts = _texts_of(large.select("key"), docs, how, text_col)
+        bands = nodes(texts.select(F.col("key").alias("id"), "key", F.col("text").alias(text_col)), how, text_col, level).select("key", F.explode("buckets").alias("sub"))
+        split = written(large.join(bands, "key").withColumn("bucket", F.xxhash64("bucket", "sub")).drop("sub", "members"), "members")
+        finer = written(split.join(_mixed(split), "bucket"), "members")
+        if _block_rows(finer, how) >= rows:
+            break
+        done = done.unionByName(finer.where(F.col("members") <= how.block))
+        large = finer.where(F.col("members") > how.block)
+    return done.unionByName(large)
 
 
 def near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, n, component, kept): one row for each row of ``docs``. ``key`` is the id, or id and text's digest where ids repeat."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, how, id_col, text_col), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, how: Dedup, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     named = texts.where("id IS NOT NULL")
     unique = named.select("id").groupBy("id").count().where("count > 1").isEmpty()
@@ -352,7 +407,7 @@ def near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id
     classes = written(first.select(*same_set, F.col("m.key").alias("key"), "m.s1", "m.s2", "m.buckets"), "classes")
 
     exploded = classes.select(F.explode("buckets").alias("bucket"), "key", "n", "s1", "s2")
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = written(exploded.join(shared, "bucket"), "members").withColumn("label", F.col("key"))
     empty = docs.sparkSession.createDataFrame([], keyed.select(F.col("key").alias("a"), F.col("key").alias("b")).schema)
     links, labels = empty, None
@@ -362,11 +417,19 @@ def near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id
         links = written(by_id.join(lowest, "id").select(F.col("rep").alias("a"), "b").where("a != b").distinct(), "id-links")
         labels = components(links)
 
+    def salted(rows: DataFrame) -> DataFrame:
+        """A common bucket falls into pieces of ``salt_members``."""
+        return rows.withColumn("salts", F.ceil(F.col("members") / how.salt_members).cast("int")).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(6)), F.col("salts")).cast("int"))
+
+    def each_salt(one: DataFrame) -> DataFrame:
+        return one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / how.salt_members).cast("int") - 1))).drop("members")
+
     def relabelled() -> DataFrame:
-        out = members.drop("label", "members").join(labels.select(F.col("id").alias("key"), "label"), "key", "left") if labels is not None else members.drop("members")
+        out = members.drop("label")
+        out = out.join(labels.select(F.col("id").alias("key"), "label"), "key", "left") if labels is not None else out.withColumn("label", F.col("key"))
         out = out.withColumn("label", F.coalesce("label", "key"))
-        mixed = out.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).where("x != y").select("bucket", "members")
-        return written(out.join(mixed, "bucket").select("bucket", "key", "n", "s1", "s2", "label", "members"), "members")
+        kept = salted(out).join(each_salt(_mixed(out)), ["bucket", "salt"], "left_semi")
+        return written(kept.select("bucket", "key", "n", "s1", "s2", "label", "members"), "members")
 
     turn, last = 0, False
     while not last:
@@ -378,12 +441,12 @@ def near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id
             last = comparisons <= how.comparisons
         last = last or turn >= how.rounds
         if last:
-            groups = written(_groups(members, how), "groups")
+            groups = written(_groups(_finer(members, keyed, how, "text"), how), "groups")
             found = None if groups.isEmpty() else _group_links(groups, keyed, how, "text")
         else:
             order = F.xxhash64("key", F.lit(turn)) if turn == 0 else F.xxhash64("key", "bucket", F.lit(turn))
-            centre = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "key", "n", "s1", "s2", "label")).alias("c"))
-            both = members.join(centre, "bucket").where((F.col("key") != F.col("c.key")) & (F.col("label") != F.col("c.label")))
+            centre = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "key", "n", "s1", "s2", "label")).alias("c"), F.first("members").alias("members"))
+            both = salted(members).join(each_salt(centre), ["bucket", "salt"]).where((F.col("key") != F.col("c.key")) & (F.col("label") != F.col("c.label")))
             near = both.where(_near(F.col("n"), F.col("c.n"), F.col("s1"), F.col("s2"), F.col("c.s1"), F.col("c.s2"), how))
             pairs = written(near.select(F.col("key").alias("a"), F.col("c.key").alias("b")).distinct(), "pairs")
             found = None if pairs.isEmpty() else verified(pairs, keyed, how, "text")
@@ -397,8 +460,8 @@ def near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id
         label_of = label_of.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("label", "rep")).drop("label")
     out = rows.select("id", "key", *same_set).join(label_of, same_set, "left").select("id", "key", "n", F.coalesce("rep", "key").alias("component"))
     if not unique:  # from keys back to ids: empty rows of an id that has texts belong to its component
-        out = out.withColumn("component", F.min(F.when(F.col("n") > 0, F.col("component"))).over(Window.partitionBy("id")))
-        out = out.withColumn("component", F.coalesce("component", F.md5(F.col("id").cast("string"))))
+        of_id = out.where("n > 0").groupBy("id").agg(F.min("component").alias("component"))
+        out = out.drop("component").join(of_id, "id", "left").withColumn("component", F.coalesce("component", F.md5(F.col("id").cast("string"))))
         ids = out.groupBy("component").agg(F.min("id").alias("lowest"))
         out = out.join(ids, "component").select("id", "key", "n", F.col("lowest").alias("component"))
     out = out.withColumn("kept", F.col("id") == F.col("component"))
@@ -407,15 +470,20 @@ def near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id
 
 
 def drop_near_duplicates(docs: DataFrame, how: Dedup = Dedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, but of each component only the document with the smallest id (of its rows, one)."""
-    found = written(near_duplicates(docs, how, id_col, text_col), "verdicts").where("id IS NOT NULL")
+    """The rows of ``docs``, all columns, but of each component only the document with the smallest id (of its rows, one). Rows with a
+    null id stay."""
+    found = near_duplicates(docs, how, id_col, text_col).where("id IS NOT NULL")
     repeats = not found.groupBy("id").count().where("count > 1").isEmpty()
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    few = gone.count() <= how.broadcast_ids
-    left = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone, turn = (next(n for n in (f"{base}{i}" for i in itertools.count()) if n not in docs.columns) for base in ("gone", "turn"))
+    lost = found.where(~F.col("kept")).select(F.col("id").alias(gone)).distinct()
+    few = lost.count() <= how.broadcast_ids
+    left = docs.join(F.broadcast(lost) if few else lost, F.col(id_col) == F.col(gone), "left_anti")
     if repeats:
-        order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
-        left = left.withColumn("__turn", F.row_number().over(order)).where(F.col(id_col).isNull() | (F.col("__turn") == 1)).drop("__turn")
+        order = F.xxhash64(F.col(text_col))
+        named = left.where(F.col(id_col).isNotNull())
+        for by in ([F.col(id_col), F.pmod(order, F.lit(64))], [F.col(id_col)]):  # an id of very many rows is cut down in pieces first
+            named = named.withColumn(turn, F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col(turn) == 1).drop(turn)
+        left = named.unionByName(left.where(F.col(id_col).isNull()))
     return left
 
 

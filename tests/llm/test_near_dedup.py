@@ -67,6 +67,44 @@ def test_mixed_buckets_are_compared_in_blocks(spark):
     assert sorted(tuple(r) for r in got.select("id", "n", "component", "kept").collect()) == brute(rows, 4)
 
 
+def test_a_common_passage_makes_no_quadratic_rows(spark, monkeypatch):
+    """Unlike documents that share half of their words, some of them near copies: large mixed buckets are broken up by further coordinates."""
+    rng = random.Random(11)
+    common = " ".join(f"c{i}" for i in range(44))
+    rows = [(i, common + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(40))) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " tail") for i in range(0, 2000, 50)]
+    seen, real = [], N._finer
+
+    def finer(members, docs, how, text_col):
+        out = real(members, docs, how, text_col)
+        seen.append((N._block_rows(members, how), N._block_rows(out, how)))
+        return out
+
+    monkeypatch.setattr(N, "_finer", finer)
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), N.Dedup(words=4, block=16, rounds=1, comparisons=1))
+    assert {r.id: r.component for r in got.collect()} == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    before, after = seen[0]
+    assert before > 20_000 and after < before / 4
+
+
+def test_groups_in_slices(spark):
+    """Groups held in slices of a few shingles give the same links."""
+    rows = made(4)
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), N.Dedup(words=4, rounds=0, held=120, salt_members=2))
+    assert sorted(tuple(r) for r in got.select("id", "n", "component", "kept").collect()) == brute(rows, 4)
+
+
+def test_intermediate_tables_go(spark):
+    import glob
+
+    from lodestone.llm import state
+
+    folder = state.shared_dir(spark).removeprefix("file://") + "/lodestone/*"
+    before = set(glob.glob(folder))
+    N.near_duplicates(spark.createDataFrame(made(1)[:40], "doc_id long, text string"))
+    assert len(set(glob.glob(folder)) - before) == 1
+
+
 def test_table_equals_all_pairs(spark):
     path = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
