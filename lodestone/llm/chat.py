@@ -5,11 +5,14 @@ A conversation's turns in order (turn, role, text) give rolling prefix hashes: 1
 a proper prefix hash of another are removed by an anti-join; of equal conversations the smallest id stays. What is left is
 maximal and is rendered with role marks. All in DataFrame functions.
 
-Scale: windows run over single conversations and spill; whole hashes are made distinct before they meet the prefix
-hashes, and only prefix hashes that some whole hash has are kept (semi-join first), so that a very common
-first turn is no hot group.
-Nulls: a null role or text counts as a value of its own, rendered empty; rows with a null conversation id are one
-conversation, with a null turn come first. Equal rows of a conversation count once. An empty table gives none.
+Scale: windows run over single conversations and spill; prefix hashes are made distinct before they meet the whole hashes, so that a
+very common first turn is no hot group.
+Nulls: a null role or text counts as a value of its own, rendered empty; a row with a null conversation id belongs to no other and is
+a conversation of one turn, so that any number of them is no group; a null turn comes first. Equal rows of a conversation count
+once; ties in ``turn`` are ordered by role and text. Empty and very long texts are turns like others. An empty table gives
+none. Other columns, of whatever name, are not read.
+
+The template's marks inside a role or a text are escaped (``<|`` becomes ``<`` backslash ``|``), so that no turn can forge another.
 """
 
 from __future__ import annotations
@@ -18,16 +21,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .state import written
+from .state import scratch, written
 
 #: Fixed values of the template.
 TURN_START, ROLE_END, TURN_END = "<|start|>", "\n", "<|end|>\n"
 
 
+def conversation(conv: str, turn: str, role: str, text: str) -> Column:
+    """Which conversation a row is of: (its id, and for a null id what the row holds)."""
+    own = F.when(F.col(conv).isNull(), F.sha2(F.to_json(F.struct(F.col(turn).alias("a"), F.col(role).alias("b"), F.col(text).alias("c"))), 256))
+    return F.struct(F.col(conv).isNull().alias("nameless"), F.col(conv).alias("id"), own.alias("row"))
+
+
 def turns_with_prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, place, h1, h2, n): every distinct turn with the hash of the prefix that it ends; ``n`` turns in all."""
     hashed = [F.xxhash64(F.lit(k), F.col(role).isNull(), F.col(role), F.col(text).isNull(), F.col(text)) for k in (1, 2)]
-    narrow = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), hashed[0].alias("a"), hashed[1].alias("b"))
+    narrow = turns.select(conversation(conv, turn, role, text).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), hashed[0].alias("a"), hashed[1].alias("b"))
     narrow = narrow.dropDuplicates(["conv", "turn", "role", "text"])
     ordered = Window.partitionBy("conv").orderBy("turn", "role", "text")
     placed = narrow.select("conv", "a", "b", F.row_number().over(ordered).alias("place"))
@@ -46,17 +55,19 @@ def maximal(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
 
 def rendered(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(TURN_START), F.coalesce(role, F.lit("")), F.lit(ROLE_END), F.coalesce(text, F.lit("")), F.lit(TURN_END))
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    return F.concat(F.lit(TURN_START), plain(role), F.lit(ROLE_END), plain(text), F.lit(TURN_END))
 
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, n_turns, n_same, chat) of the maximal conversations; ``chat`` is the rendered conversation."""
-    kept = maximal(turns, conv, turn, role, text).withColumnRenamed("conv", "__conv")
-    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    mine = rows.join(kept, F.col("conv").eqNullSafe(F.col("__conv")))
+    with scratch(turns.sparkSession) as keep:
+        kept = keep(maximal(turns, conv, turn, role, text), "maximal")
+    rows = turns.select(conversation(conv, turn, role, text).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    mine = rows.join(kept.withColumnRenamed("conv", "kept"), F.to_json("conv") == F.to_json("kept"))
     parts = F.sort_array(F.collect_set(F.struct("turn", "role", "text")))  # one conversation is one output row
     chat = F.array_join(F.transform(parts, lambda p: rendered(p["role"], p["text"])), "")
-    return mine.groupBy("conv", "n_turns", "n_same").agg(chat.alias("chat")).withColumnRenamed("conv", "conv_id")
+    return mine.groupBy("conv", "n_turns", "n_same").agg(chat.alias("chat")).select(F.col("conv.id").alias("conv_id"), "n_turns", "n_same", "chat")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -64,10 +75,11 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-marked AS (SELECT conv_id, turn, role, text, '<|start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS part FROM turns),
-chats AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(part, '' ORDER BY turn, role, text) AS chat FROM marked GROUP BY conv_id),
+marked AS (SELECT conv_id, turn, role, text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own,
+  '<|start|>' || replace(coalesce(role, ''), '<|', '<\|') || chr(10) || replace(coalesce(text, ''), '<|', '<\|') || '<|end|>' || chr(10) AS part FROM turns),
+chats AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(part, '' ORDER BY turn, role, text) AS chat FROM marked GROUP BY conv_id, own),
 one AS (SELECT min(conv_id) AS conv_id, n_turns, count(*)::BIGINT AS n_same, chat FROM chats GROUP BY n_turns, chat)
 SELECT conv_id, n_turns, n_same, chat FROM one a
 WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.n_turns > a.n_turns AND starts_with(b.chat, a.chat))
