@@ -8,7 +8,8 @@ fail it, as in lists; headings and single fragments stay. A document goes if the
 than ``max_loss`` of its word characters. One pass over Arrow buffers, no shuffle, whole texts.
 
 Nulls: a null or empty text has no words, hence fails the base rule; a null id is carried along.
-Repeated rows each give a row, an empty table gives none, other columns are not read.
+Repeated rows each give a row, an empty table gives none, other columns, of whatever name, are not read. Ties do not arise. A very long
+text is a chunk of its own, in memory whole.
 """
 
 from __future__ import annotations
@@ -119,17 +120,17 @@ def measure(raw: np.ndarray, offs: np.ndarray, rules: LineRules) -> dict[str, np
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules(), cleaned: bool = True) -> DataFrame:
     """One row for each row of ``docs``: id, counts, ``base_failed``, ``kept``, ``lost_chars``, ``lost_lines`` and
-    ``cleaned``, the text without the failing lines (null for a null text)."""
+    ``cleaned``, the text without the failing lines (null for a null text; with ``cleaned=False`` for all, and none is built)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offs in K.chunks(batches, "__text"):
             m = measure(raw, offs, rules)
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist() if cleaned else [None] * batch.num_rows
             l_start, l_end, l_first = m["_lines"]
-            for doc in np.flatnonzero(m["lost_lines"]):
+            for doc in np.flatnonzero(m["lost_lines"]) if cleaned else ():
                 body, parts, last = raw[offs[doc] : offs[doc + 1]].tobytes(), [], 0
                 for line in range(l_first[doc], l_first[doc + 1]):
                     if m["_lost"][line]:
@@ -146,5 +147,5 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """Contract query: base counts and the verdict on every document."""
-    return apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("cleaned", "lost_lines")
+    return apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), cleaned=False).drop("cleaned", "lost_lines")
 
