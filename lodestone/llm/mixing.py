@@ -13,7 +13,9 @@ slots and blocks meet on a key that is unique but for repeats. Only one row for
 to the driver. Nothing is sampled; reruns agree, as all draws come from hashes of the seed.
 
 Nulls: a null source is a source of its own, last; a null text has no words; a null id is carried along. Repeated rows
-are separate documents. An empty table gives an empty mix. Other columns are carried by ``mix_documents``.
+are separate documents, ties in the layout's order are broken by their 128-bit keys. Very long texts span many blocks. An empty table gives an empty
+mix. Other columns are carried by ``mix_documents``. The plan has one row for each source, on the driver and in every task: some hundred
+thousand sources are fine, a source for each document of a very large corpus is not.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import text as K
-from .state import written
+from .state import scratch, written
 
 
 @dataclass(frozen=True)
@@ -237,7 +239,12 @@ def taken_blocks(placed: DataFrame, plan: Plan) -> DataFrame:
 
 def op7(spark, sf_dir: str, mix: Mix = Mix()) -> DataFrame:
     """Contract query: how many words the mix takes of every document."""
-    placed, plan = laid_out(spark.read.parquet(f"{sf_dir}/documents.parquet"), mix)
+    with scratch(spark) as keep:
+        return keep(_taken(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), mix), "mix-taken")
+
+
+def _taken(spark, docs: DataFrame, mix: Mix) -> DataFrame:
+    placed, plan = laid_out(docs, mix)
     placed = written(placed, "mix-layout")
     took = taken_blocks(placed, plan).groupBy("src", "start", "size").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
     sources = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(zip(plan.sizes, plan.target, strict=True))], "src int, source_size long, target double")
@@ -248,7 +255,7 @@ def op7(spark, sf_dir: str, mix: Mix = Mix()) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed corpus in the columns of ``docs``: a row for each time (at most ``most``, rounded up) that words of a document
     are taken, its text cut to them. A document that is taken whole keeps its text as it is; parts of one are joined by a line end. Of rows that are equal in
-    id, source and text, the other columns come from any one."""
+    id, source and text, the other columns come from the one with the smallest hash, so that reruns agree."""
     placed, plan = laid_out(docs, mix, id_col, source_col, text_col)
     placed = written(placed, "mix-layout")
     parts = taken_blocks(placed, plan)
@@ -257,7 +264,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", sou
     names = docs.columns
     texts = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), *_keys(id_col, source_col, text_col))
     if not placed.groupBy("k1", "k2").count().where("count > 1").isEmpty():  # equal rows: each is laid out by itself, their text is wanted once
-        texts = texts.groupBy("k1", "k2").agg(F.first("__row").alias("__row"))
+        texts = texts.groupBy("k1", "k2").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
     joined = picked.hint("merge").join(texts, ["k1", "k2"])
     joined = joined.select(*(F.col("__row")[c].alias(c) for c in names), "__parts", F.col("size").alias("__size"))
     at = names.index(text_col)
