@@ -8,7 +8,8 @@ Cholesky factors that are computed once and travel with the task. Scoring is one
 Labelled rows: at most ``Fit.most`` ids of each class (smallest id hash), never held-out ones. Without
 rows of both classes every score is the share of the class that there is (0.5 without labels).
 Nulls: a null text is empty and scored like one; a null id gives a null ``held_out``. Repeated rows
-are scored alike. An empty table gives an empty result.
+are scored alike, ties in the sample's hash order cannot change its size. An empty table gives an empty result. Very long texts are a
+chunk of their own, in memory whole. Other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ under its stems, ``4 * Lexicon.terms`` in all; never held-out rows. A stem adds
 tells enough by itself is searched with its misspellings, whether or not a stem of it is a term. Scoring is
 one pass over whole texts without a shuffle. Nulls: a null text is empty, a null id is carried along with a
 null ``held_out``. Repeated rows are scored alike; an empty table gives none; without labels the lexicon is
-empty and all scores are the same low one.
+empty and all scores are the same low one. Ties between terms are broken by length and spelling. Very long texts are a chunk of their
+own, in memory whole. Other columns, of whatever name, are not read (``keep_clean`` returns them).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from . import text as K
-from .state import written
+from .state import scratch, written
 
 #: Words that report speech, and second persons.
 REPORTING = {"said", "says", "called", "wrote", "quoted", "quote", "term", "word", "phrase", "dit", "sagte", "dijo", "zitat", "citation", "cita"}
@@ -368,7 +369,9 @@ def keep_clean(docs: DataFrame, matcher: Matcher, text_col: str = "text", thresh
 
 def fitted(spark, docs: DataFrame, labels: DataFrame, lexicon: Lexicon = Lexicon()) -> Matcher:
     """Learns from the training rows of the contract: crc32 of the id modulo 3 is not 1."""
-    return learn(labelled.sample(docs, labels, "toxic", labelled.remainder(F.col("__id"), 3) != 1, lexicon.most, "doc_id", "text"), lexicon)
+    with scratch(spark):
+        rows = written(labelled.sample(docs, labels, "toxic", labelled.remainder(F.col("__id"), 3) != 1, lexicon.most, "doc_id", "text"), "labelled")
+        return learn(rows, lexicon)
 
 
 def op6(spark, sf_dir: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
