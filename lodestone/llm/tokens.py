@@ -11,7 +11,7 @@ Token files are flat little-endian ids, each document ended by the end-of-docume
 boundaries by a prefix scan over block summaries. Files lie in the shared folder.
 
 Nulls: a null text is empty, a null id is carried along. Repeated rows are documents of their own. An empty table gives no files and
-no rows. Other columns are not read.
+no rows. Ties do not arise. Very long texts are a chunk of their own, in memory whole. Other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import text as K
-from .state import fresh_path, written
+from .state import fresh_path, scratch, written
 
 END_OF_DOCUMENT = 50_256  # the vocabulary's end token: ordinary text, encoded as such, never gives it
-CACHE_PIECES = 1_500_000  # about 60 MB for each worker
+CACHE_PIECES = 600_000  # about 25 MB for each worker
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNSURE = range(5)
 _CHECKED = 0x2100
 
@@ -333,7 +333,8 @@ def scan_files(spark: SparkSession, directory: str, files: DataFrame, end: int =
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered query: documents become flat token files, the separator scan counts each document's tokens (without its end id)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    directory = fresh_path(spark, "token-files")
-    manifest = written(write_files(docs, directory), "token-manifest")
-    counts = scan_files(spark, directory, manifest)
-    return manifest.join(counts, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), (F.col("tokens") - 1).alias("n_tokens"))
+    with scratch(spark) as keep:
+        directory = fresh_path(spark, "token-files")
+        manifest = written(write_files(docs, directory), "token-manifest")
+        counts = scan_files(spark, directory, manifest)
+        return keep(manifest.join(counts, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), (F.col("tokens") - 1).alias("n_tokens")), "token-counts")
