@@ -53,8 +53,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages the rows are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = state.written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; between stages the rows are written to the shared folder and read again. Only the last stage's rows stay there."""
+    with state.scratch(spark) as keep:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            with state.scratch(spark) as hand_over:
+                docs = hand_over(stage(spark, docs, sf_dir), f"stage-{name}")
+        return keep(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
