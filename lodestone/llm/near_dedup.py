@@ -8,7 +8,7 @@ buckets; with 24 bands of 4 a pair at similarity 0.8 shares none with probabilit
 No bucket is ever expanded into its pairs. Documents with equal sets are one node first. In star rounds each bucket links
 its members to one centre, the first in a hash order; links are verified on full sets and components are formed. Buckets whose members
 are all in one component drop out; in the others the next round takes another centre, until ``rounds`` are over or what is left
-needs at most ``comparisons`` comparisons. Buckets of more than ``block`` members that are still mixed hold unlike documents with a common
+needs at most ``comparisons`` comparisons. Buckets of more than ``block * bands`` members that are still mixed hold unlike documents with a common
 passage: their members get ``bands`` further bands from the next coordinates of the same circulant signature, and the bucket falls into
 those (a pair at similarity 0.8 shares one, as before), up to ``levels`` times and as long as that leaves fewer rows. Members of a bucket
 then meet in blocks of bounded size, by 128-bit sketches of the signatures. Members that have a candidate in another component (sizes and
@@ -51,7 +51,7 @@ class Dedup:
     bands: int = 24
     rows: int = 4
     rounds: int = 3
-    block: int = 512
+    block: int = 2_048
     comparisons: int = 200_000_000
     levels: int = 2
     held: int = 2_000_000
@@ -372,8 +372,11 @@ def _block_rows(members: DataFrame, how: Dedup) -> int:
 
 
 def _finer(members: DataFrame, docs: DataFrame, how: Dedup, text_col: str) -> DataFrame:
-    """``members`` with large mixed buckets broken up by further coordinates, as long as that leaves fewer rows."""
-    done, large = members.where(F.col("members") <= how.block), members.where(F.col("members") > how.block)
+    """``members`` with large mixed buckets broken up by further coordinates, as long as that leaves fewer rows.
+
+    Further bands give each member ``bands`` rows, blocks one for each ``block`` members: buckets with no more blocks than bands stay."""
+    most = how.block * how.bands
+    done, large = members.where(F.col("members") <= most), members.where(F.col("members") > most)
     for level in range(1, how.levels + 1):
         rows = _block_rows(large, how)
         if not rows:
@@ -384,8 +387,8 @@ def _finer(members: DataFrame, docs: DataFrame, how: Dedup, text_col: str) -> Da
         finer = written(split.join(_mixed(split), "bucket"), "members")
         if _block_rows(finer, how) >= rows:
             break
-        done = done.unionByName(finer.where(F.col("members") <= how.block))
-        large = finer.where(F.col("members") > how.block)
+        done = done.unionByName(finer.where(F.col("members") <= most))
+        large = finer.where(F.col("members") > most)
     return done.unionByName(large)
 
 

@@ -71,8 +71,8 @@ def test_a_common_passage_makes_no_quadratic_rows(spark, monkeypatch):
     """Unlike documents that share half of their words, some of them near copies: large mixed buckets are broken up by further coordinates."""
     rng = random.Random(11)
     common = " ".join(f"c{i}" for i in range(44))
-    rows = [(i, common + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(40))) for i in range(2000)]
-    rows += [(5000 + i, rows[i][1] + " tail") for i in range(0, 2000, 50)]
+    rows = [(i, common + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(40))) for i in range(1200)]
+    rows += [(5000 + i, rows[i][1] + " tail") for i in range(0, 1200, 50)]
     seen, real = [], N._finer
 
     def finer(members, docs, how, text_col):
@@ -81,7 +81,7 @@ def test_a_common_passage_makes_no_quadratic_rows(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(N, "_finer", finer)
-    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), N.Dedup(words=4, block=16, rounds=1, comparisons=1))
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), N.Dedup(words=4, block=1, rounds=1, comparisons=1))
     assert {r.id: r.component for r in got.collect()} == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
     before, after = seen[0]
     assert before > 20_000 and after < before / 4
