@@ -19,8 +19,8 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def normal_form(text: Column) -> Column:
-    """Compatibility forms, plain quotes and dashes, lower case, single blanks. ASCII texts never reach Python's normaliser."""
-    return X.normalised(F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text))
+    """Compatibility forms, plain quotes and dashes, lower case, single blanks. ASCII texts are not sent to Python."""
+    return X.normalised(F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text))
 
 
 def plain(text: str) -> str:

@@ -33,9 +33,8 @@ def lit_array(values: list[str]) -> Column:
 def tokens(text: Column) -> Column:
     """Search tokens in order: pattern, stop list, then a final "s" off words of five letters and more (not "ss")."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1)
-    kept = F.filter(found, lambda t: ~F.array_contains(lit_array(STOP_WORDS), t))
-    plural = lambda t: (F.length(t) > 4) & t.endswith("s") & ~t.endswith("ss")
-    return F.transform(kept, lambda t: F.when(plural(t), t.substr(F.lit(1), F.length(t) - 1)).otherwise(t))
+    kept = F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
+    return F.transform(kept, lambda t: F.when((F.length(t) > 4) & t.endswith("s") & ~t.endswith("ss"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
 
 
 def words(text: Column) -> Column:
@@ -73,12 +72,9 @@ def short_title(title: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Splits after . ; : before a capital, bracket, digit or quote; glues what an abbreviation ended."""
     parts = F.split(text, r"(?<=[.;:])\s+(?=[A-Z(\d‘'\"])")
-    ends = lambda s: F.exists(lit_array(ABBREVIATIONS), lambda a: s.endswith(a))
-    glue = lambda acc, p: F.when(
-        (F.size(acc) > 0) & ends(F.element_at(acc, -1)),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), p))),
-    ).otherwise(F.concat(acc, F.array(p)))
-    return F.aggregate(parts, F.array().cast("array<string>"), glue)
+    ends = "(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + ")$"
+    marked = F.transform(parts, lambda p, i: F.when(i == F.size(parts) - 1, p).when(p.rlike(ends), F.concat(p, F.lit(" "))).otherwise(F.concat(p, F.lit("\x01"))))
+    return F.split(F.array_join(marked, ""), "\x01")
 
 
 def top_level(para: Column) -> Column:

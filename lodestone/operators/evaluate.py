@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.python import normal_form
 from .retrieval import blocks
 
 KS = (1, 3, 5, 10)
@@ -24,10 +25,10 @@ def evidence_matches(docs: DataFrame, quotes: DataFrame, doc_col: str = "doc_id"
     A text that holds a span holds the words between the span's first and last as whole words, so the texts' word runs are
     looked up by the hash of those, in one pass, and compared afterwards. Spans of one or two words, which have none, are
     searched for in blocks."""
-    spans = quotes.select(F.monotonically_increasing_id().alias("asked"), F.col(quote_col).alias("query"), X.key_span(X.normalised(F.col(quote_text))).alias("span")).where("span != ''")
+    spans = quotes.select(F.monotonically_increasing_id().alias("asked"), F.col(quote_col).alias("query"), X.key_span(normal_form(F.col(quote_text))).alias("span")).where("span != ''")
     spans = spans.withColumn("inner", F.split("span", " ")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0))))
     counts = {r.n: r["count"] for r in spans.groupBy(F.size("inner").alias("n")).count().collect()}  # one row for each length of a span
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_col).alias("doc"), X.normalised(F.col(text_col)).alias("norm"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_col).alias("doc"), normal_form(F.col(text_col)).alias("norm"))
     short = spans.where(F.size("inner") == 0).select("query", "span")
     parts = [_held(texts, x) for x in blocks(short, ["query", "span"], counts.pop(0, 0), MOST_SPANS)]
     if counts:
@@ -71,6 +72,19 @@ def relevant_run(quote: Column, text: Column) -> Column:
     return longest_run(quote, text) >= F.greatest(F.lit(6), F.ceil(F.size(X.words(quote)) / 2))
 
 
+def coverage(texts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(query, ev, doc): the texts (doc, source, text) that hold each evidence (query, ev, source, quote).
+
+    A text holds an evidence if it has the quote's key span, whichever source it is of (one rule may stand in two), or if it is of
+    the evidence's own source and has half of the quote and six words at least in one run, as where a chunk's border cuts a quote.
+    The runs are looked for only in texts of the same source that the first rule left out."""
+    asked = evidence.withColumn("item", F.struct("query", "ev"))
+    spans = evidence_matches(texts, asked, "doc", "text", "item", "quote").select(F.col("query.query").alias("query"), F.col("query.ev").alias("ev"), "doc").distinct()
+    own = asked.where("quote IS NOT NULL").join(texts.select("doc", "source", "text"), "source").join(spans, ["query", "ev", "doc"], "left_anti")
+    cut = own.where(relevant_run(normal_form(F.col("quote")), normal_form(F.col("text")))).select("query", "ev", "doc")
+    return spans.unionByName(cut.distinct())
+
+
 def ranking_scores(hits: DataFrame, truth: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per query with evidence: recall@k, hit@k, mrr, ndcg@5.
 
@@ -97,6 +111,14 @@ def mean_scores(scores: DataFrame, group: list[str]) -> DataFrame:
     return scores.groupBy(*group).agg(*(F.round(F.avg(c), 4).alias(c) for c in names))
 
 
+def grid(runs: dict[str, DataFrame], truth: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Mean scores of many rankings (query, doc, rank) in one job; the names of ``runs`` say the setting, "/" between its parts."""
+    parts = [hits.select(F.struct(F.lit(name).alias("run"), F.col("query").alias("query")).alias("query"), "doc", "rank") for name, hits in runs.items()]
+    named = lambda rows: reduce(DataFrame.unionAll, [rows.withColumn("query", F.struct(F.lit(n).alias("run"), F.col("query").alias("query"))) for n in runs])
+    per = ranking_scores(reduce(DataFrame.unionAll, parts), named(truth), named(evidence))
+    return mean_scores(per.withColumn("run", F.col("query.run")), ["run"])
+
+
 def nearest_rank(value: str, percent: float) -> Column:
     return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})")
 
@@ -107,27 +129,140 @@ def share(test: Column, of: Column) -> Column:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row over (kind, found, correctness, faithfulness, cites_evidence, refusal_correct, n_invalid, total_s): shares with their own denominators."""
+    """One row over (kind, found, correctness, faithfulness, cites_evidence, refusal_correct, n_invalid, total_s and, where there are such columns, prompt_tokens,
+    completion_tokens and retrieval scores): shares with their own denominators. Scores average over answerable rows, tokens over all."""
     answerable, correct = F.col("kind") != "unanswerable", F.col("correctness")
     answered = answerable & F.col("found")
     judged = answered & correct.isNotNull()
     weight = F.when(correct == "correct", 1.0).when(correct == "partial", 0.5).otherwise(0.0)
     yes = lambda c: F.coalesce(c, F.lit(False))
+    tokens = [F.bround(F.avg(c)).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens") if c in rows.columns]
+    scores = [F.bround(F.avg(F.when(answerable, F.col(c))), 4).alias(c) for c in rows.columns if c.startswith(("recall_", "hit_", "ndcg_")) or c == "mrr"]
     return rows.agg(
         F.count("*").alias("questions"), F.sum(F.when(answerable, 1).otherwise(0)).alias("answerable"), share(yes(F.col("found")), answerable).alias("answered"),
         share(~F.col("found"), answerable).alias("false_refusal"), share(yes(correct == "correct"), answerable).alias("correct"), share(yes(correct.isin("correct", "partial")), answerable).alias("correct_or_partial"),
         F.round(F.avg(F.when(judged, weight)), 4).alias("correctness_score"), share(yes(F.col("faithfulness") == "supported"), judged).alias("faithful"), share(yes(F.col("cites_evidence")), answered).alias("cites_evidence"),
         share(F.col("n_invalid") > 0, answerable).alias("invalid_citations"), share(yes(F.col("refusal_correct")), ~answerable).alias("correct_refusal"),
-        share(yes(correct == "correct"), F.col("kind") == "multi").alias("multi_correct"), F.round(F.percentile("total_s", F.lit(0.5)), 2).alias("p50"), F.round(nearest_rank("total_s", 95), 2).alias("p95"),
+        share(yes(correct == "correct"), F.col("kind") == "multi").alias("multi_correct"), F.round(F.percentile("total_s", F.lit(0.5)), 2).alias("p50"), F.round(nearest_rank("total_s", 95), 2).alias("p95"), *tokens, *scores,
     )
 
 
+# judging and reports
+
+CORRECTNESS = ("correct", "partial", "incorrect")
+FAITHFULNESS = ("supported", "partially_supported", "unsupported")
+JUDGE = "Grade an answer. correctness against the reference: correct (all its key facts), partial (something important is missing or wrong) or incorrect. faithfulness to the cited sources alone: supported, partially_supported or unsupported. Reply as JSON: correctness, faithfulness, reason."
+
+
+def judge_prompts(answers: DataFrame) -> DataFrame:
+    """``answers`` (question, reference, answer, sources) with ``prompt``; only cited sources are shown to the judge."""
+    shown = F.array_join(F.transform("sources", lambda s: F.concat(F.lit("["), s["n"].cast("string"), F.lit("] "), s["text"])), "\n\n")
+    parts = [F.lit(JUDGE), F.concat(F.lit("Question: "), F.col("question")), F.concat(F.lit("Reference: "), F.col("reference")), F.concat(F.lit("Answer: "), F.col("answer")), F.concat(F.lit("Sources:\n"), F.coalesce(F.nullif(shown, F.lit("")), F.lit("(none cited)")))]
+    return answers.withColumn("prompt", F.concat_ws("\n\n", *parts))
+
+
+def verdict(reply: Column) -> Column:
+    """struct<correctness, faithfulness, reason> of the outermost braces; null if a grade is none of the known ones."""
+    data = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "correctness string, faithfulness string, reason string")
+    correct = F.lower(F.trim(F.coalesce(data["correctness"], F.lit(""))))
+    faithful = F.replace(F.lower(F.trim(F.coalesce(data["faithfulness"], F.lit("")))), F.lit(" "), F.lit("_"))
+    whole = F.struct(correct.alias("correctness"), faithful.alias("faithfulness"), F.substring(F.coalesce(data["reason"], F.lit("")), 1, 300).alias("reason"))
+    return F.when(correct.isin(*CORRECTNESS) & faithful.isin(*FAITHFULNESS), whole)
+
+
+def answer_rows(records: DataFrame, answers: DataFrame, truth: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """One row for each answered record (query, kind): whether a refusal was right, whether the cited sources hold any and all of its
+    evidence, retrieval scores, and the verdict of answers that were found.
+
+    ``answers``: query, found, sources, retrieved (both arrays of numbered sources), invalid_citations; ``truth`` (query, ev, doc): which
+    chunk holds which evidence; ``records`` also has n_evidence."""
+    both = records.select("query", "kind", "n_evidence").join(answers, "query")
+    of = lambda c: both.select("query", F.explode(c).alias("s")).select("query", F.col("s.n").alias("rank"), F.col("s.chunk_id").alias("doc"))
+    cited = of("sources").join(truth, ["query", "doc"]).groupBy("query").agg(F.countDistinct("ev").alias("n_cited"))
+    scores = ranking_scores(of("retrieved"), truth, records.where("kind <> 'unanswerable'").select("query", "n_evidence"))
+    out = both.join(cited, "query", "left").join(scores, "query", "left")
+    answerable, n = F.col("kind") != "unanswerable", F.coalesce("n_cited", F.lit(0))
+    out = out.withColumn("refusal_correct", F.when(~answerable, ~F.col("found"))).withColumn("cites_evidence", F.when(answerable, n > 0)).withColumn("cites_all_evidence", F.when(answerable, n == F.col("n_evidence")))
+    out = out.withColumn("n_invalid", F.size("invalid_citations")).drop("n_cited")
+    if verdicts is None:
+        return out
+    graded = verdicts.select("query", F.col("verdict.correctness").alias("correctness"), F.col("verdict.faithfulness").alias("faithfulness"), F.col("verdict.reason").alias("reason"))
+    return out.join(graded, "query", "left")
+
+
+def setup_label(mode: Column, embedding: Column, rewrite: Column, rerank: Column) -> Column:
+    """A setting in words, such as "Hybrid + rewriting + model reranker"."""
+    name = F.when(mode == "bm25", "BM25").otherwise(F.initcap(mode))
+    big = F.when(F.coalesce(embedding, F.lit("")).contains("base"), " (base)").otherwise("")
+    return F.concat(name, big, F.when(F.coalesce(rewrite, F.lit("no")) == "yes", " + rewriting").otherwise(""), F.when(F.coalesce(rerank, F.lit("none")) != "none", F.concat(F.lit(" + "), rerank, F.lit(" reranker"))).otherwise(""))
+
+
+SETTING = {"dataset": "original", "strategy": "section", "mode": "hybrid", "embedding": "hashing", "rerank": "none", "rewrite": "no"}
+
+
+def retrieval_table(results: DataFrame) -> DataFrame:
+    """Results with a default for each part of the setting that is missing or null, their label, and their place: by data set, then the best recall at five first."""
+    have = set(results.columns)
+    filled = results.select(*(F.coalesce(F.col(c), F.lit(d)).alias(c) if c in have else F.lit(d).alias(c) for c, d in SETTING.items()), *(c for c in results.columns if c not in SETTING))
+    named = filled.withColumn("label", setup_label(F.col("mode"), F.col("embedding"), F.col("rewrite"), F.col("rerank")))
+    order = Window.orderBy("dataset", F.desc("recall_5"), *SETTING)  # one row for each setting
+    return named.withColumn("place", F.row_number().over(order))
+
+
+def upsert_results(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """``upsert`` of retrieval results by their whole setting, whose missing parts have their defaults."""
+    fill = lambda rows: rows.select(*(F.coalesce(F.col(c), F.lit(d)).alias(c) if c in rows.columns else F.lit(d).alias(c) for c, d in SETTING.items()), *(c for c in rows.columns if c not in SETTING))
+    return upsert(fill(old), fill(new), list(SETTING), order)
+
+
+def by_level(rows: DataFrame, levels: list[str], value: str) -> DataFrame:
+    """Counts and means over all levels of a report, totals included; ``level`` is the number of columns summed over."""
+    out = rows.rollup(*levels).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), F.grouping_id().alias("bits"))
+    return out.withColumn("level", F.bit_count("bits").cast("long")).drop("bits")
+
+
+def agreement(first: DataFrame, second: DataFrame, key: str, grade: str, share_of: float = 1.0, seed: int = 7, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by..., n, agreed, agreement) of two graders of the same rows, over a sample of keys by hash (the sample is the purpose)."""
+    picked = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000)) < F.lit(round(share_of * 10_000))
+    both = first.where(picked).select(key, *by, F.col(grade).alias("one")).join(second.select(key, F.col(grade).alias("two")), key)
+    same = F.sum(F.when(F.col("one").eqNullSafe(F.col("two")), 1).otherwise(0))
+    return both.groupBy(*by).agg(F.count("*").alias("n"), same.alias("agreed"), F.round(F.avg(F.col("one").eqNullSafe(F.col("two")).cast("int")), 4).alias("agreement"))
+
+
+KINDS, KEPT = ("single", "multi", "unanswerable"), ("approved", "edited")
+
+
+def record_faults(records: DataFrame) -> DataFrame:
+    """(id, fault) of a reviewed data set (id, question, answer, kind, status, evidence): a row for each broken rule; empty for a sound one."""
+    n, blank = F.coalesce(F.size("evidence"), F.lit(0)), lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    answerable = F.col("kind") != "unanswerable"
+    rules = {
+        "kind": ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "status": ~F.coalesce(F.col("status").isin(*KEPT), F.lit(False)), "question": blank("question"), "answer": answerable & blank("answer"),
+        "evidence": F.when(answerable, n <= 0).otherwise(n > 0), "two evidences": (F.col("kind") == "multi") & (n != 2), "short quote": answerable & F.exists("evidence", lambda e: F.size(X.words(e["quote"])) < 8),
+    }
+    each = records.select("id", F.explode(F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())))).alias("fault"))
+    return each.unionByName(records.groupBy("id").count().where("count > 1").select("id", F.lit("repeated id").alias("fault")))
+
+
+def paraphrase_faults(original: DataFrame, paraphrased: DataFrame) -> DataFrame:
+    """(id, fault): paraphrased records that are missing, unknown, or changed in answer or evidence."""
+    a, b = (x.select("id", F.struct("answer", "evidence").alias(n)) for x, n in ((original, "a"), (paraphrased, "b")))
+    fault = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unknown").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+    return a.join(b, "id", "full").select("id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of both, for each key the one with the highest ``order``; columns that one side lacks are null."""
     both = old.unionByName(new, allowMissingColumns=True)
     return both.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
 
 
+def resumed(todo: DataFrame, done: DataFrame, key: str, run) -> tuple[DataFrame, DataFrame]:
+    """(rows to append to ``done``, keys left over for the next run): ``run`` gives a status for each open row; only ``ok`` ones are done."""
+    made = run(remaining(todo, done, key))
+    return made.where("status = 'ok'"), made.where("status <> 'ok'").select(key, "status")
+
+
 def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 

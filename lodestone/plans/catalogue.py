@@ -6,6 +6,7 @@ topic), ``embeddings`` the vectors, ``labels`` verdicts, ``pages`` raw input, ``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import chunk, evaluate, ingest, retrieval, state
+from ..functions.python import normal_form
+from ..operators import chunk, evaluate, ingest, retrieval, search, state, testset
+from ..sources import store
 from ..streaming import events as log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    """The stored keyword index of the documents: built by the first query of a session that wants it, read by all."""
+    where = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, where, store.stamp(spark, where))
+    if key not in _STORED or not store.exists(spark, _STORED[key]):
+        path = f"{store.folder(spark)}/lodestone/keyword-{uuid.uuid4().hex}"
+        store.save_keyword_index(table(spark, sf_dir, "documents"), path)
+        _STORED[key] = path
+    return store.keyword_index(spark, _STORED[key])
+
+
 # shared pieces of the SQL side
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _TOK = f"""tok AS (SELECT doc_id AS doc, list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '')), '{X.TOKEN}'), lambda t: NOT list_contains([{_STOP}], t)),
@@ -49,9 +66,9 @@ _QTERMS = "asked AS (SELECT DISTINCT query, unnest(tokens) AS term FROM {q})"
 
 def _bm25_sql(name: str, q: str = "qtok", k: int = 10) -> str:
     return f"""{name}_asked AS (SELECT DISTINCT query, unnest(tokens) AS term FROM {q}),
-{name}_all AS (SELECT query, p.doc, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tokens) / avg_len))), 6) AS score
+{name}_all AS (SELECT query, p.doc, sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tokens) / avg_len))) AS score
   FROM {name}_asked JOIN posts p USING (term) JOIN terms USING (term) JOIN tok ON tok.doc = p.doc, corpus GROUP BY query, p.doc),
-{name} AS (SELECT * FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {name}_all) WHERE rank <= {k})"""
+{name} AS (SELECT * FROM (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc) AS rank FROM {name}_all) WHERE rank <= {k})"""
 
 
 _BASE = f"WITH RECURSIVE {_TOK}, {_QTOK}, {_POSTS}, {_CORPUS}, {_TERMS}"
@@ -68,24 +85,28 @@ def tokenize_docs(spark, sf_dir):
 
 @register(f"WITH {_TOK}, {_POSTS} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term")
 def term_document_freq(spark, sf_dir):
-    posts = retrieval.postings(retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @register(f"WITH {_TOK}, {_POSTS}, {_CORPUS}, {_TERMS} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms")
 def bm25_index(spark, sf_dir):
-    tok = retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return retrieval.term_table(retrieval.postings(tok), retrieval.corpus_stats(tok)).withColumn("idf", F.round("idf", 6))
+    return index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))
 
 
 @register(f"WITH {_TOK}, {_CORPUS} SELECT n::BIGINT AS n, round(avg_len, 6) AS avg_len FROM corpus")
 def bm25_corpus_stats(spark, sf_dir):
-    stats = retrieval.corpus_stats(retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return stats.withColumn("avg_len", F.round("avg_len", 6))
+    return index(spark, sf_dir).corpus.withColumn("avg_len", F.round("avg_len", 6))
+
+
+@register(f"WITH {_TOK}, {_POSTS}, {_CORPUS}, {_TERMS} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms WHERE df > 1")
+def bm25_built_anew(spark, sf_dir):
+    """The weights of all terms, from texts that have no stored index."""
+    tok = retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.term_table(retrieval.postings(tok), retrieval.corpus_stats(tok)).where("df > 1").withColumn("idf", F.round("idf", 6))
 
 
-def _hits(spark, sf_dir, k=10, queries=None):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), queries if queries is not None else table(spark, sf_dir, "benchmark"), k)
+def _hits(spark, sf_dir, k=10):
+    return retrieval.bm25_search(index(spark, sf_dir), table(spark, sf_dir, "benchmark"), k)
 
 
 @register(f"{_BASE}, {_bm25_sql('hits')} SELECT query, doc, score, rank::BIGINT AS rank FROM hits")
@@ -93,24 +114,24 @@ def bm25_topk(spark, sf_dir):
     return _hits(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
 
 
-_OVERLAP = """over_all AS (SELECT query, doc, round(count(*)::DOUBLE / any_value(m), 6) AS score FROM
+_OVERLAP = """over_all AS (SELECT query, doc, count(*)::DOUBLE / any_value(m) AS score FROM
   (SELECT DISTINCT query, unnest(tokens) AS term FROM qtok) JOIN (SELECT DISTINCT doc, term FROM posts) USING (term) JOIN (SELECT query, len(list_distinct(tokens)) AS m FROM qtok) USING (query) GROUP BY query, doc),
-over AS (SELECT * FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM over_all) WHERE rank <= {k})"""
+over AS (SELECT * FROM (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc) AS rank FROM over_all) WHERE rank <= {k})"""
 
 
 @register(f"{_BASE}, {_OVERLAP.format(k=10)} SELECT query, doc, score, rank::BIGINT AS rank FROM over")
 def overlap_topk(spark, sf_dir):
-    return retrieval.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.overlap(index(spark, sf_dir), table(spark, sf_dir, "benchmark")).withColumn("rank", F.col("rank").cast("long"))
 
 
-_RRF = """{n}_f AS (SELECT query, doc, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score, min(list_no * 1000000 + rank) AS seen FROM ({lists}) GROUP BY query, doc),
-{n} AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen) AS rank FROM {n}_f)"""
+_RRF = """{n}_f AS (SELECT query, doc, sum(1 / (60 + rank)::DOUBLE) AS score, min(list_no * 1000000 + rank) AS seen FROM ({lists}) GROUP BY query, doc),
+{n} AS (SELECT query, doc, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, seen) AS rank FROM {n}_f)"""
 
 
 @register(f"{_BASE}, {_bm25_sql('hits', k=30)}, {_OVERLAP.format(k=30)}, {_RRF.format(n='fused', lists='SELECT query, doc, rank, 0 AS list_no FROM over UNION ALL SELECT query, doc, rank, 1 FROM hits')} SELECT query, doc, score, rank::BIGINT AS rank FROM fused WHERE rank <= 10")
 def rrf_hybrid(spark, sf_dir):
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return retrieval.reciprocal_rank_fusion([retrieval.overlap(docs, asked, 30), retrieval.bm25(docs, asked, 30)], 10).withColumn("rank", F.col("rank").cast("long"))
+    asked = table(spark, sf_dir, "benchmark")
+    return retrieval.reciprocal_rank_fusion([retrieval.overlap(index(spark, sf_dir), asked, 30), _hits(spark, sf_dir, 30)], 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 _VARIANTS = "halves AS (SELECT item_id, len(string_split(text, ' ')) AS m, string_split(text, ' ') AS w FROM benchmark)"
@@ -125,13 +146,13 @@ def _half(part: str, name: str) -> str:
 {_RRF.format(n='fused', lists='SELECT query, doc, rank, 0 AS list_no FROM h0 UNION ALL SELECT query, doc, rank, 1 FROM h1 UNION ALL SELECT query, doc, rank, 2 FROM h2')} SELECT query, doc, score, rank::BIGINT AS rank FROM fused WHERE rank <= 10"""
 )
 def rrf_nested(spark, sf_dir):
-    """Query expansion: the question and its halves each search by themselves, their rankings are fused."""
-    asked = table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " "))
+    """Query expansion: the question and its halves are searched in one pass, their rankings are fused."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text", F.split("text", " ").alias("w"))
     half = F.floor(F.size("w") / 2).cast("int")
-    first = asked.withColumn("text", F.array_join(F.slice("w", F.lit(1), half), " "))
-    second = asked.withColumn("text", F.array_join(F.slice("w", half + 1, F.size("w")), " "))
-    depth = retrieval.candidate_depth(10, 5, False, 2, "bm25")
-    return retrieval.reciprocal_rank_fusion([_hits(spark, sf_dir, depth, q) for q in (asked, first, second)], 10).withColumn("rank", F.col("rank").cast("long"))
+    halves = F.array(F.array_join(F.slice("w", F.lit(1), half), " "), F.array_join(F.slice("w", half + 1, F.size("w")), " "))
+    variants = search.variants_of(asked.select("query", "text"), asked.select("text", halves.alias("queries")).dropDuplicates(["text"]))
+    found = search.search(index(spark, sf_dir), None, asked.select("query", "text"), "bm25", 10, variants)
+    return found.select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @register(
@@ -161,14 +182,13 @@ def parsed_queries(spark, sf_dir):
 
 @register(
     f"""{_BASE}, {_bm25_sql('hits', k=30)}, {_OVERLAP.format(k=10)}, both_ AS (SELECT h.query, h.doc, a.score, h.rank AS first_stage_rank FROM hits h JOIN over_all a USING (query, doc))
-SELECT query, doc, score, first_stage_rank::BIGINT AS first_stage_rank, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, first_stage_rank) AS rank FROM both_) WHERE rank <= 5"""
+SELECT query, doc, round(score, 6) AS score, first_stage_rank::BIGINT AS first_stage_rank, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, first_stage_rank) AS rank FROM both_) WHERE rank <= 5"""
 )
 def rerank_lexical(spark, sf_dir):
     """First stage to depth 30, then a scorer (here the share of shared terms) on the candidates only."""
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    first = retrieval.bm25(docs, asked, 30)
-    scores = retrieval.overlap(docs, asked, 1 << 30)
-    out = retrieval.rerank(first, scores, 5)
+    stored, asked = index(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    scorer = lambda wanted: retrieval.overlap_scores(stored, asked, candidates=wanted)
+    out = search.search(stored, None, asked.select(F.col("item_id").alias("query"), "text"), "bm25", 5, None, scorer)
     return out.select("query", "doc", "score", F.col("first_stage_rank").cast("long").alias("first_stage_rank"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -177,8 +197,8 @@ def rerank_lexical(spark, sf_dir):
 
 @register(
     """WITH c AS (SELECT label, k, avg(embedding[k]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k) GROUP BY label, k), q AS (SELECT label AS query, list(x ORDER BY k) AS vec FROM c GROUP BY label),
-s AS (SELECT query, vec_id AS doc, round(list_dot_product(embedding::DOUBLE[], vec), 6) AS score FROM embeddings, q)
-SELECT query, doc, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10"""
+s AS (SELECT query, vec_id AS doc, list_dot_product(embedding::DOUBLE[], vec) AS score FROM embeddings, q)
+SELECT query, doc, round(score, 6) AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc) AS rank FROM s) WHERE rank <= 10"""
 )
 def dense_topk(spark, sf_dir):
     """The ten vectors nearest to each label's mean vector, over the whole table."""
@@ -449,7 +469,7 @@ dn AS (SELECT doc_id AS doc, {_NORM} AS t FROM documents), truth AS (SELECT quer
 
 @register(f"WITH {_EVIDENCE} SELECT query AS item_id, span FROM span")
 def key_span(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", X.key_span(X.normalised(F.col("text"))).alias("span"))
+    return table(spark, sf_dir, "benchmark").select("item_id", X.key_span(normal_form(F.col("text"))).alias("span"))
 
 
 @register(f"WITH {_EVIDENCE} SELECT query, doc FROM truth")
@@ -457,10 +477,9 @@ def evidence_match(spark, sf_dir):
     return evaluate.evidence_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _scores(spark, sf_dir, hits):
+def _truth(spark, sf_dir):
     truth = evaluate.evidence_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("ev", F.lit(0))
-    evidence = truth.select("query").distinct().withColumn("n_evidence", F.lit(1))
-    return evaluate.ranking_scores(hits, truth, evidence)
+    return truth, truth.select("query").distinct().withColumn("n_evidence", F.lit(1))
 
 
 def _scores_sql(hits: str) -> str:
@@ -471,7 +490,7 @@ scores AS (SELECT query, {', '.join(f"CASE WHEN first <= {k} THEN 1.0::DOUBLE EL
 @register(f"{_BASE}, {_bm25_sql('hits')}, {_EVIDENCE}, {_scores_sql('hits')} SELECT * FROM scores")
 def ranking_scores(spark, sf_dir):
     """recall@k, hit@k, MRR and nDCG@5 of every answerable question."""
-    return _scores(spark, sf_dir, _hits(spark, sf_dir))
+    return evaluate.ranking_scores(_hits(spark, sf_dir), *_truth(spark, sf_dir))
 
 
 _MEANS = ", ".join(f"round(avg({m}), 4) AS {m}" for m in [*(f"recall_{k}" for k in evaluate.KS), *(f"hit_{k}" for k in evaluate.KS), "mrr", "ndcg_5"])
@@ -483,10 +502,9 @@ SELECT 'bm25' AS mode, {_MEANS} FROM scores UNION ALL SELECT 'overlap', {_MEANS}
 )
 def eval_grid(spark, sf_dir):
     """Mean scores of two search modes in one job."""
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    runs = [("bm25", retrieval.bm25(docs, asked)), ("overlap", retrieval.overlap(docs, asked))]
-    parts = [_scores(spark, sf_dir, hits).withColumn("mode", F.lit(mode)) for mode, hits in runs]
-    return evaluate.mean_scores(parts[0].unionByName(parts[1]), ["mode"])
+    truth, evidence = _truth(spark, sf_dir)
+    runs = {"bm25": _hits(spark, sf_dir), "overlap": retrieval.overlap(index(spark, sf_dir), table(spark, sf_dir, "benchmark"))}
+    return evaluate.grid(runs, truth, evidence).withColumnRenamed("run", "mode")
 
 
 @register("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")

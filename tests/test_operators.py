@@ -102,9 +102,8 @@ def test_windows_overlap_and_end(spark):
 
 
 def test_merge_breaks_on_paragraphs(spark):
-    rows = F.array(*(F.struct(F.lit(t).cast("long").alias("tokens"), F.lit(p).alias("para")) for t, p in [(5, "1"), (5, "1.2"), (5, "2"), (1, "3")]))
-    got = one(spark, chunk.merged(rows, 100, True, 6))
-    assert [g.n for g in got] == [2, 2]
+    assert chunk.grouped([5, 5, 5, 1], 100, ["1", "1", "2", "3"], 6) == [2, 4]
+    assert chunk.grouped([60, 60, 200, 1], 100) == [1, 2, 3, 4] and chunk.grouped([], 5) == []
     assert one(spark, chunk.run_dedup(F.array(*map(F.lit, ["1", "1", "", "2", "1"])))) == ["1", "2", "1"]
 
 
@@ -167,10 +166,10 @@ def test_refused_calls_always_wait(spark):
 
 
 def reader(lines):
-    r = ingest.ParagraphReader()
+    r = ingest.Reading()
     for page, text in lines:
-        r.feed(text, page)
-    return r.done
+        ingest.read_line(r, text, page)
+    return r.rows
 
 
 def test_paragraph_reader():
