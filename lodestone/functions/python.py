@@ -75,3 +75,21 @@ def near_quote(quote: str, text: str, alike: float = 0.9, gram: int = 4) -> str
 @F.pandas_udf(T.StringType())
 def located_quote(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([None if q is None or t is None else near_quote(q, t) for q, t in zip(quote, text, strict=True)], dtype=object)
+
+
+def run_length(quote: str, text: str) -> int:
+    """Words in the longest run of the quote's words that the text holds as characters, both in normal form.
+
+    Whatever is held, its parts are held: so a window over the quote only ever moves on."""
+    words, text = plain(quote).split(), plain(text)
+    first = best = 0
+    for end in range(1, len(words) + 1):
+        while first < end and " ".join(words[first:end]) not in text:
+            first += 1
+        best = max(best, end - first)
+    return best
+
+
+@F.pandas_udf(T.IntegerType())
+def shared_run(quote: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([0 if q is None or t is None else run_length(q, t) for q, t in zip(quote, text, strict=True)], dtype="int32")

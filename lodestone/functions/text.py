@@ -102,10 +102,11 @@ def repeated_form(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"(?U)\d+", "#"))
 
 
-def mostly_non_latin(line: Column) -> Column:
+def mostly_non_latin(line: Column, share: float = 0.5) -> Column:
+    """Less than ``share`` of the letters are ASCII; false without letters."""
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
     ascii_ = F.length(F.regexp_replace(line, r"[^A-Za-z]", ""))
-    return F.when(letters == 0, False).otherwise(ascii_ / letters < 0.5)
+    return F.when(letters == 0, False).otherwise(ascii_ / letters < share)
 
 
 def chapter_number(token: Column) -> Column:

@@ -81,7 +81,9 @@ CALLED = "reply string, status string, model string, prompt_tokens long, complet
 
 
 def ask_model(asked: DataFrame, post: Callable[[str, str], Response], model: str, fallback: str = "", column: str = "prompt", rules: Attempts = Attempts(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``asked`` with the columns of ``call``. After a quota refusal a task makes no more calls: its rows have that status, to be asked again later."""
+    """``asked`` with the columns of ``call`` (in place of such ones). After a quota refusal a task makes no more calls: its rows have that status, to be asked again later."""
+
+    asked = asked.drop(*(c.split()[0] for c in CALLED.split(", ")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spent = False
@@ -98,7 +100,8 @@ def ask_model(asked: DataFrame, post: Callable[[str, str], Response], model: str
 
 
 def complete(asked: DataFrame, chat: Callable[[list[str]], list[str]], column: str = "prompt") -> DataFrame:
-    """Adds ``reply`` and ``status``; one client call for each batch, errors become a status instead of failing the job."""
+    """Sets ``reply`` and ``status``; one client call for each batch, errors become a status instead of failing the job."""
+    asked = asked.drop("reply", "status")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

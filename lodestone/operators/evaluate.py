@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.python import normal_form
+from ..functions.python import normal_form, shared_run
 from .retrieval import blocks
 
 KS = (1, 3, 5, 10)
@@ -67,9 +67,13 @@ def longest_run(quote: Column, text: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.array_max(lengths))
 
 
+def least_run(quote: Column) -> Column:
+    """Words in a run that make a text of the quote's own source relevant: half of the quote, rounded up, and six at least."""
+    return F.greatest(F.lit(6), F.ceil(F.size(X.words(quote)) / 2))
+
+
 def relevant_run(quote: Column, text: Column) -> Column:
-    """Same-document rule: the run has at least max(6, half the quote's words, rounded up)."""
-    return longest_run(quote, text) >= F.greatest(F.lit(6), F.ceil(F.size(X.words(quote)) / 2))
+    return longest_run(quote, text) >= least_run(quote)
 
 
 def coverage(texts: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -81,7 +85,7 @@ def coverage(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     asked = evidence.withColumn("item", F.struct("query", "ev"))
     spans = evidence_matches(texts, asked, "doc", "text", "item", "quote").select(F.col("query.query").alias("query"), F.col("query.ev").alias("ev"), "doc").distinct()
     own = asked.where("quote IS NOT NULL").join(texts.select("doc", "source", "text"), "source").join(spans, ["query", "ev", "doc"], "left_anti")
-    cut = own.where(relevant_run(normal_form(F.col("quote")), normal_form(F.col("text")))).select("query", "ev", "doc")
+    cut = own.withColumn("run", shared_run("quote", "text")).where(F.col("run") >= least_run(F.col("quote"))).select("query", "ev", "doc")
     return spans.unionByName(cut.distinct())
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.python import normal_form
-from ..operators import chunk, evaluate, ingest, retrieval, search, state, testset
+from ..operators import chunk, evaluate, ingest, retrieval, search, state
 from ..sources import store
 from ..streaming import events as log
 
@@ -444,15 +444,16 @@ def heading_carry_forward(spark, sf_dir):
 
 
 @register(
-    """WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), s AS (SELECT source, count(*) AS paragraphs, sum(length(x)) AS chars, count(DISTINCT doc_id) AS pages FROM l WHERE trim(x) <> '' GROUP BY source)
-SELECT source, paragraphs::BIGINT AS paragraphs, chars::BIGINT AS chars, pages::BIGINT AS pages, round_even(chars / pages, 0)::BIGINT AS chars_per_page, CASE WHEN round_even(chars / pages, 0) < 500 THEN 'little text; no numbered paragraphs' ELSE 'no numbered paragraphs' END AS warnings FROM s"""
+    f"""WITH {_PARAS}, d AS (SELECT doc_id, count(*) AS paragraphs, count(DISTINCT (k - 1) // 12) AS chapters, count(*) FILTER (WHERE k % 3 <> 0) AS paras, sum(length(line)) AS chars, max((k - 1) // 30) + 1 AS pages FROM p GROUP BY doc_id), c AS (SELECT *, round_even(chars / pages, 0)::BIGINT AS chars_per_page FROM d)
+SELECT doc_id, paragraphs::BIGINT AS paragraphs, chapters::BIGINT AS chapters, paras::BIGINT AS paras, chars::BIGINT AS chars, chars_per_page, array_to_string(list_filter([CASE WHEN chars_per_page < 500 THEN 'little text' END, CASE WHEN paras = 0 THEN 'no numbered paragraphs' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM c"""
 )
 def parse_report(spark, sf_dir):
-    lines = _page_lines(spark, sf_dir)
-    paras = lines.select("doc", "page", "text", F.lit("").alias("chapter"), F.lit("").alias("para"))
-    pages = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
+    """Statistics of every document's paragraphs, every third of which has no number."""
+    rows = _parsed(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode("paragraphs").alias("at", "p")).select("doc", "at", "p.*")
+    paras = rows.withColumn("para", F.when((F.col("at") + 1) % 3 == 0, "").otherwise(F.col("para")))
+    pages = rows.groupBy("doc").agg(F.max("page_end").alias("pages"))
     stats = ingest.parse_stats(paras, pages)
-    return stats.select(F.col("doc").alias("source"), "paragraphs", F.col("chars").cast("long").alias("chars"), "pages", "chars_per_page", ingest.quality_warnings(F.col("chars_per_page"), F.col("paras")).alias("warnings"))
+    return stats.select(F.col("doc").alias("doc_id"), "paragraphs", "chapters", "paras", F.col("chars").cast("long").alias("chars"), "chars_per_page", ingest.quality_warnings(F.col("chars_per_page"), F.col("paras")).alias("warnings"))
 
 
 @register("SELECT doc_id, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents")
@@ -572,8 +573,10 @@ def dataset_integrity(spark, sf_dir):
 
 @register("SELECT source, count(*)::BIGINT AS n, round(avg((quality = 1 - toxic)::INT), 4) AS agreement FROM labels JOIN documents USING (doc_id) GROUP BY source")
 def agreement_audit(spark, sf_dir):
-    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return both.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg((F.col("quality") == 1 - F.col("toxic")).cast("int")), 4).alias("agreement"))
+    """Two graders of the same documents, by source."""
+    first = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "source", F.col("quality").alias("grade"))
+    second = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("toxic")).alias("grade"))
+    return evaluate.agreement(first, second, "doc_id", "grade", by=["source"]).select("source", "n", "agreement")
 
 
 @register("SELECT d.doc_id, CASE WHEN toxic = 1 AND quality = 1 THEN 'edited' WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'rejected' ELSE 'undecided' END AS status FROM documents d LEFT JOIN labels USING (doc_id)")
@@ -585,15 +588,6 @@ def review_decisions(spark, sf_dir):
     return evaluate.decide(table(spark, sf_dir, "documents").select("doc_id"), decisions, "doc_id")
 
 
-@register(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, count(*)::BIGINT AS n FROM l WHERE len(regexp_extract_all(x, {_WORDS})) BETWEEN 80 AND 320 AND (regexp_matches(x, '\\d') OR contains(lower(x), 'the')) GROUP BY doc_id")
-def useful_passages(spark, sf_dir):
-    """Passages of 80 to 320 words with a figure or the wanted word."""
-    lines = chunk.lines(table(spark, sf_dir, "documents"))
-    n = chunk.word_count(F.col("line"))
-    kept = lines.where(n.between(80, 320) & (F.col("line").rlike(r"\d") | F.lower("line").contains("the")))
-    return kept.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("n"))
-
-
 @register("SELECT source, doc_id, n::BIGINT AS n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) AS n FROM documents) WHERE n <= 3")
 def hash_sample_per_group(spark, sf_dir):
     """A seeded sample: three of each group by hash order (a sampling operator; the cut is its purpose)."""
@@ -601,11 +595,6 @@ def hash_sample_per_group(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(order).cast("long").alias("n")).where("n <= 3")
 
 
-@register("SELECT quality, toxic, count(*)::BIGINT AS n FROM labels GROUP BY ALL")
-def review_progress(spark, sf_dir):
-    return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
-
-
 # service and log
 
 

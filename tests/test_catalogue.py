@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from lodestone.plans import catalogue
+from lodestone.plans import answering, catalogue  # noqa: F401
 
 from .conftest import DATA, comparable
 
