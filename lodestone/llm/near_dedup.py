@@ -494,3 +494,15 @@ def op2(spark, sf_dir: str, how: Dedup = Dedup(words=4)) -> DataFrame:
     """Contract query: components of all documents at four-word shingles."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), how)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+#: All pairs that share a shingle, for the scale of a correctness check.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM sh), one AS (SELECT doc_id, unnest(s) AS x FROM sh),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(c) AS component_id, n.doc_id = min(c) AS kept FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n.n
+"""

@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": near_dedup.OP2_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }

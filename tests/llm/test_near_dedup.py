@@ -111,6 +111,13 @@ def test_table_equals_all_pairs(spark):
     assert sorted(tuple(r) for r in N.op2(spark, path).collect()) == brute(rows, 4)
 
 
+def test_query_equals_sql(spark, duck):
+    names, rows = duck("sf0.001", N.OP2_SQL)
+    got = N.op2(spark, "/root/testdata/sf0.001").select(*names)
+    assert [f.dataType.simpleString() for f in got.schema.fields] == ["bigint", "bigint", "bigint", "boolean"]
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_awkward_documents(spark, clash):
     df = helpers.awkward(spark, clash)

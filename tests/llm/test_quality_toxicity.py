@@ -155,6 +155,93 @@ def test_words_of_long_buffers_hash_alike():
     assert len(np.unique(K.span_hashes(both, s, e))) == 2 and len(np.unique(K.span_hashes(both, s, e, lower=True))) == 1
 
 
+def plain_evidence(weights, text):
+    """Evidence of one text from the definition alone, by edit distances and string search."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    trimmed = []
+    for a, b in words:
+        solid = [i for i in range(a, b) if text[i].isalnum()]
+        if solid:
+            trimmed.append((solid[0], solid[-1] + 1))
+    low, total, hits = text.lower(), 0.0, 0
+    for i, (a, b) in enumerate(trimmed):
+        near = sorted((distance(low[a:b], t), t) for t in weights)
+        edits, term = near[0] if near else (9, "")
+        if edits > (1 if len(term) >= 5 else 0):
+            continue
+        at = range(max(0, i - 6), min(len(trimmed), i + 7))
+        around = {low[x:y] for j, (x, y) in enumerate(trimmed) if j in at and j != i and y - x <= 12}
+        left, right = text[max(0, trimmed[at[0]][0] - 2) : a], text[b : trimmed[at[-1]][1] + 2]
+        marks = all(any(q in side for q in T.QUOTES if q != "'") for side in (left, right))
+        factor = 1.3 if around & T.SECOND_PERSON else 0.3 if marks or around & T.REPORTING else 1.0
+        hits += 1
+        total += weights[term] * (0.7 if edits else 1.0) * factor
+    return total, hits, len(trimmed)
+
+
+def test_evidence_equals_plain_python():
+    weights = {"moron": 1.0, "idiot": 0.5, "scum": 0.25}
+    rng, m = random.Random(12), T.build_matcher(weights)
+    parts = ["moron", "Moron,", "idjot", "idiott", "scum", "scun", "you", "said", "wrote", '"', "“moron”", "'idiot'", "plain", "words", "of", "text", "a", "...", "é", "moron.", "\n"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    total, hits, n = T.evidence(m, raw, np.cumsum([0] + [len(t.encode()) for t in texts]))
+    for i, t in enumerate(texts):
+        want = plain_evidence(weights, t)
+        assert (hits[i], n[i]) == want[1:] and total[i] == pytest.approx(want[0]), t
+
+
+def plain_statistics(text):
+    """The classifier's statistics from their definitions."""
+    words = helpers.WORD.findall(text)
+    n, body = len(words), max(1, len(re.sub("[\x20\x09-\x0d]", "", text)))
+    lines = [x for x in text.split("\n") if x]
+    share = lambda allowed: sum(c in allowed for c in text) / (body + 100)
+    letters = sum(c.isascii() and c.isalpha() for c in text) + sum(0xC3 <= b <= 0xF4 for b in text.encode()) + 100
+    windows = [tuple(words[i : i + 4]) for i in range(n - 3)]
+    ends = lambda x: x[-1] in ".!?:;\"')]" if x[-1].isascii() else not x[-1].isalnum()
+    size = lambda w: len(w.encode())
+    root, log = np.sqrt, np.log
+    return [
+        log(1 + n), log((body + 100) / (n + 20)), root(share("#*$%&|<>")), root(sum("A" <= c <= "Z" for c in text) / letters), root(share("0123456789")), root(share("!")), root(share(".,;:?!\"'()-")), root((len(windows) - len(set(windows))) / (n + 20)),
+        root(sum(a == b for a, b in zip(words, words[1:], strict=False)) / (n + 20)), log(len(set(words)) + 20) - 0.85 * log(n + 20), root((len(lines) - len(set(lines))) / (len(lines) + 4)), root(sum(not ends(x) for x in lines) / (len(lines) + 4)),
+        log(1 + n / (len(lines) + 4)), root(sum(size(w) >= 14 for w in words) / (n + 20)), root(sum(size(w) <= 2 for w in words) / (n + 20)),
+    ]
+
+
+def test_statistics_equal_plain_python():
+    texts = [t for t in made() if t is not None][:400] + ["One two three. Four!\nOne two three. Four!\n\n1234 UPPER lower extraordinarily-long-word é” 漢"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = M.statistics(raw, np.cumsum([0] + [len(t.encode()) for t in texts]))
+    assert got.shape[1] == len(M.STATISTICS)
+    for row, t in zip(got, texts, strict=True):
+        assert row == pytest.approx(plain_statistics(t), abs=1e-9), t
+
+
+def test_sample_is_bounded_in_rows(spark):
+    from lodestone.llm import labelled
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "two"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", F.lit(True), 10, "doc_id", "text").collect()
+    assert len(rows) == 3 and sum(r["__label"] for r in rows) == 1
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_awkward_documents_have_their_values(spark, clash):
+    """Nulls, empty and very long texts, repeated rows: what each gives."""
+    df = helpers.awkward(spark, clash)
+    got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.base_failed, r.cleaned is None) for r in Q.apply_rules(df).collect())
+    want = sorted((str(r[0]), *(brute_counts(r[1])[:2]), brute_counts(r[1])[5], r[1] is None) for r in helpers.AWKWARD)
+    assert got == want
+    m = T.build_matcher({"long7": 1.0})
+    scores = {(str(r.doc_id), r.hits): r.score for r in T.score_documents(df, m).collect()}
+    assert scores["3", 0] == scores["4", 0] == scores["5", 0] and max(h for d, h in scores if d == "10") > 40 and all(0 <= s <= 1 for s in scores.values())
+    flat = M.Model(None, None, None, 0.25)
+    assert {r.score for r in M.score_documents(df, flat).collect()} == {0.25}
+
+
 def hit_words(m, words):
     raw = np.frombuffer(" ".join(words).encode(), np.uint8)
     low, starts, ends, _, _ = T.code_words(raw, np.array([0, len(raw)]))
