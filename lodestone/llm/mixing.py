@@ -6,7 +6,8 @@ slots for the part; the last of these is trimmed, so that a source's words come
 Slots are dealt to output shards by multinomial draws conditioned on these totals (a splitting
 tree of hypergeometric draws, so that any shard is computed alone, from the seed and the totals).
 The j-th slot of a source is mapped through the source's index permutation (a Feistel network with
-cycle walking) to a block index, and blocks are joined by (source, index).
+cycle walking) to a block index, and blocks are joined by (source, index). ``mixed_blocks`` gives the shards with their blocks in
+order; ``mix_documents`` gives the same words glued back to documents, and the contract query counts them.
 
 Scale: prefix sums run over (source, bucket) pieces, so that a hot source is split over many tasks;
 slots and blocks meet on a key that is unique but for repeats. Only one row for each source comes
@@ -223,6 +224,56 @@ def slots_of(spark, plan: Plan) -> DataFrame:
     return spark.range(0, shards, 1, parts).mapInArrow(run, "shard long, place long, src int, block long, words long")
 
 
+def block_texts(docs: DataFrame, placed: DataFrame, plan: Plan, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(src, block, text): the words of every block, by a blank; parts of one document keep the white space between their words."""
+    b = plan.mix.block_words
+    segments = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))))
+    lo = F.greatest(F.col("start"), F.col("block") * b)
+    hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
+    part = F.struct(F.col("src").alias("src"), F.col("block").cast("long").alias("block"), (lo - F.col("block") * b).cast("long").alias("at"), (lo - F.col("start")).cast("long").alias("first"), (hi - lo).cast("long").alias("n"))
+    wanted = segments.groupBy("k1", "k2").agg(F.collect_list(part).alias("parts"))  # of one document and its equal rows
+    texts = docs.select(*_keys(id_col, source_col, text_col), F.col(text_col).cast("string").alias("text")).dropDuplicates(["k1", "k2"])
+    joined = wanted.hint("merge").join(texts, ["k1", "k2"]).select("parts", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offs in K.chunks(batches, "text"):
+            starts, ends, first = K.words(raw, offs)
+            parts = batch.column(0)
+            doc = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+            flat = parts.flatten()
+            column = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("src", "block", "at", "first", "n")}
+            begin = starts[first[doc] + column["first"]]
+            end = ends[first[doc] + column["first"] + column["n"] - 1]
+            cut = [raw[x:y].tobytes().decode() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+            yield pa.record_batch([pa.array(column["src"], pa.int32()), pa.array(column["block"], pa.int64()), pa.array(column["at"], pa.int64()), pa.array(cut, pa.string())], names=["src", "block", "at", "piece"])
+
+    pieces = joined.mapInArrow(run, "src int, block long, at long, piece string")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"])  # of block_words words at most
+    return pieces.groupBy("src", "block").agg(F.array_join(ordered, " ").alias("text"))
+
+
+def mixed_blocks(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(shard, place, source, block, words, text): the mixed corpus as output shards of ``shard_slots`` blocks in their drawn order.
+
+    A slot whose block is cut, as the last one of a source's partial pass is, has the first ``words`` words."""
+    spark = docs.sparkSession
+    placed, plan = laid_out(docs, mix, id_col, source_col, text_col)
+    placed = written(placed, "mix-layout")
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(plan.names)] or [(0, None)], "src int, source string")  # one row a source
+    joined = slots_of(spark, plan).join(block_texts(docs, placed, plan, id_col, source_col, text_col).hint("merge"), ["src", "block"])
+    whole = joined.join(F.broadcast(names), "src").select("shard", "place", "source", "block", "words", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offs in K.chunks(batches, "text"):
+            starts, ends, first = K.words(raw, offs)
+            words = batch.column(4).to_numpy()
+            last = ends[first[:-1] + words - 1] if len(words) else np.zeros(0, np.int64)
+            cut = [raw[x:y].tobytes().decode() for x, y in zip(offs[:-1].tolist(), last.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cut, pa.string())], names=batch.schema.names)
+
+    return whole.mapInArrow(run, "shard long, place long, source string, block long, words long, text string")
+
+
 def taken_blocks(placed: DataFrame, plan: Plan) -> DataFrame:
     """Each document's part of each block that the mix uses: (k1, k2, src, start, size, first, n, uses).
 

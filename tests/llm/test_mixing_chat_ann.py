@@ -105,6 +105,28 @@ def test_mixed_texts_hold_the_taken_words(spark):
     assert {k: v for k, v in planned.items() if v} == dict(got)
 
 
+def test_shards_hold_the_mixed_blocks(spark):
+    path = "/root/testdata/sf0.001"
+    docs, mix = spark.read.parquet(f"{path}/documents.parquet"), M.Mix(block_words=16, shard_slots=64)
+    rows = M.mixed_blocks(docs, mix).collect()
+    places = collections.defaultdict(list)
+    for r in rows:
+        assert len(helpers.WORD.findall(r.text)) == r.words
+        places[r.shard].append(r.place)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert {len(p) for s, p in places.items() if s != max(places)} == {64} and sorted(places) == list(range(len(places)))
+    said, taken = collections.Counter(), collections.Counter()
+    for r in rows:
+        said.update((r.source, w) for w in helpers.WORD.findall(r.text))
+    for r in M.mix_documents(docs, mix).collect():  # the same words of the same sources
+        taken.update((r.source, w) for w in helpers.WORD.findall(r.text))
+    assert said == taken and sum(said.values()) > 1000
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, M.mixed_blocks(docs, mix).collect()))
+    awkward = helpers.awkward(spark)
+    assert sum(r.words for r in M.mixed_blocks(awkward, mix).collect()) == sum(M.laid_out(awkward, mix)[1].taken)
+    assert M.mixed_blocks(helpers.empty(spark), mix).count() == 0
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_awkward_mix(spark, clash):
     df = helpers.awkward(spark, clash)
