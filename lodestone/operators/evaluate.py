@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.python import normal_form, shared_run
+from ..session import spread
 from .retrieval import blocks
 
 KS = (1, 3, 5, 10)
@@ -28,7 +29,8 @@ def evidence_matches(docs: DataFrame, quotes: DataFrame, doc_col: str = "doc_id"
     spans = quotes.select(F.monotonically_increasing_id().alias("asked"), F.col(quote_col).alias("query"), X.key_span(normal_form(F.col(quote_text))).alias("span")).where("span != ''")
     spans = spans.withColumn("inner", F.split("span", " ")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0))))
     counts = {r.n: r["count"] for r in spans.groupBy(F.size("inner").alias("n")).count().collect()}  # one row for each length of a span
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_col).alias("doc"), normal_form(F.col(text_col)).alias("norm"))
+    bare = spread(docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")))
+    texts = bare.select(F.monotonically_increasing_id().alias("row"), "doc", normal_form(F.col("text")).alias("norm"))
     short = spans.where(F.size("inner") == 0).select("query", "span")
     parts = [_held(texts, x) for x in blocks(short, ["query", "span"], counts.pop(0, 0), MOST_SPANS)]
     if counts:
@@ -43,19 +45,20 @@ def _held(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return held.select(F.col("s.query").alias("query"), "doc")
 
 
+def _runs(words: Column, n: int) -> Column:
+    """Every run of ``n`` words: its hash, where it begins (from 1) and its length."""
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(words, i, n)).alias("key"), i.alias("at"), F.lit(n).alias("size")))
+
+
 def _looked_up(texts: DataFrame, spans: DataFrame, sizes: list[int], count: int) -> DataFrame:
     spans = spans.withColumn("key", F.xxhash64("inner"))
     keys = spans.select("key").distinct()
-    w = F.col("words")
-
-    def runs(n: int) -> Column:
-        """Every run of n words, by its hash, with the words at its sides."""
-        at = F.when(F.size(w) >= n + 2, F.sequence(F.lit(1), F.size(w) - n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, n)).alias("key"), F.array_join(F.slice(w, i, n + 2), " ").alias("around")))
-
-    found = texts.withColumn("words", F.split("norm", " ")).select("row", "doc", F.explode(F.concat(*map(runs, sizes))).alias("r")).select("row", "doc", "r.*")
-    found = found.join(F.broadcast(keys) if count <= BROADCAST_SPANS else keys, "key", "left_semi")
-    return found.join(spans, "key").where(F.contains("around", "span")).dropDuplicates(["row", "asked"]).select("query", "doc")
+    few = F.broadcast(keys) if count <= BROADCAST_SPANS else keys
+    found = texts.withColumn("words", F.split("norm", " ")).select("row", "doc", "words", F.explode(F.concat(*(_runs(F.col("words"), n) for n in sizes))).alias("r"))
+    found = found.select("row", "doc", "words", "r.*").where((F.col("at") > 1) & (F.col("at") + F.col("size") <= F.size("words"))).join(few, "key", "left_semi")
+    around = F.array_join(F.slice("words", F.col("at") - 1, F.col("size") + 2), " ")  # with the words at its sides; few runs are left here
+    return found.select("key", "row", "doc", around.alias("around")).join(spans, "key").where(F.contains("around", "span")).dropDuplicates(["row", "asked"]).select("query", "doc")
 
 
 def longest_run(quote: Column, text: Column) -> Column:
@@ -76,15 +79,30 @@ def relevant_run(quote: Column, text: Column) -> Column:
     return longest_run(quote, text) >= least_run(quote)
 
 
+def _sharing(texts: DataFrame, evidence: DataFrame, n: int = 4) -> DataFrame:
+    """(query, ev, doc, quote, text) of evidences and texts of one source that have ``n`` words in a row in common: a run of six words as characters
+    has four whole ones inside."""
+    row = F.monotonically_increasing_id().alias("row")  # keeps the Python function in a step of its own
+    normal = lambda rows, *names, c: rows.select(row, *names, F.split(normal_form(F.col(c)), " ").alias("words"))
+    grams = F.array_distinct(F.transform(_runs(F.col("words"), n), lambda r: r["key"]))
+    own = spread(texts.select("doc", "source", "text"))
+    asked = normal(evidence, "query", "ev", "source", c="quote").select("query", "ev", "source", F.explode(grams).alias("key"))
+    keys = asked.select("source", "key").distinct()
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_SPANS else keys
+    held = normal(own, "doc", "source", c="text").select("doc", "source", F.explode(grams).alias("key")).join(few, ["source", "key"], "left_semi")
+    pairs = held.join(asked.select("query", "ev", "source", "key"), ["source", "key"]).select("query", "ev", "doc", "source").distinct()
+    return pairs.join(evidence.select("query", "ev", "quote"), ["query", "ev"]).join(own, ["doc", "source"])
+
+
 def coverage(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     """(query, ev, doc): the texts (doc, source, text) that hold each evidence (query, ev, source, quote).
 
     A text holds an evidence if it has the quote's key span, whichever source it is of (one rule may stand in two), or if it is of
     the evidence's own source and has half of the quote and six words at least in one run, as where a chunk's border cuts a quote.
-    The runs are looked for only in texts of the same source that the first rule left out."""
+    The runs are looked for only in texts of the same source that have words in common with the quote and that the first rule left out."""
     asked = evidence.withColumn("item", F.struct("query", "ev"))
     spans = evidence_matches(texts, asked, "doc", "text", "item", "quote").select(F.col("query.query").alias("query"), F.col("query.ev").alias("ev"), "doc").distinct()
-    own = asked.where("quote IS NOT NULL").join(texts.select("doc", "source", "text"), "source").join(spans, ["query", "ev", "doc"], "left_anti")
+    own = _sharing(texts, asked.where("quote IS NOT NULL")).join(spans, ["query", "ev", "doc"], "left_anti")
     cut = own.withColumn("run", shared_run("quote", "text")).where(F.col("run") >= least_run(F.col("quote"))).select("query", "ev", "doc")
     return spans.unionByName(cut.distinct())
 

@@ -104,7 +104,7 @@ def search(
     own = [c for c in ("text", "vec") if c in questions.columns]
     if many:
         asked = questions.select("query", F.lit(0).alias("variant"), *own).unionByName(variants.select("query", F.col("variant").cast("int").alias("variant"), *own))
-        name = F.to_json(F.struct("query", "variant"))
+        name = F.struct("query", "variant")  # one key for each phrasing
         found = first_stage(index, vectors, asked.withColumn("key", name).select(F.col("key").alias("query"), *own), mode, n)
         named = found.withColumnRenamed("query", "key").join(asked.select(name.alias("key"), "query", F.col("variant").alias("list_no")), "key")
         several = variants.select("query").distinct().withColumn("several", F.lit(True))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions.python import normal_form
 from ..operators import chunk, evaluate, ingest, retrieval, search, state
+from ..session import spread
 from ..sources import store
 from ..streaming import events as log
 
@@ -402,7 +403,7 @@ _PAGES = """l AS (SELECT source AS doc, doc_id AS page, i AS seq, x AS text FROM
 
 def _page_lines(spark, sf_dir):
     """Each source as a document, each of its documents as a page."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
     return d.where(F.trim("text") != "")
 
 

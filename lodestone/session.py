@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive plans choose joins, split skewed partitions and size shuffles at run time; UTC keeps times comparable.
 DEFAULTS = {
@@ -16,3 +16,10 @@ DEFAULTS = {
 def session(name: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, if their scan has fewer parts than there are cores, as a small file of one row group has. The parts of a
+    large table are more, and stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
