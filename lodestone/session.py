@@ -19,7 +19,10 @@ def session(name: str = "lodestone", master: str | None = None, **conf: str) ->
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores, if their scan has fewer parts than there are cores, as a small file of one row group has. The parts of a
-    large table are more, and stay as they are."""
+    """``rows`` of a plain scan over all cores, if it has fewer parts than there are cores, as a small file of one row group has. The parts
+    of a large table are more, and stay as they are; so do rows that a shuffle has dealt out already."""
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    if any(step in plan for step in ("Join", "Aggregate", "Repartition", "Sort", "Window", "Deduplicate", "Limit", "CoGroup", "Range")):
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
