@@ -21,7 +21,7 @@ from .catalogue import WITHOUT_SQL, register, table
 # retriever
 
 _VECTORS = "dense_all AS (SELECT q.item_id AS query, e.vec_id AS doc, list_dot_product(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM benchmark q JOIN embeddings v ON v.vec_id = q.item_id, embeddings e)"
-_DENSE = "dense{k} AS (SELECT * FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc) AS rank FROM dense_all) WHERE rank <= {k})"
+_DENSE = "dense{k} AS (SELECT * FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM dense_all) WHERE rank <= {k})"
 
 
 def _questions(spark, sf_dir):

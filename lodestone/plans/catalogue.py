@@ -69,7 +69,7 @@ def _bm25_sql(name: str, q: str = "qtok", k: int = 10) -> str:
     return f"""{name}_asked AS (SELECT DISTINCT query, unnest(tokens) AS term FROM {q}),
 {name}_all AS (SELECT query, p.doc, sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tokens) / avg_len))) AS score
   FROM {name}_asked JOIN posts p USING (term) JOIN terms USING (term) JOIN tok ON tok.doc = p.doc, corpus GROUP BY query, p.doc),
-{name} AS (SELECT * FROM (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc) AS rank FROM {name}_all) WHERE rank <= {k})"""
+{name} AS (SELECT * FROM (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM {name}_all) WHERE rank <= {k})"""
 
 
 _BASE = f"WITH RECURSIVE {_TOK}, {_QTOK}, {_POSTS}, {_CORPUS}, {_TERMS}"
@@ -117,7 +117,7 @@ def bm25_topk(spark, sf_dir):
 
 _OVERLAP = """over_all AS (SELECT query, doc, count(*)::DOUBLE / any_value(m) AS score FROM
   (SELECT DISTINCT query, unnest(tokens) AS term FROM qtok) JOIN (SELECT DISTINCT doc, term FROM posts) USING (term) JOIN (SELECT query, len(list_distinct(tokens)) AS m FROM qtok) USING (query) GROUP BY query, doc),
-over AS (SELECT * FROM (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc) AS rank FROM over_all) WHERE rank <= {k})"""
+over AS (SELECT * FROM (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM over_all) WHERE rank <= {k})"""
 
 
 @register(f"{_BASE}, {_OVERLAP.format(k=10)} SELECT query, doc, score, rank::BIGINT AS rank FROM over")
@@ -126,7 +126,7 @@ def overlap_topk(spark, sf_dir):
 
 
 _RRF = """{n}_f AS (SELECT query, doc, sum(1 / (60 + rank)::DOUBLE) AS score, min(list_no * 1000000 + rank) AS seen FROM ({lists}) GROUP BY query, doc),
-{n} AS (SELECT query, doc, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, seen) AS rank FROM {n}_f)"""
+{n} AS (SELECT query, doc, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, seen) AS rank FROM {n}_f)"""
 
 
 @register(f"{_BASE}, {_bm25_sql('hits', k=30)}, {_OVERLAP.format(k=30)}, {_RRF.format(n='fused', lists='SELECT query, doc, rank, 0 AS list_no FROM over UNION ALL SELECT query, doc, rank, 1 FROM hits')} SELECT query, doc, score, rank::BIGINT AS rank FROM fused WHERE rank <= 10")
@@ -183,7 +183,7 @@ def parsed_queries(spark, sf_dir):
 
 @register(
     f"""{_BASE}, {_bm25_sql('hits', k=30)}, {_OVERLAP.format(k=10)}, both_ AS (SELECT h.query, h.doc, a.score, h.rank AS first_stage_rank FROM hits h JOIN over_all a USING (query, doc))
-SELECT query, doc, round(score, 6) AS score, first_stage_rank::BIGINT AS first_stage_rank, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, first_stage_rank) AS rank FROM both_) WHERE rank <= 5"""
+SELECT query, doc, round(score, 6) AS score, first_stage_rank::BIGINT AS first_stage_rank, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, first_stage_rank) AS rank FROM both_) WHERE rank <= 5"""
 )
 def rerank_lexical(spark, sf_dir):
     """First stage to depth 30, then a scorer (here the share of shared terms) on the candidates only."""
@@ -199,7 +199,7 @@ def rerank_lexical(spark, sf_dir):
 @register(
     """WITH c AS (SELECT label, k, avg(embedding[k]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k) GROUP BY label, k), q AS (SELECT label AS query, list(x ORDER BY k) AS vec FROM c GROUP BY label),
 s AS (SELECT query, vec_id AS doc, list_dot_product(embedding::DOUBLE[], vec) AS score FROM embeddings, q)
-SELECT query, doc, round(score, 6) AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc) AS rank FROM s) WHERE rank <= 10"""
+SELECT query, doc, round(score, 6) AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s) WHERE rank <= 10"""
 )
 def dense_topk(spark, sf_dir):
     """The ten vectors nearest to each label's mean vector, over the whole table."""
