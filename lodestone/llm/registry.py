@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, cohort, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, tokens, toxicity
+from . import ann, chat, cohort, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_chat_format": chat.op8,
     "op9_nearest": ann.op9,
     "op10_quality_classifier": quality_model.op10,
+    "op11_fingerprints": simhash.op11,
     "op12_cohort_retention": cohort.op12,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_near_dedup": near_dedup.OP2_SQL,
     "op8_chat_format": chat.OP8_SQL,
+    "op11_fingerprints": simhash.op11,
     "op12_cohort_retention": cohort.OP12_SQL,
 }
