@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, cohort, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, simhash, tokens, toxicity
+from . import ann, chat, cohort, lexical, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_classifier": quality_model.op10,
     "op11_fingerprints": simhash.op11,
     "op12_cohort_retention": cohort.op12,
+    "op13_ranked_search": lexical.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_format": chat.OP8_SQL,
     "op11_fingerprints": simhash.op11,
     "op12_cohort_retention": cohort.OP12_SQL,
+    "op13_ranked_search": lexical.OP13_SQL,
 }
