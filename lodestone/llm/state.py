@@ -1,70 +1,10 @@
-"""Places for intermediate tables: always the folder that the whole cluster shares.
-
-``written`` makes a table; inside ``scratch`` all tables made are removed at the end, but for the result that is kept.
-"""
+"""Places for intermediate tables, as everywhere in the library: the folder that the whole cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; a cluster has no such folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    if _made.get() is not None:
-        _made.get().append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes an intermediate table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Gives ``keep(df, name)``, which writes a result that outlives the block; every other table made in it goes."""
-    outer, mine = _made.get(), []
-    token = _made.set(mine)
+from ..sources.shared import folder as shared_dir
+from ..sources.shared import fresh_path, remove, scratch, written
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        inner = _made.set(outer)
-        try:
-            return written(df, name)
-        finally:
-            _made.reset(inner)
+discard = remove
 
-    try:
-        yield keep
-    finally:
-        _made.reset(token)
-        for path in mine:
-            discard(spark, path)
+__all__ = ["discard", "fresh_path", "scratch", "shared_dir", "written"]
