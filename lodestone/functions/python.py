@@ -88,8 +88,3 @@ def run_length(quote: str, text: str) -> int:
             first += 1
         best = max(best, end - first)
     return best
-
-
-@F.pandas_udf(T.IntegerType())
-def shared_run(quote: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([0 if q is None or t is None else run_length(q, t) for q, t in zip(quote, text, strict=True)], dtype="int32")

@@ -77,10 +77,6 @@ def sentences(text: Column) -> Column:
     return F.split(F.array_join(marked, ""), "\x01")
 
 
-def top_level(para: Column) -> Column:
-    return F.substring_index(F.coalesce(para, F.lit("")), ".", 1)
-
-
 def section_header(*parts: Column) -> Column:
     return F.concat_ws(" > ", *(F.nullif(p, F.lit("")) for p in parts))
 

@@ -2,72 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.python import normal_form, shared_run
+from ..functions.python import normal_form, run_length
+from ..functions.runs import RunFinder
 from ..session import spread
 from .retrieval import blocks
 
 KS = (1, 3, 5, 10)
-#: Most short spans that are put in one array; more are cut into blocks, each of which reads the texts once.
-MOST_SPANS = 20_000
-#: Most hashes of spans that are broadcast; more are joined by shuffle.
-BROADCAST_SPANS = 1_000_000
+#: Most words of quotes that one reading of the texts looks for; more are cut into blocks, each of which reads the texts once.
+MOST_WORDS = 200_000
+#: Fewer words than this in a span or a run are looked for as characters, quote by quote.
+FEW = 4
 
 
 def evidence_matches(docs: DataFrame, quotes: DataFrame, doc_col: str = "doc_id", text_col: str = "text", quote_col: str = "item_id", quote_text: str = "text") -> DataFrame:
-    """(query, doc): documents whose normalised text holds the quote's key span; any number of quotes.
-
-    A text that holds a span holds the words between the span's first and last as whole words, so the texts' word runs are
-    looked up by the hash of those, in one pass, and compared afterwards. Spans of one or two words, which have none, are
-    searched for in blocks."""
-    spans = quotes.select(F.monotonically_increasing_id().alias("asked"), F.col(quote_col).alias("query"), X.key_span(normal_form(F.col(quote_text))).alias("span")).where("span != ''")
-    spans = spans.withColumn("inner", F.split("span", " ")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0))))
-    counts = {r.n: r["count"] for r in spans.groupBy(F.size("inner").alias("n")).count().collect()}  # one row for each length of a span
-    bare = spread(docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")))
-    texts = bare.select(F.monotonically_increasing_id().alias("row"), "doc", normal_form(F.col("text")).alias("norm"))
-    short = spans.where(F.size("inner") == 0).select("query", "span")
-    parts = [_held(texts, x) for x in blocks(short, ["query", "span"], counts.pop(0, 0), MOST_SPANS)]
-    if counts:
-        parts.append(_looked_up(texts, spans.where(F.size("inner") > 0), sorted(counts), sum(counts.values())))
-    return reduce(DataFrame.unionAll, parts) if parts else _held(texts, short)
-
-
-def _held(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each text read once against all of a bounded number of spans."""
-    table = spans.agg(F.collect_list(F.struct("query", "span")).alias("spans"))
-    held = texts.crossJoin(F.broadcast(table)).select("doc", F.explode(F.filter("spans", lambda s: F.contains(F.col("norm"), s["span"]))).alias("s"))
-    return held.select(F.col("s.query").alias("query"), "doc")
-
-
-def _runs(words: Column, n: int) -> Column:
-    """Every run of ``n`` words: its hash, where it begins (from 1) and its length."""
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(words, i, n)).alias("key"), i.alias("at"), F.lit(n).alias("size")))
-
-
-def _looked_up(texts: DataFrame, spans: DataFrame, sizes: list[int], count: int) -> DataFrame:
-    spans = spans.withColumn("key", F.xxhash64("inner"))
-    keys = spans.select("key").distinct()
-    few = F.broadcast(keys) if count <= BROADCAST_SPANS else keys
-    found = texts.withColumn("words", F.split("norm", " ")).select("row", "doc", "words", F.explode(F.concat(*(_runs(F.col("words"), n) for n in sizes))).alias("r"))
-    found = found.select("row", "doc", "words", "r.*").where((F.col("at") > 1) & (F.col("at") + F.col("size") <= F.size("words"))).join(few, "key", "left_semi")
-    around = F.array_join(F.slice("words", F.col("at") - 1, F.col("size") + 2), " ")  # with the words at its sides; few runs are left here
-    return found.select("key", "row", "doc", around.alias("around")).join(spans, "key").where(F.contains("around", "span")).dropDuplicates(["row", "asked"]).select("query", "doc")
-
-
-def longest_run(quote: Column, text: Column) -> Column:
-    """Longest run of the quote's words that occurs in the text as a character substring."""
-    w = X.words(quote)
-    n = F.size(w)
-    lengths = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda size: F.when(
-        F.exists(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda at: F.contains(text, F.array_join(F.slice(w, at, size), " "))), size).otherwise(0))
-    return F.when(n == 0, 0).otherwise(F.array_max(lengths))
+    """(query, doc): documents whose normalised text holds the quote's key span; any number of quotes."""
+    asked = quotes.select(F.col(quote_col).alias("item"), F.lit(None).cast("string").alias("source"), normal_form(F.col(quote_text)).alias("quote"))
+    texts = spread(docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")))
+    found = held_quotes(texts.select("doc", F.lit(None).cast("string").alias("source"), normal_form(F.col("text")).alias("text")), asked)
+    return found.select(F.col("item").alias("query"), "doc")
+
+
+def held_quotes(texts: DataFrame, asked: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """(item, doc) of quotes and texts, both in normal form: ``texts`` (doc, source, text), ``asked`` (item, source, quote).
+
+    A text holds a quote if it has the quote's key span, or if it is of the quote's own source and has ``least_run`` of its words in one run. Both are
+    meant as characters: the first and the last word may stand inside longer ones. A block of quotes goes into one suffix automaton and each text is read
+    once for all of them; only where the run of whole words falls short by what the words at its ends may add, the quote itself is looked at.
+    No shuffle; a text and a quote give one row at most."""
+    words = F.size(X.words(F.col("quote")))
+    rows = asked.where("quote IS NOT NULL").withColumn("span", X.key_span(F.col("quote"))).withColumn("need", least_run(F.col("quote"))).where("span != ''")
+    total = rows.agg(F.sum(words)).first()[0] or 0
+    kinds = texts.schema["doc"].dataType.simpleString(), asked.schema["item"].dataType.simpleString()
+    spark, parts = texts.sparkSession, []
+    for block in blocks(rows.select("item", "source", "quote", "span", "need"), ["quote"], total, most_words):
+        held = spark.sparkContext.broadcast(block.toArrow().combine_chunks())  # one block of bounded size
+
+        def read(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            quotes = _Quotes(held.value)
+            for batch in batches:
+                row, quote = [], []
+                for i, (source, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    found = quotes.held_by(source, text) if text else []
+                    row += [i] * len(found)
+                    quote += found
+                yield pa.record_batch([quotes.items.take(pa.array(quote, pa.int64())), batch.column(0).take(pa.array(row, pa.int64()))], names=["item", "doc"])
+
+        parts.append(texts.select("doc", "source", "text").mapInArrow(read, f"item {kinds[1]}, doc {kinds[0]}"))
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], f"item {kinds[1]}, doc {kinds[0]}")
+
+
+class _Quotes:
+    """A block of quotes: which of them a text holds."""
+
+    def __init__(self, rows: pa.Table):
+        self.items = rows.column("item").combine_chunks()
+        self.source, self.quote, self.span, self.need = (rows.column(c).to_pylist() for c in ("source", "quote", "span", "need"))
+        self.inner = [len(s.split(" ")) - 2 for s in self.span]
+        self.short = [i for i, n in enumerate(self.inner) if n < FEW]
+        self.finder = RunFinder([q.split(" ") for q in self.quote], FEW)
+
+    def held_by(self, source: str | None, text: str) -> list[int]:
+        found = []
+        for i, run in self.finder.runs(text.split(" ")).items():
+            own = source is not None and source == self.source[i]
+            whole = own and run >= self.need[i]  # words at both ends of a run may be parts of the text's words
+            if whole or self.inner[i] >= FEW and run >= self.inner[i] and self.span[i] in text or own and run >= self.need[i] - 2 and run_length(self.quote[i], text) >= self.need[i]:
+                found.append(i)
+        seen = set(found)
+        return found + [i for i in self.short if i not in seen and self.span[i] in text]
 
 
 def least_run(quote: Column) -> Column:
@@ -75,36 +86,15 @@ def least_run(quote: Column) -> Column:
     return F.greatest(F.lit(6), F.ceil(F.size(X.words(quote)) / 2))
 
 
-def relevant_run(quote: Column, text: Column) -> Column:
-    return longest_run(quote, text) >= least_run(quote)
-
-
-def _sharing(texts: DataFrame, evidence: DataFrame, n: int = 4) -> DataFrame:
-    """(query, ev, doc, quote, text) of evidences and texts of one source that have ``n`` words in a row in common: a run of six words as characters
-    has four whole ones inside."""
-    row = F.monotonically_increasing_id().alias("row")  # keeps the Python function in a step of its own
-    normal = lambda rows, *names, c: rows.select(row, *names, F.split(normal_form(F.col(c)), " ").alias("words"))
-    grams = F.array_distinct(F.transform(_runs(F.col("words"), n), lambda r: r["key"]))
-    own = spread(texts.select("doc", "source", "text"))
-    asked = normal(evidence, "query", "ev", "source", c="quote").select("query", "ev", "source", F.explode(grams).alias("key"))
-    keys = asked.select("source", "key").distinct()
-    few = F.broadcast(keys) if keys.count() <= BROADCAST_SPANS else keys
-    held = normal(own, "doc", "source", c="text").select("doc", "source", F.explode(grams).alias("key")).join(few, ["source", "key"], "left_semi")
-    pairs = held.join(asked.select("query", "ev", "source", "key"), ["source", "key"]).select("query", "ev", "doc", "source").distinct()
-    return pairs.join(evidence.select("query", "ev", "quote"), ["query", "ev"]).join(own, ["doc", "source"])
-
-
 def coverage(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     """(query, ev, doc): the texts (doc, source, text) that hold each evidence (query, ev, source, quote).
 
     A text holds an evidence if it has the quote's key span, whichever source it is of (one rule may stand in two), or if it is of
-    the evidence's own source and has half of the quote and six words at least in one run, as where a chunk's border cuts a quote.
-    The runs are looked for only in texts of the same source that have words in common with the quote and that the first rule left out."""
-    asked = evidence.withColumn("item", F.struct("query", "ev"))
-    spans = evidence_matches(texts, asked, "doc", "text", "item", "quote").select(F.col("query.query").alias("query"), F.col("query.ev").alias("ev"), "doc").distinct()
-    own = _sharing(texts, asked.where("quote IS NOT NULL")).join(spans, ["query", "ev", "doc"], "left_anti")
-    cut = own.withColumn("run", shared_run("quote", "text")).where(F.col("run") >= least_run(F.col("quote"))).select("query", "ev", "doc")
-    return spans.unionByName(cut.distinct())
+    the evidence's own source and has half of the quote and six words at least in one run, as where a chunk's border cuts a quote."""
+    asked = evidence.select(F.struct("query", "ev").alias("item"), "source", normal_form(F.col("quote")).alias("quote"))
+    own = spread(texts.select("doc", "source", "text"))
+    found = held_quotes(own.select("doc", "source", normal_form(F.col("text")).alias("text")), asked)
+    return found.select("item.query", "item.ev", "doc").distinct()
 
 
 def ranking_scores(hits: DataFrame, truth: DataFrame, evidence: DataFrame) -> DataFrame:

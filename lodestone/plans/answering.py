@@ -6,7 +6,6 @@ Models are offline stand-ins whose replies follow from the prompt, so that SQL c
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from ..functions import text as X
 from ..functions.python import normal_form
 from ..operators import answers, chunk, evaluate, ingest, search, state, testset
 from ..options import Options
-from ..sources import store, tables
+from ..sources import shared, store, tables
 from . import catalogue as C
 from .catalogue import WITHOUT_SQL, register, table
 
@@ -32,9 +31,12 @@ def _questions(spark, sf_dir):
 
 def _modes_sql() -> str:
     lists = "SELECT query, doc, rank, 0 AS list_no FROM dense30 UNION ALL SELECT query, doc, rank, 1 FROM b30 WHERE query IN (SELECT query FROM dense_all)"
-    return f"""{C._BASE}, {_VECTORS}, {_DENSE.format(k=30)}, {C._bm25_sql('b30', k=30)}, {C._RRF.format(n='both_', lists=lists)}
+    sql = f"""{C._BASE}, {_VECTORS}, {_DENSE.format(k=30)}, {C._bm25_sql('b30', k=30)}, {C._RRF.format(n='both_', lists=lists)}
 SELECT 'dense' AS mode, query, doc, round(score, 6) AS score, rank::BIGINT AS rank FROM dense30 WHERE rank <= 5 UNION ALL SELECT 'bm25', query, doc, score, rank::BIGINT FROM b30 WHERE rank <= 5 AND query IN (SELECT query FROM dense_all)
 UNION ALL SELECT 'hybrid', query, doc, score, rank::BIGINT FROM both_ WHERE rank <= 5"""
+    for part in ("dense_all", "b30_all", "b30", "posts", "tok"):  # else they are computed once for every use
+        sql = sql.replace(f"{part} AS (", f"{part} AS MATERIALIZED (", 1)
+    return sql
 
 
 @register(_modes_sql())
@@ -58,7 +60,7 @@ def stored_index(spark, sf_dir):
 def vector_upsert(spark, sf_dir):
     """A collection written, written again in part, and rid of vectors whose chunk is gone."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec"), F.col("label").cast("long").alias("label"))
-    where = store.vector_table(f"{store.folder(spark)}/lodestone/{uuid.uuid4().hex}", "section", "some/Model")
+    where = store.vector_table(shared.fresh_path(spark, "vectors"), "section", "some/Model")
     store.upsert_vectors(rows.where("doc % 2 = 0").withColumn("label", F.col("label") + 100), where)
     store.upsert_vectors(rows.where("doc % 3 <> 0"), where)
     chunks = rows.where("(doc % 2 = 0 OR doc % 3 <> 0) AND doc % 5 <> 0").select("doc")
@@ -96,7 +98,7 @@ def _replies(prompts: list[str]) -> list[str]:
 
 
 def _answered(spark, sf_dir):
-    hits = C._hits(spark, sf_dir, 3).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", F.substring("text", 1, 50).alias("text")), "doc")
+    hits = C._hits(spark, sf_dir, 3).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", "text"), "doc")
     hits = hits.select("query", "rank", F.col("doc").cast("string").alias("chunk_id"), F.concat_ws(", ", "source", F.lit("p. 1")).alias("citation"), "text", F.lit("u").alias("url"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
     return answers.answer(asked, hits, lambda prompts: answers.complete(prompts, _replies))
@@ -158,7 +160,7 @@ def service_info(spark, sf_dir):
 @register("SELECT event_type AS question, count(*)::BIGINT AS n, count(*) FILTER (WHERE event_id % 3 = 0)::BIGINT AS failed, 12::BIGINT AS id_length, 300::BIGINT AS longest_error FROM events GROUP BY event_type")
 def request_log(spark, sf_dir):
     """The log's rows, written and read again: a request id of twelve digits, errors cut to 300 characters."""
-    path = f"{store.folder(spark)}/lodestone/log-{uuid.uuid4().hex}"
+    path = shared.fresh_path(spark, "log")
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("question"), (F.col("event_id") % 2 == 0).alias("found"), F.when(F.col("event_id") % 3 == 0, F.repeat(F.lit("x"), 400)).alias("error"))
     store.append_log(rows, path)
     log = store.read_log(spark, path)
@@ -390,7 +392,7 @@ def source_paragraphs(spark, sf_dir):
 @register("SELECT page_id::VARCHAR AS doc_id, 'T' || page_id % 4 AS topic, url || ', \"quoted\"' AS title, 'May ' || page_id AS issued, url FROM pages")
 def catalogue_listing(spark, sf_dir):
     """A catalogue as CSV with quoted fields, read back and listed."""
-    path = f"{store.folder(spark)}/lodestone/catalogue-{uuid.uuid4().hex}"
+    path = shared.fresh_path(spark, "catalogue")
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.concat(F.lit("T"), (F.col("page_id") % 4).cast("string")).alias("topic"), F.concat("url", F.lit(', "quoted"')).alias("title"), F.concat(F.lit("May "), F.col("page_id").cast("string")).alias("issued"), F.col("url").alias("page_url"), F.lit("f").alias("file_url"), F.lit("1").alias("size_kb"))
     rows.write.option("header", True).option("escape", '"').csv(path)
     return tables.listing(tables.catalogue(spark, path))
@@ -399,7 +401,7 @@ def catalogue_listing(spark, sf_dir):
 @register("SELECT doc_id::VARCHAR AS id, kind, len(q)::BIGINT AS n_evidence FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'multi' ELSE 'single' END AS kind, range(quality + toxic) AS q FROM labels)")
 def record_lines(spark, sf_dir):
     """Records as JSON lines, written and read strictly."""
-    path = f"{store.folder(spark)}/lodestone/records-{uuid.uuid4().hex}"
+    path = shared.fresh_path(spark, "records")
     one = F.struct(F.lit("d").alias("doc_id"), F.lit("q").alias("quote"), F.lit("1").alias("para"), F.lit(1).alias("page"))
     rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.lit("q").alias("question"), F.lit("é").alias("answer"), F.when(F.col("toxic") == 1, "multi").otherwise("single").alias("kind"), F.lit("").alias("qtype"), F.array_repeat(one, F.col("quality") + F.col("toxic")).alias("evidence"), F.lit("").alias("origin"), F.lit("pending").alias("status"), F.lit("").alias("note"))
     tables.save_json_lines(rows, path)

@@ -6,7 +6,6 @@ topic), ``embeddings`` the vectors, ``labels`` verdicts, ``pages`` raw input, ``
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from ..functions import text as X
 from ..functions.python import normal_form
 from ..operators import chunk, evaluate, ingest, retrieval, search, state
 from ..session import spread
-from ..sources import store
+from ..sources import shared, store
 from ..streaming import events as log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +47,7 @@ def index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
     where = f"{sf_dir}/documents.parquet"
     key = (spark.sparkContext.applicationId, where, store.stamp(spark, where))
     if key not in _STORED or not store.exists(spark, _STORED[key]):
-        path = f"{store.folder(spark)}/lodestone/keyword-{uuid.uuid4().hex}"
+        path = shared.fresh_path(spark, "keyword")
         store.save_keyword_index(table(spark, sf_dir, "documents"), path)
         _STORED[key] = path
     return store.keyword_index(spark, _STORED[key])
@@ -99,11 +98,11 @@ def bm25_corpus_stats(spark, sf_dir):
     return index(spark, sf_dir).corpus.withColumn("avg_len", F.round("avg_len", 6))
 
 
-@register(f"WITH {_TOK}, {_POSTS}, {_CORPUS}, {_TERMS} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms WHERE df > 1")
+@register(f"WITH {_TOK}, {_POSTS}, {_CORPUS}, {_TERMS} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms")
 def bm25_built_anew(spark, sf_dir):
     """The weights of all terms, from texts that have no stored index."""
     tok = retrieval.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return retrieval.term_table(retrieval.postings(tok), retrieval.corpus_stats(tok)).where("df > 1").withColumn("idf", F.round("idf", 6))
+    return retrieval.term_table(retrieval.postings(tok), retrieval.corpus_stats(tok)).withColumn("idf", F.round("idf", 6))
 
 
 def _hits(spark, sf_dir, k=10):
@@ -480,7 +479,8 @@ def evidence_match(spark, sf_dir):
 
 
 def _truth(spark, sf_dir):
-    truth = evaluate.evidence_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("ev", F.lit(0))
+    """Which documents hold which quote: looked for once and written, as several plans read it."""
+    truth = shared.written(evaluate.evidence_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("ev", F.lit(0)), "truth")
     return truth, truth.select("query").distinct().withColumn("n_evidence", F.lit(1))
 
 

@@ -18,11 +18,20 @@ def session(name: str = "lodestone", master: str | None = None, **conf: str) ->
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+#: Steps of a plan that neither shuffle nor change the layout.
+_NARROW = ("Project", "Filter", "SubqueryAlias", "LogicalRelation", "LogicalRDD", "LocalRelation", "DataSourceV2ScanRelation")
+
+
+def _scan(node) -> bool:
+    """Whether a plan is a scan with narrow steps over it, by the kinds of its nodes."""
+    below = node.children()
+    return node.getClass().getSimpleName() in _NARROW and all(_scan(below.apply(i)) for i in range(below.size()))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` of a plain scan over all cores, if it has fewer parts than there are cores, as a small file of one row group has. The parts
     of a large table are more, and stay as they are; so do rows that a shuffle has dealt out already."""
-    plan = rows._jdf.queryExecution().optimizedPlan().toString()
-    if any(step in plan for step in ("Join", "Aggregate", "Repartition", "Sort", "Window", "Deduplicate", "Limit", "CoGroup", "Range")):
+    if not _scan(rows._jdf.queryExecution().optimizedPlan()):
         return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

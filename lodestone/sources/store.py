@@ -1,17 +1,16 @@
 """Stored indexes and logs: tables in one folder, written once and read by every search.
 
-An index folder holds ``chunks``, ``postings``, ``terms``, ``corpus`` and ``vectors/<collection>``. Vectors are checked against the
+An index folder holds ``chunks``, ``postings``, ``blocks``, ``terms``, ``corpus`` and ``vectors/<collection>``. Vectors are checked against the
 chunks after every write, so that a search can trust the pair.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
+from .shared import folder, located, remove  # noqa: F401  the folder belongs to the store's interface
 from .tables import index_faults
 
 
@@ -19,47 +18,26 @@ class IndexFault(RuntimeError):
     """The vectors and the chunks of an index do not belong together."""
 
 
-def folder(spark: SparkSession) -> str:
-    """Where tables go that the session makes for itself: the shared folder; a temporary one only in a local session without it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    where, files = _path(spark, path)
+    where, files = located(spark, path)
     return files.exists(where)
 
 
 def size(spark: SparkSession, path: str) -> int:
-    where, files = _path(spark, path)
+    where, files = located(spark, path)
     return files.getContentSummary(where).getLength() if files.exists(where) else 0
 
 
 def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
     """(bytes, time of the last change): tells whether a stored index is still that of its texts."""
-    where, files = _path(spark, path)
+    where, files = located(spark, path)
     return files.getContentSummary(where).getLength(), files.getFileStatus(where).getModificationTime()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    where, files = _path(spark, path)
-    files.delete(where, True)
-
-
 def move(spark: SparkSession, path: str, target: str) -> None:
     """``path`` takes the place of ``target``."""
-    where, files = _path(spark, path)
-    there, _ = _path(spark, target)
+    where, files = located(spark, path)
+    there, _ = located(spark, target)
     files.delete(there, True)
     files.mkdirs(there.getParent())
     files.rename(where, there)
@@ -68,22 +46,30 @@ def move(spark: SparkSession, path: str, target: str) -> None:
 # keyword index
 
 
-def save_keyword_index(docs: DataFrame, path: str, doc_col: str = "doc_id", text_col: str = "text") -> retrieval.Index:
-    """Postings with document lengths, sorted by term, the terms' weights and the corpus row; each text is tokenised once."""
+def save_keyword_index(docs: DataFrame, path: str, doc_col: str = "doc_id", text_col: str = "text", posts_of_bucket: int = 2_000_000) -> retrieval.Index:
+    """Postings and their blocks' maxima in folders by a hash of the term, sorted by term and block, the terms' weights and the corpus row.
+
+    Each text is tokenised once. There are 16 to 4,096 folders, one for each ``posts_of_bucket`` postings; a term's folder may have many files."""
     spark = docs.sparkSession
-    posts = retrieval.postings(retrieval.tokenised(docs, doc_col, text_col))
+    posts = retrieval.postings(retrieval.blocked(retrieval.tokenised(docs, doc_col, text_col)))
     posts.write.mode("overwrite").parquet(f"{path}/raw-postings")
     posts = spark.read.parquet(f"{path}/raw-postings")
-    corpus = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))  # one row each
-    corpus.select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).otherwise(0.0).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/corpus")
-    retrieval.term_table(posts, spark.read.parquet(f"{path}/corpus")).write.mode("overwrite").parquet(f"{path}/terms")
-    posts.repartitionByRange("term", "doc").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    sums = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))  # one row each
+    sums.select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).otherwise(0.0).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/corpus")
+    corpus = spark.read.parquet(f"{path}/corpus")
+    count = posts.count()
+    n, by = min(max(-(-count // posts_of_bucket), 16), 4096), ["bucket"] if count else []  # nothing to write leaves no folder whose columns could be read
+    terms = retrieval.term_table(posts, corpus)
+    terms.withColumn("term", F.col("term").alias("term", metadata={"buckets": n})).write.mode("overwrite").parquet(f"{path}/terms")
+    for name, rows in (("postings", posts), ("blocks", retrieval.block_table(posts, corpus))):
+        dealt = rows.withColumn("bucket", retrieval.bucket_of(F.col("term"), n)).repartitionByRange("bucket", "term", "block")
+        dealt.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
     remove(spark, f"{path}/raw-postings")
     return keyword_index(spark, path)
 
 
 def keyword_index(spark: SparkSession, path: str) -> retrieval.Index:
-    return retrieval.Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus")))
+    return retrieval.Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus", "blocks")))
 
 
 # vectors
@@ -138,9 +124,11 @@ def export_index(spark: SparkSession, path: str, target: str, strategy: str, mod
     vectors = spark.read.parquet(vector_table(path, strategy, model))
     chunks.write.mode("overwrite").partitionBy("strategy").parquet(f"{target}/chunks")
     vectors.write.mode("overwrite").parquet(vector_table(target, strategy, model))
-    for name in ("postings", "terms", "corpus"):
+    for name in ("postings", "blocks", "terms", "corpus"):
         if exists(spark, f"{path}/{name}"):
-            spark.read.parquet(f"{path}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
+            rows = spark.read.parquet(f"{path}/{name}")
+            by = [c for c in ("bucket",) if c in rows.columns]
+            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{target}/{name}")
     n, m = chunks.count(), vectors.count()
     if n != m:
         raise IndexFault(f"{target}: {m} vectors for {n} chunks")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.functions.runs import RunFinder
 from lodestone.operators import answers, chunk, evaluate, ingest, retrieval, state
 
 
@@ -123,11 +124,6 @@ def test_nearest_rank_for_all_sizes(spark):
             assert values.agg(evaluate.nearest_rank("v", p)).first()[0] == float((max(0, math.ceil(p / 100 * n) - 1)) ** 2)
 
 
-def test_longest_run(spark):
-    assert one(spark, evaluate.longest_run(F.lit("a b c d"), F.lit("xa b cx d"))) == 3
-    assert one(spark, evaluate.longest_run(F.lit(""), F.lit("x"))) == 0
-
-
 def test_limiter_ignores_refused_calls_and_tells_the_wait():
     times = np.array([0, 10, 20, 59, 60, 61]) * state.SECOND
     wait, last = state.admissions(times, 2, 60 * state.SECOND)
@@ -299,7 +295,7 @@ def test_retry_rules(spark):
 
 
 def test_evidence_has_no_limit_of_quotes(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "MOST_SPANS", 3)
+    monkeypatch.setattr(evaluate.held_quotes, "__defaults__", (40,))
     rng = random.Random(5)
     made = lambda n: " ".join(rng.choice(["ab", "b", "ba", "a", "abba"]) for _ in range(n))
     docs = [(i % 40, made(rng.randint(0, 60))) for i in range(50)] + [(99, None)]
@@ -352,3 +348,58 @@ def test_section_chunks_hold_text_and_place(spark):
         chunk.chunk_document(parsed(spark), "other")
     fixed = chunk.chunk_document(parsed(spark, *paras), "fixed", 4, 1).orderBy("chunk_no").collect()
     assert [(r.text, r.paras) for r in fixed] == [("Head a b c", ["1"]), ("c d e f", ["1", "1.2", "2"]), ("f g h", ["2", "3"])]
+
+
+def test_runs_of_an_automaton_equal_trying_all():
+    rng = random.Random(0)
+
+    def plain(quote, text):
+        return max((j - i for i in range(len(quote)) for j in range(i + 1, len(quote) + 1) if any(text[k : k + j - i] == quote[i:j] for k in range(len(text)))), default=0)
+
+    for _ in range(300):
+        letters = "abcdefgh"[: rng.randrange(1, 6)]
+        quotes = [[rng.choice(letters) for _ in range(rng.randrange(12))] for _ in range(rng.randrange(1, 6))]
+        least = rng.randrange(1, 4)
+        finder = RunFinder(quotes, least)
+        for _ in range(3):
+            text = [rng.choice(letters + "x") for _ in range(rng.randrange(25))]
+            assert finder.runs(text) == {i: n for i, q in enumerate(quotes) if (n := plain(q, text)) >= least}
+
+
+def test_window_spans_and_packing_equal_stepwise_versions():
+    def stepwise(cost, size, overlap):
+        spans, at = [], 0
+        while True:
+            end = at
+            while end < len(cost) and sum(cost[at : end + 1]) <= size + 1e-9:
+                end += 1
+            end = max(end, at + 1)
+            spans.append((at, end))
+            if end >= len(cost):
+                return spans
+            back = end
+            while back > at + 1 and sum(cost[back - 1 : end]) <= overlap + 1e-9:
+                back -= 1
+            at = back
+
+    rng = random.Random(1)
+    for _ in range(300):
+        cost = [rng.choice([1, 1, 2, 0.5, 3.3, 0.0]) for _ in range(rng.randrange(1, 60))]
+        size, overlap = rng.choice([1, 3, 10, 30]), rng.choice([0, 1, 5, 29])
+        assert chunk.window_spans(np.array(cost), size, overlap) == stepwise(cost, size, overlap)
+        parts, most = ["w" * rng.randrange(1, 9) + " x" * rng.randrange(4) for _ in range(rng.randrange(50))], rng.randrange(1, 40)
+        for count in (chunk.word_total, len):
+            want, now = [], []
+            for p in parts:
+                if now and count(" ".join([*now, p])) > most:
+                    want.append(" ".join(now))
+                    now = []
+                now.append(p)
+            assert chunk.packed(parts, most, count) == want + ([" ".join(now)] if now else [])
+
+
+def test_windows_share_exactly_the_overlap():
+    text = " ".join(f"t{i}" for i in range(75))
+    piece = {"text": text, "tokens": 75, "para": "2.1", "chapter": "c", "heading": "h", "page_start": 3, "page_end": 4, "kind": "text"}
+    made = [c["text"].split() for c in chunk._fixed([piece], chunk.word_total, 30, 10)]
+    assert [len(w) for w in made] == [30, 30, 30, 15] and all(a[-10:] == b[:10] for a, b in zip(made, made[1:], strict=False))
