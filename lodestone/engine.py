@@ -34,7 +34,7 @@ class Engine:
         where = store.vector_table(folder, options.strategy, options.embedder)
         if not store.exists(spark, where):
             raise FileNotFoundError(f"no vectors {where}: build the index with this embedder")
-        self.vectors = spark.read.parquet(where)
+        self.vectors = store.read_vectors(spark, where)
         n, m = self.chunks.count(), self.vectors.count()
         if n != m:
             raise store.IndexFault(f"{where}: {m} vectors for {n} chunks; build the index again")

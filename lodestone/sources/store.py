@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval
 from .shared import folder, located, remove  # noqa: F401  the folder belongs to the store's interface
+from .snapshots import Collection
 from .tables import index_faults
 
 
@@ -81,32 +82,28 @@ def vector_table(path: str, strategy: str, model: str) -> str:
 
 
 def upsert_vectors(rows: DataFrame, where: str, key: str = "doc") -> DataFrame:
-    """Adds the rows (``key``, vec, ...) to a collection; a row takes the place of the stored one of its key."""
-    spark = rows.sparkSession
-    if exists(spark, where):
-        stored = spark.read.parquet(where)
-        rows = rows.unionByName(stored.join(rows.select(key), key, "left_anti"), allowMissingColumns=True)
-    return _replaced(rows, where)
+    """Adds the rows (``key``, vec, ...) to a collection; a row takes the place of the stored one of its key. Only rows that differ are written."""
+    stored = Collection(rows.sparkSession, where, key)
+    stored.upsert(stored.changed(rows))
+    stored.compact()
+    return stored.read()
+
+
+def read_vectors(spark: SparkSession, where: str, key: str = "doc") -> DataFrame:
+    return Collection(spark, where, key).read()
 
 
 def drop_stale(where: str, chunks: DataFrame, key: str = "doc", chunk_key: str = "doc") -> DataFrame:
     """Removes vectors whose chunk is gone; fails if then a chunk has no vector, or a key repeats."""
-    spark = chunks.sparkSession
-    keys = chunks.select(F.col(chunk_key).alias(key))
-    kept = _replaced(spark.read.parquet(where).join(keys, key, "left_semi"), where)
-    have, want = kept.count(), keys.count()
+    stored = Collection(chunks.sparkSession, where, key)
+    stored.delete(stored.read().join(chunks.select(F.col(chunk_key).alias(key)), key, "left_anti"))
+    kept = stored.read()
+    have, want = kept.count(), chunks.count()
     if have != want or not index_faults(chunks, kept, chunk_key, key).isEmpty():
         raise IndexFault(f"{where}: {have} vectors for {want} chunks")
     return kept
 
 
-def _replaced(rows: DataFrame, where: str) -> DataFrame:
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{where}.new")
-    move(spark, f"{where}.new", where)
-    return spark.read.parquet(where)
-
-
 # whole indexes
 
 
@@ -121,9 +118,10 @@ def default_index(spark: SparkSession, folders: list[str]) -> str:
 def export_index(spark: SparkSession, path: str, target: str, strategy: str, model: str) -> int:
     """Copies one strategy's chunks and vectors with its keyword tables; returns the chunks, which must be as many as the vectors."""
     chunks = spark.read.parquet(f"{path}/chunks").where(F.col("strategy") == strategy)
-    vectors = spark.read.parquet(vector_table(path, strategy, model))
+    vectors = read_vectors(spark, vector_table(path, strategy, model))
     chunks.write.mode("overwrite").partitionBy("strategy").parquet(f"{target}/chunks")
-    vectors.write.mode("overwrite").parquet(vector_table(target, strategy, model))
+    remove(spark, vector_table(target, strategy, model))
+    Collection(spark, vector_table(target, strategy, model)).upsert(vectors)
     for name in ("postings", "blocks", "terms", "corpus"):
         if exists(spark, f"{path}/{name}"):
             rows = spark.read.parquet(f"{path}/{name}")

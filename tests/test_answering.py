@@ -121,7 +121,7 @@ def test_vectors_must_match_their_chunks(spark):
     rows = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "doc int, vec array<double>")
     store.upsert_vectors(rows, where)
     store.upsert_vectors(spark.createDataFrame([(2, [5.0]), (3, [3.0])], "doc int, vec array<double>"), where)
-    assert rows_of(spark.read.parquet(where), "doc", "vec") == [(1, [1.0]), (2, [5.0]), (3, [3.0])]
+    assert rows_of(store.read_vectors(spark, where), "doc", "vec") == [(1, [1.0]), (2, [5.0]), (3, [3.0])]
     assert store.drop_stale(where, rows.select("doc")).count() == 2
     with pytest.raises(store.IndexFault):
         store.drop_stale(where, spark.createDataFrame([(1,), (2,), (9,)], "doc int"))
