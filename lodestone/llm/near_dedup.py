@@ -8,14 +8,13 @@ buckets; with 24 bands of 4 a pair at similarity 0.8 shares none with probabilit
 No bucket is ever expanded into its pairs. Documents with equal sets are one node first. In star rounds each bucket links
 its members to one centre, the first in a hash order; links are verified on full sets and components are formed. Buckets whose members
 are all in one component drop out; in the others the next round takes another centre, until ``rounds`` are over or what is left
-needs at most ``comparisons`` comparisons. Buckets of more than ``block * bands`` members that are still mixed hold unlike documents with a common
-passage: their members get ``bands`` further bands from the next coordinates of the same circulant signature, and the bucket falls into
-those (a pair at similarity 0.8 shares one, as before), up to ``levels`` times and as long as that leaves fewer rows. Members of a bucket
-then meet in blocks of bounded size, by 128-bit sketches of the signatures. Members that have a candidate in another component (sizes and
+needs at most ``comparisons`` comparisons. Members of a bucket then meet in blocks of bounded size, by 128-bit sketches of the signatures. Members that have a candidate in another component (sizes and
 sketch allow the threshold; miss below 1e-6) gather in groups, and inside each group pairs of different components are verified on
 full sets until none is left. So each pair of a bucket ends verified, excluded by its sketch or sizes, or inside one component, and no
-cap is needed. Rows follow members, but for buckets that stay large and mixed on every level (more than ``block`` documents, each pair nearly
-alike and none alike): a member of m gives m / ``block`` rows there.
+cap is needed. Rows follow members, but for buckets that stay large and mixed (more than ``block`` documents, nearly alike and not alike): a member of m
+gives m / ``block`` rows there. Where that is too much, ``levels`` may be 1 or 2: buckets of more than ``block * bands`` members then fall into
+``bands`` further bands from the next coordinates of the same signature, as often as that leaves fewer rows; each time a pair at similarity 0.8 is
+lost with the probability above. Without it, as by default, buckets of every size are treated alike.
 
 Verification reads the wanted texts again and recomputes the sets: star pairs in salted pieces of a centre, groups in slices of about
 ``held`` shingles, so that no task holds more than that and its longest documents. Components: minimum labels with pointer jumping over
@@ -53,7 +52,7 @@ class Dedup:
     rounds: int = 3
     block: int = 2_048
     comparisons: int = 200_000_000
-    levels: int = 2
+    levels: int = 0
     held: int = 2_000_000
     salt_rows: int = 256
     salt_members: int = 4_096
@@ -165,12 +164,21 @@ def nodes(docs: DataFrame, how: Dedup, text_col: str, level: int = 0) -> DataFra
     return rows.mapInArrow(run, f"id {types['id']}, key {types['key']}, n long, set_hi long, set_lo long, s1 long, s2 long, buckets array<long>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each id's component; ``links`` has columns a, b. Hash-to-min with pointer jumping."""
+def components(links: DataFrame, salt_members: int = 4_096) -> DataFrame:
+    """(id, label): the smallest id of each id's component; ``links`` has columns a, b. Hash-to-min with pointer jumping.
+
+    The links of an id with more than ``salt_members`` are dealt over so many keys, to each of which its label goes."""
     both = written(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links")
+    many = written(both.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > salt_members).select("b", F.ceil(F.col("n") / salt_members).cast("int").alias("salts")), "salts")
+    if many.isEmpty():
+        both, dealt = both.withColumn("salt", F.lit(0)), lambda labels: labels.withColumn("salt", F.lit(0))
+    else:
+        salts = F.coalesce("salts", F.lit(1))
+        both = written(both.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt")), "links")
+        dealt = lambda labels: labels.join(many, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     for turn in itertools.count():
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        near = both.join(dealt(labels.select(F.col("id").alias("b"), "label")), ["b", "salt"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         new = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         if turn >= 2:  # stars are done by now; in long chains labels jump to their label's label, and roots learn from their members
             parent = new.select(F.col("id").alias("label"), F.col("label").alias("up"))

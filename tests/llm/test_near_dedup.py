@@ -81,7 +81,7 @@ def test_a_common_passage_makes_no_quadratic_rows(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(N, "_finer", finer)
-    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), N.Dedup(words=4, block=1, rounds=1, comparisons=1))
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), N.Dedup(words=4, block=1, rounds=1, comparisons=1, levels=2))
     assert {r.id: r.component for r in got.collect()} == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
     before, after = seen[0]
     assert before > 20_000 and after < before / 4
@@ -149,3 +149,21 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 800 / 1200) < 0.07
     pieces = N.signatures(grams, np.array([0, 1000, 2000]), 64, 3, piece=128)
     assert (pieces == sig[:, :64]).all()
+
+
+def test_a_bucket_above_the_blocks_loses_no_link(spark):
+    """Unlike documents with a long common passage, and near copies of some: one bucket of many blocks, every link of which is found."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(120)]
+    rows = [(i, " ".join(common + [f"d{i}x{j}" for j in range(40)])) for i in range(260)]
+    rows += [(1000 + i, rows[rng.randrange(260)][1] + f" tail{i}") for i in range(60)]
+    how = N.Dedup(words=4, block=16, rounds=1, comparisons=0)
+    assert how.levels == 0 and len(rows) > how.block * 16
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), how)
+    assert sorted((r.id, r.n, r.component, r.kept) for r in got.collect()) == brute(rows, 4)
+
+
+def test_components_of_a_hot_centre_are_salted(spark):
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(399, 1000)]
+    found = N.components(spark.createDataFrame(links, "a long, b long"), salt_members=16)
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in [*range(400), *range(1000, 1061)]}
