@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: stable projections into few dimensions, one kd-tree, a chi-square stopping test.
 
-Unit vectors are projected by ``dims`` Gaussian (2-stable) directions. One kd-tree over the projections of a bounded sample (``sample``
-rows with the smallest hashes) gives the leaves; every row of the table is dealt to its leaf, and each leaf's box is that of all its
+Unit vectors are projected by ``dims`` Gaussian (2-stable) directions. One kd-tree over the projections of a bounded sample gives the leaves: by hash
+about ``sample`` rows, or sixteen for each leaf of ``leaf_rows`` rows that the table needs, ``most_sample`` at most. Beyond the 131,072 leaves of that, which
+is beyond 268 million rows, leaves grow with the table, and are blocks in several parts. Every row of the table is dealt to its leaf, and each leaf's box is that of all its
 rows. For a vector at distance d the squared projected distance is d^2 times a chi-square variable with ``dims`` degrees. So a query
 visits leaves in the order of their boxes' projected distance, verifies the vectors there exactly, in double precision, and
 stops once the next leaf's squared distance over the k-th best squared distance has a chi-square distribution function of
@@ -44,6 +45,7 @@ class Index:
     block_rows: int = 32_768
     chunk_queries: int = 8_192
     sample: int = 32_768
+    most_sample: int = 2_097_152
     seed: int = 5
 
 
@@ -197,8 +199,10 @@ def _of_one_width(rows: DataFrame, is_query: Column, width: int, ix: Index) -> D
 
     total = rows.count()
     hashed = F.xxhash64("id", F.lit(ix.seed), F.hash("vec"))
-    sampled = rows.orderBy(hashed, "id").limit(ix.sample).select("vec").mapInArrow(project, "p array<double>").collect()  # bounded by the parameter
-    tree = fit_tree(np.array([r.p for r in sampled]).reshape(-1, ix.dims), max(1, -(-total // ix.leaf_rows)))
+    leaves = max(1, -(-total // ix.leaf_rows))
+    share = min(max(ix.sample, 16 * leaves), ix.most_sample) / max(total, 1)
+    sampled = rows.where(F.pmod(hashed, F.lit(1 << 32)) < round(share * (1 << 32))).select("vec").mapInArrow(project, "p array<double>").toArrow()  # bounded by the parameters
+    tree = fit_tree(sampled["p"].combine_chunks().flatten().to_numpy().reshape(-1, ix.dims), leaves)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +224,7 @@ def _of_one_width(rows: DataFrame, is_query: Column, width: int, ix: Index) -> D
                     yield pa.record_batch([pa.array(names), pa.array(np.full(len(names), d, np.int32)), pa.array(n), pa.array(low[:, d]), pa.array(high[:, d])], names=["leaf", "d", "n", "low", "high"])
 
     low, high, count = np.full((2**tree.depth, ix.dims), np.inf), np.full((2**tree.depth, ix.dims), -np.inf), np.zeros(2**tree.depth, np.int64)
-    for r in dealt.mapInArrow(boxes, "leaf int, d int, n long, low double, high double").groupBy("leaf", "d").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect():  # sample / 8 leaves at most
+    for r in dealt.mapInArrow(boxes, "leaf int, d int, n long, low double, high double").groupBy("leaf", "d").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect():  # most_sample / 8 leaves at most
         low[r.leaf, r.d], high[r.leaf, r.d], count[r.leaf] = r.low, r.high, r.n
     block_of, parts = _blocks(count, ix)
 
@@ -236,8 +240,9 @@ def _of_one_width(rows: DataFrame, is_query: Column, width: int, ix: Index) -> D
     def onwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each further block with a leaf that the test does not exclude."""
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            step = max(1, min(512, 4_000_000 // len(count)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 points, bounds = _unit(_matrix(batch.column(2))) @ axes, batch.column(4).to_numpy()
                 reach = (box_distance(points, low, high) <= limit * bounds[:, None]) & (count > 0)
                 wanted = np.zeros((batch.num_rows, len(parts)), bool)
