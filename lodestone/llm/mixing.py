@@ -35,6 +35,10 @@ from . import text as K
 from .state import scratch, written
 
 
+#: Repeats of a row that one array holds.
+REPEATS = 4_096
+
+
 @dataclass(frozen=True)
 class Mix:
     weights: tuple[float, ...] = (3, 1, 2)
@@ -198,7 +202,10 @@ def laid_out(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_c
     before = sums.select("src", "bucket", (F.sum("words").over(Window.partitionBy("src").orderBy("bucket")) - F.col("words")).alias("before"))
     inside = Window.partitionBy("src", "bucket").orderBy("id", "k1", "k2", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.withColumn("ahead", F.sum(words).over(inside) - words).join(before, ["src", "bucket"])
-    placed = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    few, many = placed.where(F.col("m") <= REPEATS), placed.where(F.col("m") > REPEATS)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    runs = many.withColumn("run", upto(F.ceil(F.col("m") / REPEATS))).repartition("k1", "run").withColumn("i", upto(F.least(F.lit(REPEATS).cast("long"), F.col("m") - F.col("run") * REPEATS)))
+    placed = few.withColumn("i", upto(F.col("m"))).unionByName(runs.withColumn("i", F.col("run") * REPEATS + F.col("i")).drop("run"))
     return placed.select("id", "k1", "k2", "src", "size", (F.col("before") + F.col("ahead") + F.col("i") * F.col("size")).cast("long").alias("start")), plan
 
 
@@ -231,7 +238,8 @@ def block_texts(docs: DataFrame, placed: DataFrame, plan: Plan, id_col: str = "d
     lo = F.greatest(F.col("start"), F.col("block") * b)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
     part = F.struct(F.col("src").alias("src"), F.col("block").cast("long").alias("block"), (lo - F.col("block") * b).cast("long").alias("at"), (lo - F.col("start")).cast("long").alias("first"), (hi - lo).cast("long").alias("n"))
-    wanted = segments.groupBy("k1", "k2").agg(F.collect_list(part).alias("parts"))  # of one document and its equal rows
+    near = F.expr(f"start div {b * 256}")  # repeats of a document are many rows
+    wanted = segments.groupBy("k1", "k2", "src", near.alias("near")).agg(F.collect_list(part).alias("parts"))
     texts = docs.select(*_keys(id_col, source_col, text_col), F.col(text_col).cast("string").alias("text")).dropDuplicates(["k1", "k2"])
     joined = wanted.hint("merge").join(texts, ["k1", "k2"]).select("parts", "text")
 
@@ -299,7 +307,8 @@ def _taken(spark, docs: DataFrame, mix: Mix) -> DataFrame:
     placed = written(placed, "mix-layout")
     took = taken_blocks(placed, plan).groupBy("src", "start", "size").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
     sources = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(zip(plan.sizes, plan.target, strict=True))], "src int, source_size long, target double")
-    out = placed.join(took, ["src", "start", "size"], "left").join(sources, "src")
+    out = placed.where("size > 0").join(took, ["src", "start", "size"], "left")
+    out = out.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))).join(sources, "src")  # empty texts share one place
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

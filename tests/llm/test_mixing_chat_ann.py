@@ -261,3 +261,28 @@ def test_repeated_query_rows_lose_no_neighbours(spark):
     assert sorted(r for r, _ in got[100]) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
     best = {tuple(np.argsort(-(unit @ unit[q]), kind="stable")[:5] + 1) for q in (3, 4)}
     assert {v for _, v in got[100]} == {v for b in best for v in b}
+
+
+def test_many_repeats_of_a_row_are_laid_out_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(M, "REPEATS", 7)
+    rows = [(1, "a", "one two three")] * 40 + [(2, "a", "four five"), (3, "b", "")] + [(4, "b", "")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    placed, plan = M.laid_out(docs)
+    starts = sorted(r.start for r in placed.where("id = 1").collect())
+    others = [r.start for r in placed.where("id = 2").collect()]
+    taken = sorted((s, s + 3) for s in starts) + [(s, s + 2) for s in others]
+    assert len(set(starts)) == 40 and sorted(taken)[0][0] == 0 and all(a[1] == b[0] for a, b in zip(sorted(taken), sorted(taken)[1:], strict=False))
+    assert M._taken(spark, docs, M.Mix()).count() == len(rows)
+
+
+def test_sampled_leaves_grow_with_the_table(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 6)))]
+    ix = ann.Index(leaf_rows=16, sample=64, block_rows=256)
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0, ix=ix)
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1)[:, None]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & set(np.argsort(-np.where(np.arange(3000) == q, -2, unit @ unit[q]))[:5].tolist())) for q in range(0, 3000, 100))
+    assert hits / 150 >= 0.9
