@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.python import normal_form
-from ..operators import chunk, evaluate, ingest, retrieval, search, state
+from ..operators import cells, chunk, evaluate, ingest, retrieval, search, state
 from ..session import spread
 from ..sources import shared, store
 from ..streaming import events as log
@@ -195,20 +195,33 @@ def rerank_lexical(spark, sf_dir):
 # dense
 
 
-@register(
-    """WITH c AS (SELECT label, k, avg(embedding[k]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k) GROUP BY label, k), q AS (SELECT label AS query, list(x ORDER BY k) AS vec FROM c GROUP BY label),
+_NEAREST = """WITH c AS (SELECT label, k, avg(embedding[k]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k) GROUP BY label, k), q AS (SELECT label AS query, list(x ORDER BY k) AS vec FROM c GROUP BY label),
 s AS (SELECT query, vec_id AS doc, list_dot_product(embedding::DOUBLE[], vec) AS score FROM embeddings, q)
 SELECT query, doc, round(score, 6) AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s) WHERE rank <= 10"""
-)
+
+
+def _means(e):
+    """Each label's mean vector."""
+    means = e.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("x"))
+    return means.groupBy(F.col("label").alias("query")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec"))
+
+
+@register(_NEAREST)
 def dense_topk(spark, sf_dir):
     """The ten vectors nearest to each label's mean vector, over the whole table."""
     e = table(spark, sf_dir, "embeddings")
-    means = e.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("x"))
-    asked = means.groupBy(F.col("label").alias("query")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec"))
-    found = retrieval.dense(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), asked)
+    found = retrieval.dense(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), _means(e))
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+@register(_NEAREST)
+def dense_cells(spark, sf_dir):
+    """The same from stored cells: only those are read that can hold a nearer vector."""
+    e = table(spark, sf_dir, "embeddings")
+    stored = cells.save_cells(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), shared.fresh_path(spark, "cells"))
+    return cells.nearest(stored, _means(e)).withColumn("rank", F.col("rank").cast("long"))
+
+
 @register("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS total FROM embeddings")
 def dense_normalise(spark, sf_dir):
     unit = retrieval.normalised_vector(F.col("embedding"))
