@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..functions.python import normal_form, run_length
 from ..functions.runs import RunFinder
 from ..session import spread
+from .ranks import nearest_rank_of, select_ranks
 from .retrieval import blocks
 
 KS = (1, 3, 5, 10)
@@ -131,15 +132,14 @@ def grid(runs: dict[str, DataFrame], truth: DataFrame, evidence: DataFrame) -> D
     return mean_scores(per.withColumn("run", F.col("query.run")), ["run"])
 
 
-def nearest_rank(value: str, percent: float) -> Column:
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})")
-
-
 def share(test: Column, of: Column) -> Column:
     """Share of the rows ``of`` that pass ``test``, 4 places; null without such rows."""
     return F.round(F.try_divide(F.sum(F.when(of & test, 1).otherwise(0)).cast("double"), F.sum(F.when(of, 1).otherwise(0))), 4)
 
 
+SHARES = ("questions", "answerable", "answered", "false_refusal", "correct", "correct_or_partial", "correctness_score", "faithful", "cites_evidence", "invalid_citations", "correct_refusal", "multi_correct")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """One row over (kind, found, correctness, faithfulness, cites_evidence, refusal_correct, n_invalid, total_s and, where there are such columns, prompt_tokens,
     completion_tokens and retrieval scores): shares with their own denominators. Scores average over answerable rows, tokens over all."""
@@ -155,8 +155,14 @@ def summary(rows: DataFrame) -> DataFrame:
         share(~F.col("found"), answerable).alias("false_refusal"), share(yes(correct == "correct"), answerable).alias("correct"), share(yes(correct.isin("correct", "partial")), answerable).alias("correct_or_partial"),
         F.round(F.avg(F.when(judged, weight)), 4).alias("correctness_score"), share(yes(F.col("faithfulness") == "supported"), judged).alias("faithful"), share(yes(F.col("cites_evidence")), answered).alias("cites_evidence"),
         share(F.col("n_invalid") > 0, answerable).alias("invalid_citations"), share(yes(F.col("refusal_correct")), ~answerable).alias("correct_refusal"),
-        share(yes(correct == "correct"), F.col("kind") == "multi").alias("multi_correct"), F.round(F.percentile("total_s", F.lit(0.5)), 2).alias("p50"), F.round(nearest_rank("total_s", 95), 2).alias("p95"), *tokens, *scores,
-    )
+        share(yes(correct == "correct"), F.col("kind") == "multi").alias("multi_correct"), *tokens, *scores,
+    ).crossJoin(F.broadcast(_times(rows))).select(*SHARES, "p50", "p95", *(c for c in ("prompt_tokens", "completion_tokens") if c in rows.columns), *(c for c in rows.columns if c.startswith(("recall_", "hit_", "ndcg_")) or c == "mrr"))  # fmt: skip  one row each
+
+
+def _times(rows: DataFrame) -> DataFrame:
+    """One row: median (the mean of the two middle values) and nearest-rank 95th percentile of the times; null without any."""
+    middle = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.ceil((n + 1) / 2), "p95": nearest_rank_of(95)}
+    return select_ranks(rows, [], "total_s", middle).agg(F.round((F.max("low") + F.max("high")) / 2, 2).alias("p50"), F.round(F.max("p95"), 2).alias("p95"))
 
 
 # judging and reports

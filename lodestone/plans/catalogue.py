@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.python import normal_form
-from ..operators import cells, chunk, evaluate, ingest, retrieval, search, state
+from ..operators import cells, chunk, evaluate, ingest, ranks, retrieval, search, state
 from ..session import spread
 from ..sources import shared, store
 from ..streaming import events as log
@@ -524,7 +524,7 @@ def eval_grid(spark, sf_dir):
 
 @register("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def percentile_nearest_rank(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*(evaluate.nearest_rank("value", p).alias(f"p{p}") for p in (50, 95, 99)))
+    return ranks.nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", [50, 95, 99])
 
 
 _ROWS_SQL = """r AS (SELECT CASE WHEN user_id % 4 = 0 THEN 'unanswerable' WHEN user_id % 4 = 1 THEN 'multi' ELSE 'single' END AS kind, event_id % 5 <> 0 AS found, CASE event_id % 7 WHEN 0 THEN 'incorrect' WHEN 1 THEN 'partial' WHEN 2 THEN NULL ELSE 'correct' END AS c,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions.runs import RunFinder
-from lodestone.operators import answers, chunk, evaluate, ingest, retrieval, state
+from lodestone.operators import answers, chunk, evaluate, ingest, ranks, retrieval, state
 
 
 def one(spark, column, **values):
@@ -118,10 +118,23 @@ def test_scores_of_two_evidences(spark):
 
 
 def test_nearest_rank_for_all_sizes(spark):
-    for n in (1, 2, 3, 20, 41):
-        values = spark.createDataFrame([(float(i * i),) for i in range(n)], "v double")
-        for p in (50, 95):
-            assert values.agg(evaluate.nearest_rank("v", p)).first()[0] == float((max(0, math.ceil(p / 100 * n) - 1)) ** 2)
+    rows = [(n, float(i * i)) for n in (1, 2, 3, 20, 41) for i in range(n)] + [(None, 7.0), (None, None), (99, None), (3, float("nan"))]
+    found = {r.g: (r.p50, r.p95) for r in ranks.nearest_ranks(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", [50, 95]).collect()}
+    assert found == {n: tuple(float((max(0, math.ceil(p / 100 * n) - 1)) ** 2) for p in (50, 95)) for n in (1, 2, 3, 20, 41)} | {None: (7.0, 7.0)}
+
+
+def test_ranks_are_selected_in_rounds(spark, monkeypatch):
+    """A skewed group with values of very unlike sizes, more than a task is to hold: counted in rounds, equal to sorting."""
+    rng = random.Random(2)
+    rows = [("hot", rng.choice([1e-300, 1.0, 1e6, -1e300, 1e300]) * rng.random()) for _ in range(4000)] + [("hot", 5.0)] * 500 + [("cold", float(i)) for i in range(7)] + [("one", 3.0), ("far", -1.7e308), ("far", 1.7e308), ("far", float("inf"))]
+    turns, plain = [], ranks._narrowed
+    monkeypatch.setattr(ranks, "_narrowed", lambda *a: turns.append(1) or plain(*a))
+    got = ranks.select_ranks(spark.createDataFrame(rows, "g string, v double").repartition(3), ["g"], "v", {f"r{p}": ranks.nearest_rank_of(p) for p in (1, 37, 50, 99)}, parts=8, small=3)
+    want = {}
+    for g in ("hot", "cold", "one", "far"):
+        v = sorted(min(v, 1.7976931348623157e308) for x, v in rows if x == g)
+        want[g] = tuple(v[max(0, math.ceil(p / 100 * len(v)) - 1)] for p in (1, 37, 50, 99))
+    assert {r.g: tuple(r)[1:] for r in got.collect()} == want and len(turns) > 2
 
 
 def test_limiter_ignores_refused_calls_and_tells_the_wait():
