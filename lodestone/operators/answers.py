@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 
@@ -59,40 +60,118 @@ class Attempts:
             return float(2**attempt if r.status == 0 else min(2**attempt, self.longest_wait))
 
 
+CALLED = "reply string, status string, model string, prompt_tokens long, completion_tokens long, seconds double"
+QUOTA = {"reply": None, "status": "quota", "prompt_tokens": 0, "completion_tokens": 0, "seconds": 0.0}
+
+
+@dataclass
+class Bucket:
+    """Calls that a task may start: ``per_minute`` of them, ``burst`` at once; any number without a rate."""
+
+    per_minute: float | None = None
+    burst: float = 1.0
+    held: float = 1.0
+    at: float | None = None
+
+    def ready(self, now: float) -> float:
+        """When the next call may start."""
+        if not self.per_minute:
+            return now
+        if self.at is not None:
+            self.held = min(self.burst, self.held + (now - self.at) * self.per_minute / 60)
+        self.at = now
+        return now if self.held >= 1 - 1e-9 else now + (1 - self.held) * 60 / self.per_minute
+
+    def take(self) -> None:
+        self.held -= 1
+
+
+@dataclass
+class _Call:
+    prompt: str
+    model: str
+    attempt: int = 0
+    refused: int = 0
+    started: float | None = None
+
+
+def call_all(post: Callable[[str, str], Response], prompts: list[str], model: str, fallback: str = "", rules: Attempts = Attempts(), in_flight: int = 1, bucket: Bucket | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> list[dict]:
+    """(reply, status, model, tokens, seconds) of every prompt, in order: status is ok, quota (no use to go on today) or what failed.
+
+    At most ``in_flight`` calls run at once, started as ``bucket`` allows. A refused call is put back until its time comes, and others go first. After a
+    quota refusal no more are started: what is left has that status, to be asked again later."""
+    bucket, made = bucket or Bucket(), [_Call(p, model) for p in prompts]
+    results: list[dict | None] = [None] * len(prompts)
+    waiting, running, spent = [(float("-inf"), i) for i in range(len(prompts))], {}, False
+    with ThreadPoolExecutor(max(1, in_flight)) as pool:
+        while running or (waiting and not spent):
+            now = clock()
+            wake = None
+            while waiting and not spent and len(running) < in_flight:
+                wake = max(waiting[0][0], bucket.ready(now))
+                if wake > now:
+                    break
+                c = made[number := heapq.heappop(waiting)[1]]
+                bucket.take()
+                c.started = now if c.started is None else c.started
+                running[pool.submit(post, c.model, c.prompt)] = number
+                wake = None
+            if not running:
+                sleep(wake - now)
+                continue
+            done, _ = wait(running, None if wake is None else max(0.0, wake - now), FIRST_COMPLETED)
+            for future in sorted(done, key=running.get):
+                c = made[number := running.pop(future)]
+                r = future.result()
+                kind, c.attempt, c.refused = rules.kind(r), c.attempt + 1, c.refused + (r.status == 503)
+                if kind == "again" and c.attempt < rules.most:
+                    c.model = fallback if fallback and c.refused >= rules.overloaded else c.model
+                    heapq.heappush(waiting, (clock() + rules.wait(r, c.attempt - 1), number))
+                    continue
+                spent = spent or kind == "quota"
+                status = kind if kind in ("ok", "quota") else f"{r.status} after {c.attempt} attempts: {r.text}"[:300]
+                good = kind == "ok"
+                results[number] = {"reply": r.text if good else None, "status": status, "model": c.model, "prompt_tokens": r.prompt_tokens if good else 0, "completion_tokens": r.completion_tokens if good else 0, "seconds": round(clock() - c.started, 2)}
+    return [x or QUOTA | {"model": c.model} for x, c in zip(results, made, strict=True)]
+
+
 def call(post: Callable[[str, str], Response], prompt: str, model: str, fallback: str = "", rules: Attempts = Attempts(), sleep: Callable[[float], None] = time.sleep) -> dict:
-    """(reply, status, model, tokens, seconds) of one prompt: status is ok, quota (no use to go on today) or what failed."""
-    started, refused, name = time.perf_counter(), 0, model
-    for attempt in range(rules.most):
-        r = post(name, prompt)
-        kind = rules.kind(r)
-        if kind == "ok":
-            return {"reply": r.text, "status": "ok", "model": name, "prompt_tokens": r.prompt_tokens, "completion_tokens": r.completion_tokens, "seconds": round(time.perf_counter() - started, 2)}
-        if kind != "again" or attempt + 1 == rules.most:
-            break
-        refused += r.status == 503
-        if fallback and refused >= rules.overloaded:
-            name = fallback
-        sleep(rules.wait(r, attempt))
-    status = "quota" if kind == "quota" else f"{r.status} after {attempt + 1} attempts: {r.text}"[:300]
-    return {"reply": None, "status": status, "model": name, "prompt_tokens": 0, "completion_tokens": 0, "seconds": round(time.perf_counter() - started, 2)}
+    """``call_all`` of one prompt."""
+    if sleep is time.sleep:
+        return call_all(post, [prompt], model, fallback, rules)[0]
+    told = _Told(sleep)
+    return call_all(post, [prompt], model, fallback, rules, clock=told, sleep=told.wait)[0]
 
 
-CALLED = "reply string, status string, model string, prompt_tokens long, completion_tokens long, seconds double"
+class _Told:
+    """A clock that goes on only by what a caller's own ``sleep`` was told: such a sleep may return at once."""
+
+    def __init__(self, sleep: Callable[[float], None]):
+        self.now, self.sleep = 0.0, sleep
+
+    def __call__(self) -> float:
+        return self.now
 
+    def wait(self, seconds: float) -> None:
+        self.sleep(seconds)
+        self.now += seconds
 
-def ask_model(asked: DataFrame, post: Callable[[str, str], Response], model: str, fallback: str = "", column: str = "prompt", rules: Attempts = Attempts(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``asked`` with the columns of ``call`` (in place of such ones). After a quota refusal a task makes no more calls: its rows have that status, to be asked again later."""
 
+def ask_model(asked: DataFrame, post: Callable[[str, str], Response], model: str, fallback: str = "", column: str = "prompt", rules: Attempts = Attempts(), sleep: Callable[[float], None] | None = None, in_flight: int = 8, per_minute: float | None = None, tasks: int | None = None) -> DataFrame:
+    """``asked`` with the columns of ``call_all`` (in place of such ones): ``in_flight`` calls at once in each task. ``per_minute`` is what the provider
+    allows in all: the rows are dealt over ``tasks`` tasks (as many as there are cores), each of which starts its share of it."""
     asked = asked.drop(*(c.split()[0] for c in CALLED.split(", ")))
+    if per_minute:
+        tasks = tasks or asked.sparkSession.sparkContext.defaultParallelism
+        asked = asked.repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spent = False
+        spent, bucket = False, Bucket(per_minute / tasks if per_minute else None)
+        told = _Told(sleep) if sleep else None
+        how = {"clock": told, "sleep": told.wait} if told else {}
         for batch in batches:
-            rows = []
-            for prompt in batch[column]:
-                row = {"reply": None, "status": "quota", "model": model, "prompt_tokens": 0, "completion_tokens": 0, "seconds": 0.0} if spent else call(post, prompt, model, fallback, rules, sleep)
-                spent = spent or row["status"] == "quota"
-                rows.append(row)
+            rows = [QUOTA | {"model": model}] * len(batch) if spent else call_all(post, batch[column].tolist(), model, fallback, rules, in_flight, bucket, **how)
+            spent = spent or any(r["status"] == "quota" for r in rows)
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=[c.split()[0] for c in CALLED.split(", ")])], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields)
@@ -213,8 +292,7 @@ def ask_with_cache(requests: DataFrame, cache: DataFrame, respond: Callable[[Dat
     entries = held.join(made.select("key"), "key", "left_anti").unionByName(made.where(F.col("value.status") == "ok").select("key", "value", "put_at"))
     old = cache.select("key", F.col("used_at").alias("before"))
     touched = entries.join(used, "key", "left").join(old, "key", "left").withColumn("used_at", F.coalesce("used_at", "before")).drop("before")
-    order = Window.orderBy(F.desc("used_at"), "key")  # a cache: bounded by its size and one batch
-    return answers, touched.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= size).drop("turn")
+    return answers, touched.orderBy(F.desc("used_at"), "key").limit(size)
 
 
 def info(documents: DataFrame, chunks: DataFrame, options, cache: DataFrame | None = None, version: str = "1") -> DataFrame:

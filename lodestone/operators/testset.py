@@ -5,14 +5,19 @@ Draws are by hashes of a seed and the row's own key, so that a run that is taken
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.python import located_quote, normal_form
+from ..functions.grams import QuoteGrams
+from ..functions.python import located_quote, near_quote, normal_form
+from ..session import spread
+from .retrieval import blocks
 
 EVIDENCE = "array<struct<doc_id:string,quote:string,para:string,page:int>>"
 SINGLE = "Write one question that this passage answers, its answer, and the sentence of the passage that proves it, word for word. Reply as JSON: question, answer, question_type, evidence_quote; or skip.\n\n"
@@ -52,11 +57,44 @@ def evidence_for(asked: DataFrame, paras: DataFrame) -> DataFrame:
     return first.select("item", "doc_id", F.col("exact").alias("quote"), F.col("p.para").alias("para"), F.col("p.page_start").alias("page"))
 
 
+def near_quotes(asked: DataFrame, paras: DataFrame, most_chars: int = 2_000_000) -> DataFrame:
+    """(item, doc_id, seq, exact, para, page_start): every paragraph (doc_id, seq, text, para, page_start) that says a quote (item, doc_id, quote), in
+    the paragraph's own words. A quote with a null doc_id is looked for in all documents, another one in its own.
+
+    A block of quotes is an index of their character runs; each paragraph is read once against it, and only where enough of a quote's runs
+    stand close enough is the quote aligned. No shuffle, and nothing that says a quote is left out."""
+    quotes = asked.select("item", F.col("doc_id").cast("string").alias("doc"), normal_form(F.col("quote")).alias("quote")).where("quote <> ''")
+    total = quotes.agg(F.sum(F.length("quote"))).first()[0] or 0
+    kinds = {c: f.schema[c].dataType.simpleString() for f, names in ((asked, ["item"]), (paras, ["doc_id", "seq", "para", "page_start"])) for c in names}
+    schema = ", ".join(f"{c} {kinds[c] if c in kinds else 'string'}" for c in ("item", "doc_id", "seq", "exact", "para", "page_start"))
+    spark, parts = asked.sparkSession, []
+    for block in blocks(quotes, ["item", "doc", "quote"], total, most_chars):
+        held = spark.sparkContext.broadcast(block.toArrow().combine_chunks())  # one block of bounded size
+
+        def read(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            items, doc, quote = held.value["item"].combine_chunks(), held.value["doc"].to_pylist(), held.value["quote"].to_pylist()
+            index = QuoteGrams(quote)
+            for batch in batches:
+                row, which, exact = [], [], []
+                for i, (own, text) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                    for number in index.candidates(text) if text else []:
+                        if doc[number] is None or doc[number] == own:
+                            said = near_quote(quote[number], text)
+                            if said is not None:
+                                row.append(i), which.append(number), exact.append(said)
+                at = pa.array(row, pa.int64())
+                yield pa.record_batch([items.take(pa.array(which, pa.int64())), *(batch.column(c).take(at) for c in (0, 1)), pa.array(exact, pa.string()), *(batch.column(c).take(at) for c in (2, 3))], names=["item", "doc_id", "seq", "exact", "para", "page_start"])
+
+        texts = spread(paras.select("doc_id", "seq", "para", "page_start", F.col("doc_id").cast("string").alias("own"), "text"))
+        texts = texts.select("doc_id", "seq", "para", "page_start", "own", normal_form(F.col("text")).alias("norm"))
+        parts.append(texts.mapInArrow(read, schema))
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
+
+
 def find_evidence(asked: DataFrame, paras: DataFrame) -> DataFrame:
     """(item, doc_id, quote, para, page) from the first paragraph (doc_id, seq, text, para, page_start) of its document that says each quote
     (item, doc_id, quote); a quote that none says has nulls."""
-    both = asked.join(paras.select("doc_id", "seq", "text", "para", "page_start"), "doc_id").withColumn("exact", located_quote("quote", "text")).where("exact IS NOT NULL")
-    first = both.groupBy("item").agg(F.min(F.struct("seq", "exact", "para", "page_start")).alias("p"))
+    first = near_quotes(asked.where("doc_id IS NOT NULL"), paras).groupBy("item").agg(F.min(F.struct("seq", "exact", "para", "page_start")).alias("p"))
     return asked.select("item", "doc_id").join(first, "item", "left").select("item", "doc_id", F.col("p.exact").alias("quote"), F.col("p.para").alias("para"), F.col("p.page_start").alias("page"))
 
 
@@ -101,21 +139,28 @@ def generate_single(passages: DataFrame, paras: DataFrame, ask: Callable[[DataFr
     return made.select("key", *record(F.col("r.question"), F.col("r.answer"), "single", F.col("r.question_type"), one)), asked.select("key", "status")
 
 
-def draw_pairs(passages: DataFrame, n: int, seed: int = 7, across: float = 0.6) -> DataFrame:
+def draw_pairs(passages: DataFrame, n: int, seed: int = 7, across: float = 0.6, of_bucket: int = 1_000) -> DataFrame:
     """``n`` pairs of different passages of one topic, by hash: (key, a, b), each a passage with its doc_id. The share ``across`` of the draws
     takes the second passage from any document of the topic, the others from the first one's.
 
     Every passage is drawn as the first of a pair by its hash; its partner is its successor in the drawn order of the topic, or of
-    the document: one window each, no pairs are listed."""
+    the document. Topics and documents of more than ``of_bucket`` passages are cut into buckets by hash, in which the partners are found: no window holds
+    more than a bucket, and no pairs are listed."""
     order = drawn(seed, F.col("doc_id"), F.col("passage_no"))
     whole = F.struct("doc_id", "passage_no", "title", "section", "text")
     ranked = passages.withColumn("order", order).withColumn("whole", whole)
-    near, far = Window.partitionBy("topic", "doc_id").orderBy("order"), Window.partitionBy("topic").orderBy("order")
+    for name, keys in (("far", ["topic"]), ("near", ["topic", "doc_id"])):
+        counts = ranked.groupBy(*keys).agg(F.ceil(F.count("*") / of_bucket).alias("cut"))
+        ranked = ranked.join(counts, keys).withColumn(name, F.pmod(F.xxhash64("order"), F.col("cut"))).drop("cut")
+    near, far = Window.partitionBy("topic", "doc_id", "near").orderBy("order"), Window.partitionBy("topic", "far").orderBy("order")
     wide = F.pmod(F.xxhash64("order"), F.lit(1000)) < round(across * 1000)
     pairs = ranked.withColumn("b", F.when(wide, F.lead("whole").over(far)).otherwise(F.lead("whole").over(near))).where("b IS NOT NULL AND b.text <> text")
-    turn = F.row_number().over(Window.orderBy("topic_turn", "order"))
-    spread = pairs.withColumn("topic_turn", F.row_number().over(Window.partitionBy("topic").orderBy("order"))).where(F.col("topic_turn") <= n)  # n of each topic at most
-    return spread.withColumn("turn", turn).where(F.col("turn") <= n).select(F.concat(F.lit("multi:"), F.col("turn")).alias("key"), F.col("whole").alias("a"), "b")
+    bucket_turn = F.row_number().over(Window.partitionBy("topic", "far").orderBy("order"))
+    few = pairs.withColumn("turn", bucket_turn).where(F.col("turn") <= n)  # n of each bucket at most, then n of each topic, then n
+    few = few.withColumn("topic_turn", F.row_number().over(Window.partitionBy("topic").orderBy("order"))).where(F.col("topic_turn") <= n)
+    drawn_ones = few.orderBy("topic_turn", "order").limit(n)
+    turn = F.row_number().over(Window.orderBy("topic_turn", "order"))  # n rows
+    return drawn_ones.withColumn("turn", turn).select(F.concat(F.lit("multi:"), F.col("turn")).alias("key"), F.col("whole").alias("a"), "b")
 
 
 def generate_multi(pairs: DataFrame, paras: DataFrame, ask: Callable[[DataFrame], DataFrame], done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -352,7 +352,15 @@ def generated_questions(spark, sf_dir):
     return records.select("key", "question", "kind", "qtype", "origin", "status", F.col("evidence")[0]["quote"].alias("quote"), F.col("evidence")[0]["para"].alias("para"))
 
 
-WITHOUT_SQL |= {f.__name__: f for f in (embedding_stage, generated_questions)}
+def misquoted(spark, sf_dir):
+    """Every benchmark item with a wrong letter for each of twenty, looked for in all lines of all documents."""
+    paras = chunk.lines(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "seq", F.col("line").alias("text"), F.col("seq").cast("string").alias("para"), F.lit(1).alias("page_start"))
+    wrong = F.regexp_replace(F.substring("text", 1, 120), r"(?s)(.{19}).", "$1~")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.lit(None).cast("long").alias("doc_id"), wrong.alias("quote"))
+    return testset.near_quotes(asked, paras).select("item", "doc_id", "seq", "exact")
+
+
+WITHOUT_SQL |= {f.__name__: f for f in (embedding_stage, generated_questions, misquoted)}
 
 
 @register("SELECT doc_id::VARCHAR AS id, CASE WHEN toxic = 1 THEN 'q' || doc_id WHEN doc_id % 3 = 0 THEN 'done' ELSE 'plainly' END AS question FROM labels WHERE toxic = 1 OR doc_id % 3 = 0 OR doc_id % 5 <> 0")

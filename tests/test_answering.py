@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
+import random
+import re
+import threading
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import python as P
+from lodestone.functions.grams import QuoteGrams
 from lodestone.operators import answers, evaluate, ingest, retrieval, search, testset
 from lodestone.options import MissingKey, Options
+from lodestone.plans import answering
 from lodestone.sources import store, tables
 
 
@@ -302,3 +308,111 @@ def test_engine_builds_searches_and_answers(spark, capsys):
     store.upsert_vectors(spark.createDataFrame([("x", "9", [1.0])], "doc string, doc_id string, vec array<double>").withColumn("doc_id", F.lit(9).cast("long")), store.vector_table(folder, "section", "hashing"))
     with pytest.raises(store.IndexFault):
         E.Engine(spark, folder)
+
+
+def test_quote_index_leaves_no_near_quote_out():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 80))) for _ in range(80)]
+    quotes = []
+    for _ in range(80):
+        text = rng.choice(texts)
+        at = rng.randrange(max(1, len(text) - 30))
+        quote = list(text[at : at + rng.randrange(3, 150)])
+        for _ in range(int(len(quote) * rng.choice([0, 0.03, 0.08, 0.1, 0.15]))):
+            i = rng.randrange(len(quote))
+            quote[i] = rng.choice(["z", "", quote[i] + "y"])
+        quotes.append(P.plain("".join(quote)))
+    index, near, tried = QuoteGrams(quotes), 0, 0
+    for text in texts:
+        found = set(index.candidates(text))
+        tried += len(found)
+        said = {i for i, q in enumerate(quotes) if P.near_quote(q, text) is not None}
+        assert said <= found
+        near += len(said)
+    assert near > 50 and tried < len(texts) * len(quotes) / 8
+
+
+def test_misquoted_lines_equal_trying_every_pair(spark):
+    sf = "/root/testdata/sf0.001"
+    got = sorted((r.item, r.doc_id, r.seq, r.exact) for r in answering.WITHOUT_SQL["misquoted"](spark, sf).collect())
+    lines = [(r.doc_id, i, x) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() for i, x in enumerate((r.text or "").split("\n")) if x.strip(" ")]
+    items = [(r.item_id, P.plain(re.sub(r"(?s)(.{19}).", r"\1~", r.text[:120]))) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    grams = [{q[i : i + 4] for i in range(len(q) - 3)} for _, q in items]  # a near quote keeps 30 of its 117 runs
+    want = []
+    for doc, seq, line in lines:
+        text = P.plain(line)
+        mine = {text[i : i + 4] for i in range(len(text) - 3)}
+        want += [(item, doc, seq, said) for (item, quote), g in zip(items, grams, strict=True) if len(g & mine) >= 24 and (said := P.near_quote(quote, text)) is not None]
+    assert got == sorted(want) and got
+
+
+def test_pairs_are_drawn_in_buckets(spark):
+    rows = [(d, i, f"title{d}", "s", f"text {d} {i}", f"topic{d % 2}") for d in range(6) for i in range(40)]
+    passages = spark.createDataFrame(rows, "doc_id long, passage_no long, title string, section string, text string, topic string")
+    for of_bucket in (10, 1000):
+        pairs = testset.draw_pairs(passages, 25, of_bucket=of_bucket).collect()
+        assert [r.key for r in pairs] == [f"multi:{i}" for i in range(1, 26)] and len({r.a.text for r in pairs}) == 25
+        assert all(r.a.text != r.b.text and r.a.doc_id % 2 == r.b.doc_id % 2 for r in pairs) and {r.a.doc_id % 2 for r in pairs} == {0, 1}
+
+
+class FakeClock:
+    def __init__(self):
+        self.now, self.naps = 0.0, []
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, seconds):
+        self.naps.append(seconds)
+        self.now += seconds
+
+
+def test_calls_in_flight_stay_below_the_bound_and_results_keep_their_order():
+    lock, now, most = threading.Lock(), 0, 0
+
+    def post(model, prompt):
+        nonlocal now, most
+        with lock:
+            now += 1
+            most = max(most, now)
+        time.sleep(0.01 * (int(prompt) % 3))
+        with lock:
+            now -= 1
+        return answers.Response(200, f"re {prompt}", prompt_tokens=1)
+
+    got = answers.call_all(post, [str(i) for i in range(40)], "m", in_flight=4)
+    assert [r["reply"] for r in got] == [f"re {i}" for i in range(40)] and 1 < most <= 4
+
+
+def test_a_refused_call_is_put_back_and_others_go_first():
+    clock, seen = FakeClock(), []
+
+    def post(model, prompt):
+        seen.append((prompt, clock.now, model))
+        tries = sum(p == prompt for p, _, _ in seen)
+        return answers.Response(503) if prompt == "a" and tries < 5 else answers.Response(200, prompt)
+
+    got = answers.call_all(post, ["a", "b", "c"], "big", "small", in_flight=1, clock=clock, sleep=clock.sleep)
+    assert [r["reply"] for r in got] == ["a", "b", "c"] and got[0]["model"] == "small" and got[1]["model"] == "big"
+    assert [p for p, _, _ in seen[:3]] == ["a", "b", "c"] and [t for p, t, _ in seen if p == "a"] == [0, 1, 3, 7, 15]
+    assert sum(clock.naps) == 15
+
+
+def test_the_bucket_spaces_calls_and_a_quota_ends_them():
+    clock, seen = FakeClock(), []
+
+    def post(model, prompt):
+        seen.append(clock.now)
+        return answers.Response(429, "per day") if prompt == "4" else answers.Response(200, prompt)
+
+    got = answers.call_all(post, [str(i) for i in range(8)], "m", in_flight=3, bucket=answers.Bucket(per_minute=30), clock=clock, sleep=clock.sleep)
+    assert [round(b - a, 6) for a, b in zip(seen, seen[1:], strict=False)] == [2.0] * (len(seen) - 1)
+    assert [r["status"] for r in got[:5]] == ["ok"] * 4 + ["quota"] and {r["status"] for r in got[5:]} == {"quota"} and len(seen) == 5
+    assert answers.call_all(post, [], "m") == []
+
+
+def test_the_model_stage_divides_a_rate_over_its_tasks(spark):
+    asked = spark.range(12).selectExpr("id", "cast(id as string) as prompt")
+    out = answers.ask_model(asked, lambda model, prompt: answers.Response(200, "re " + prompt), "m", sleep=lambda s: None, in_flight=2, per_minute=600, tasks=3)
+    assert sorted((r.id, r.reply, r.status) for r in out.collect()) == [(i, f"re {i}", "ok") for i in range(12)]
