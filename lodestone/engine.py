@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import answers, chunk, search
+from .operators import answers, chunk, retrieval, search
 from .options import Options
 from .session import session
 from .sources import store
@@ -58,13 +58,21 @@ class Engine:
         o = self.options
         asked = search.embed_questions(questions.select("query", F.col("question").alias("text")), "text", self.embedder, o.embedder)
         variants = search.embed_questions(search.variants_of(asked, rewrites), "text", self.embedder, o.embedder) if rewrites is not None else None
-        texts = self.chunks.select(F.col("chunk_id").alias("doc"), "index_text")
-        scorer = search.pair_scorer(texts, self.scorer) if self.scorer else None
-        found = search.search(self.index, self.vectors.select("doc", "vec"), asked, mode or o.mode, k, variants, scorer, o.final, o.candidates)
+        found = search.search(self.index, self.vectors.select("doc", "vec"), asked, mode or o.mode, k, variants, self._scorer(asked), o.final, o.candidates)
         cite = X.citation(F.col("doc_title"), F.col("chapter"), F.element_at("paras", 1), F.element_at("paras", -1), F.col("page_start"), F.col("page_end"))
         shown = self.chunks.select(F.col("chunk_id").alias("doc"), cite.alias("citation"), "text", F.col("source_url").alias("url"))
         return found.join(shown, "doc").select("query", F.col("doc").alias("chunk_id"), "score", "rank", "first_stage_rank", "citation", "text", "url")
 
+    def _scorer(self, asked: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
+        """What scores the candidates again, by the option ``reranker``."""
+        if self.options.reranker == "none":
+            return None
+        if self.options.reranker == "lexical":
+            return lambda candidates: retrieval.overlap_scores(self.index, asked, "query", "text", candidates)
+        if self.scorer is None:
+            raise RuntimeError("the reranker 'model' needs a scorer")
+        return search.pair_scorer(self.chunks.select(F.col("chunk_id").alias("doc"), "index_text"), self.scorer)
+
     def ask(self, questions: DataFrame, rewrites: DataFrame | None = None) -> DataFrame:
         """Answers (``answers.answer``) of questions (query, question)."""
         if self.chat is None:

@@ -142,15 +142,17 @@ def pair_scorer(texts: DataFrame, score: Callable[[list[tuple[str, str]]], list[
 REWRITE = "Write {n} short search queries that say this question in the formal words of a regulation; keep to the question and do not answer it. Reply as JSON: queries.\n\nQuestion: "
 
 
-def rewritten(questions: DataFrame, chat: Callable, n: int = 2, cache: DataFrame | None = None) -> DataFrame:
+def rewritten(questions: DataFrame, chat: Callable | None, n: int = 2, cache: DataFrame | None = None, ask: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(text, queries, fresh) of every distinct question text: at most ``n`` phrasings, from ``cache`` (text, queries) where it has the exact
-    text, else from the model. ``fresh`` rows are to be added to the cache; a failed call gives none and is not fresh."""
+    text, else from the model (``chat``, for a list of prompts, or ``ask``, a model stage). ``fresh`` rows are to be added to the cache; a failed call
+    gives none and is not fresh."""
     texts = questions.select("text").distinct()
     none = F.array().cast("array<string>")
     if cache is not None:
         known = texts.join(cache.select("text", "queries"), "text").select("text", "queries", F.lit(False).alias("fresh"))
         texts = texts.join(cache.select("text"), "text", "left_anti")
-    asked = complete(texts.withColumn("prompt", F.concat(F.lit(REWRITE.format(n=n)), F.col("text"))), chat)
+    prompted = texts.withColumn("prompt", F.concat(F.lit(REWRITE.format(n=n)), F.col("text")))
+    asked = ask(prompted) if ask else complete(prompted, chat)
     got = asked.select("text", F.slice(F.coalesce(X.parsed_queries(F.col("reply")), none), 1, n).alias("queries"), (F.col("status") == "ok").alias("fresh"))
     return got if cache is None else known.unionByName(got)
 

@@ -32,6 +32,12 @@ class Conflict(RuntimeError):
     """Others changed the collection again and again meanwhile."""
 
 
+def _hash(rows: DataFrame, names: list[str]) -> Column:
+    """A hash of some columns; maps, which have none, by what they hold. A column that is not there is null."""
+    kinds = dict(rows.dtypes)
+    return F.xxhash64(*(F.lit(None) if c not in kinds else F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(c) for c in names))
+
+
 class Collection:
     """Rows with a unique ``key`` under ``path``. ``buckets`` counts for a new collection only."""
 
@@ -125,7 +131,7 @@ class Collection:
     def upsert(self, rows: DataFrame) -> Manifest:
         """Adds the rows; a row takes the place of the stored one of its key. Of rows with one key, the one with the greatest hash is taken."""
         rest = [c for c in rows.columns if c != self.key]
-        one = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.xxhash64(*rest)).alias("r"))
+        one = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), _hash(rows, rest)).alias("r"))
         return self._add(one.select(self.key, *(F.col(f"r.{c}").alias(c) for c in rest)), F.lit(False))
 
     def changed(self, rows: DataFrame) -> DataFrame:
@@ -134,8 +140,8 @@ class Collection:
             return rows
         names = sorted(set(rows.columns) - {self.key})
         stored = self.read()
-        have = stored.select(F.col(self.key), F.xxhash64(*(F.col(c) if c in stored.columns else F.lit(None) for c in names)).alias("__have"))
-        return rows.withColumn("__want", F.xxhash64(*names)).join(have, self.key, "left").where(~F.col("__want").eqNullSafe(F.col("__have"))).drop("__want", "__have")
+        have = stored.select(F.col(self.key), _hash(stored, names).alias("__have"))
+        return rows.withColumn("__want", _hash(rows, names)).join(have, self.key, "left").where(~F.col("__want").eqNullSafe(F.col("__have"))).drop("__want", "__have")
 
     def delete(self, keys: DataFrame) -> Manifest:
         """Marks the keys (a column named as the key) as deleted."""
