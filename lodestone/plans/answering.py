@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.python import normal_form
 from ..operators import answers, chunk, evaluate, ingest, search, state, testset
+from ..engine import Engine, plain_documents
 from ..options import Options
+from ..service import Service
 from ..sources import shared, store, tables
 from . import catalogue as C
 from .catalogue import WITHOUT_SQL, register, table
@@ -138,6 +140,26 @@ def ask_cached(spark, sf_dir):
     return out.select("query", "answer", "found", "cached", F.col("tokens")["prompt"].alias("prompt_tokens"))
 
 
+@register(
+    f"""WITH r AS (SELECT conv_id * 1000 + turn AS query, trim(text) AS question, conv_id * 60 + turn AS tm, {_KEY} AS key, length(trim(text)) BETWEEN 3 AND 500 AS fine FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+f AS (SELECT key, arg_min(query, row(tm, query)) AS asker, arg_min(question, row(tm, query)) AS first FROM r WHERE fine GROUP BY key)
+SELECT query, CASE WHEN fine THEN 200 ELSE 422 END::BIGINT AS code, fine AND query <> asker AS cached, CASE WHEN fine THEN length(first) % 2 = 0 END AS found FROM r LEFT JOIN f USING (key)"""
+)
+def engine_ask(spark, sf_dir):
+    """All logged questions as one batch of the service over an index of the benchmark's items, each distinct one answered once."""
+    folder, o = shared.fresh_path(spark, "engine"), Options(mode="dense", rewriting=False, per_minute=0, final=2, cache_size=1_000_000)
+    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("benchmark").alias("source"))
+    engine = Engine.build(plain_documents(docs), folder, o)
+
+    def post(model: str, prompt: str) -> answers.Response:
+        even = len(prompt.rsplit("Question: ", 1)[1]) % 2 == 0
+        return answers.Response(200, json.dumps({"found": even, "answer": "It is so [1]." if even else "", "citations": [1]}))
+
+    requests = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"), F.col("text").alias("question"), F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")).alias("at"), F.col("conv_id").cast("string").alias("client"))
+    out = Service(engine, folder, lambda *_: post).serve(requests)
+    return out.select("query", F.col("code").cast("long").alias("code"), "cached", "found")
+
+
 @register(
     """WITH r AS (SELECT (event_id * 37) % 600 AS n, CASE WHEN user_id % 9 = 0 THEN value ELSE 0 END AS wait, CASE event_id % 4 WHEN 0 THEN 'quota' WHEN 1 THEN 'broken' ELSE 'ok' END AS status FROM events)
 SELECT CASE WHEN n NOT BETWEEN 3 AND 500 THEN 422 WHEN wait > 0 THEN 429 WHEN status = 'quota' THEN 503 WHEN status <> 'ok' THEN 502 ELSE 200 END::BIGINT AS code, count(*)::BIGINT AS n, max(CASE WHEN wait > 0 THEN floor(wait) + 1 END)::BIGINT AS longest FROM r GROUP BY ALL"""
