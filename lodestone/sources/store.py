@@ -6,6 +6,8 @@ chunks after every write, so that a search can trust the pair.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +159,46 @@ def append_log(rows: DataFrame, path: str, most_bytes: int = 5_000_000) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG).json(path)
+    """Rows of a log, those of ``append_log`` and those of a ``LogSink``."""
+    return spark.read.schema(LOG).option("recursiveFileLookup", "true").json(path)
+
+
+@dataclass(frozen=True)
+class LogSink:
+    """The request log as the sink of a stream: ``rows.writeStream.foreachBatch(LogSink(...))``, each row once, whatever is killed when.
+
+    A batch is written to a folder of its own number. The folders are the ledger: a batch that is whole in the log, or in the one that was turned over, is not written
+    again, and one that was cut off is written anew in place of what there is of it. With ``time``, rows that are more than ``late_s`` older than the latest of
+    all earlier batches go to ``<path>-late`` instead. ``query`` names the stream, as several may share a log."""
+
+    path: str
+    query: str = "stream"
+    most_bytes: int = 5_000_000
+    time: str | None = None
+    late_s: float = 600.0
+
+    def _whole(self, spark: SparkSession, name: str) -> bool:
+        return any(exists(spark, f"{log}/{name}/_SUCCESS") for log in (self.path, f"{self.path}.1"))
+
+    def _latest(self, spark: SparkSession, before: int) -> float | None:
+        """The latest time of the batches before this one."""
+        where = f"{self.path}-times"
+        found = spark.read.schema("batch long, latest double").option("recursiveFileLookup", "true").json(where) if exists(spark, where) else None
+        return found.where(F.col("batch") < before).agg(F.max("latest")).first()[0] if found is not None else None  # a row for each batch
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        spark, name = rows.sparkSession, f"{self.query}-{batch:012d}"
+        if self._whole(spark, name):
+            return
+        remove(spark, f"{self.path}/{name}")  # what there is of it
+        if size(spark, self.path) > self.most_bytes:
+            move(spark, self.path, f"{self.path}.1")
+        if self.time:
+            at, latest = F.unix_micros(F.col(self.time).cast("timestamp")) / 1e6, self._latest(spark, batch)
+            late = F.coalesce(at < F.lit(latest - self.late_s), F.lit(False)) if latest is not None else F.lit(False)
+            log_rows(rows.where(late)).write.mode("overwrite").json(f"{self.path}-late/{name}")
+            rows.agg(F.lit(batch).alias("batch"), F.max(at).alias("latest")).write.mode("overwrite").json(f"{self.path}-times/{name}")
+            rows = rows.where(~late)
+        log_rows(rows).write.mode("overwrite").json(f"{self.path}/{name}")
 
 
