@@ -10,6 +10,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import tables as table_functions
 from ..functions.python import normal_form
 from ..operators import answers, chunk, evaluate, ingest, search, state, testset
 from ..engine import Engine, plain_documents
@@ -382,7 +383,19 @@ def misquoted(spark, sf_dir):
     return testset.near_quotes(asked, paras).select("item", "doc_id", "seq", "exact")
 
 
-WITHOUT_SQL |= {f.__name__: f for f in (embedding_stage, generated_questions, misquoted)}
+def _kept_lines(spark, sf_dir):
+    """Every document's lines, forty to a page."""
+    lines = chunk.lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc", F.floor(F.col("seq") / 40 + 1).alias("page"), "seq", F.col("line").alias("text"))
+
+
+def paragraph_table(spark, sf_dir):
+    """Paragraphs of all documents by the table function, from SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT doc, seq, text, page_start, page_end, kind FROM paragraphs(TABLE(SELECT * FROM {lines}) PARTITION BY doc ORDER BY (page, seq))", lines=_kept_lines(spark, sf_dir))
+
+
+WITHOUT_SQL |= {f.__name__: f for f in (embedding_stage, generated_questions, misquoted, paragraph_table)}
 
 
 @register("SELECT doc_id::VARCHAR AS id, CASE WHEN toxic = 1 THEN 'q' || doc_id WHEN doc_id % 3 = 0 THEN 'done' ELSE 'plainly' END AS question FROM labels WHERE toxic = 1 OR doc_id % 3 = 0 OR doc_id % 5 <> 0")
