@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -83,6 +84,11 @@ def first_stage(index: retrieval.Index | None, vectors: DataFrame | None, questi
         raise ValueError(f"unknown mode {mode!r}; choose from {retrieval.MODES}")
     dense = retrieval.dense(vectors, questions, n) if mode != "bm25" else None
     words = retrieval.bm25_search(index, questions, n, "query", "text") if mode != "dense" else None
+    return first_of(dense, words, mode, n)
+
+
+def first_of(dense: DataFrame | None, words: DataFrame | None, mode: str, n: int) -> DataFrame:
+    """The first stage of a mode from its lists (query, doc, score, rank), each ``n`` deep."""
     if mode != "hybrid":
         return dense if mode == "dense" else words
     both = dense.withColumn("list_no", F.lit(0)).unionByName(words.withColumn("list_no", F.lit(1)))
@@ -91,13 +97,15 @@ def first_stage(index: retrieval.Index | None, vectors: DataFrame | None, questi
 
 def search(
     index: retrieval.Index | None, vectors: DataFrame | None, questions: DataFrame, mode: str = "hybrid", k: int | None = None, variants: DataFrame | None = None,
-    scorer: Callable[[DataFrame], DataFrame] | None = None, default: int = 5, deep: int = 30,
+    scorer: Callable[[DataFrame], DataFrame] | None = None, default: int = 5, deep: int = 30, first: Callable[[DataFrame, str, int], DataFrame] | None = None,
 ) -> DataFrame:
     """(query, doc, score, rank, first_stage_rank) of ``questions`` (query, text, vec).
 
     ``variants`` (query, variant from 1, text, vec) are other phrasings: question and phrasings go through one first stage, and each
     question's rankings are fused. ``scorer`` gets the candidates (query, doc, rank, text of the question itself) and gives (query,
-    doc, score); without one, scores are those of the first stage, or fused, and there is no first-stage rank."""
+    doc, score); without one, scores are those of the first stage, or fused, and there is no first-stage rank. ``first`` (questions, mode, n) stands for
+    ``first_stage`` where its lists are stored already."""
+    first = first or partial(first_stage, index, vectors)
     # how deep, is known before the plan is made: whether anything is to be fused or scored again
     many = variants is not None and not variants.isEmpty()
     n = retrieval.candidate_depth(k, default, scorer is not None, int(many), mode, deep)
@@ -105,13 +113,13 @@ def search(
     if many:
         asked = questions.select("query", F.lit(0).alias("variant"), *own).unionByName(variants.select("query", F.col("variant").cast("int").alias("variant"), *own))
         name = F.struct("query", "variant")  # one key for each phrasing
-        found = first_stage(index, vectors, asked.withColumn("key", name).select(F.col("key").alias("query"), *own), mode, n)
+        found = first(asked.withColumn("key", name).select(F.col("key").alias("query"), *own), mode, n)
         named = found.withColumnRenamed("query", "key").join(asked.select(name.alias("key"), "query", F.col("variant").alias("list_no")), "key")
         several = variants.select("query").distinct().withColumn("several", F.lit(True))
         rows = named.join(several, "query", "left")
         ranked = fused(rows.where("several"), ["query"], n).unionByName(rows.where("several IS NULL").select("query", "doc", "score", "rank"))
     else:
-        ranked = first_stage(index, vectors, questions, mode, n)
+        ranked = first(questions, mode, n)
     k = k or default
     if scorer is None:
         return ranked.where(F.col("rank") <= k).select("query", "doc", "score", "rank", F.lit(None).cast("int").alias("first_stage_rank"))

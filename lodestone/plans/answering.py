@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import tables as table_functions
 from ..functions.python import normal_form
-from ..operators import answers, chunk, evaluate, ingest, search, state, testset
+from ..operators import answers, chunk, evaluate, grid, ingest, search, state, testset
 from ..engine import Engine, plain_documents
 from ..options import Options
 from ..service import Service
@@ -383,6 +383,22 @@ def misquoted(spark, sf_dir):
     return testset.near_quotes(asked, paras).select("item", "doc_id", "seq", "exact")
 
 
+def eval_settings(spark, sf_dir):
+    """Mean scores of settings over all axes: every benchmark item asked for in its words and in their reverse order, in the chunks of all documents."""
+    docs = plain_documents(table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    evidence = F.array(F.struct(F.lit(None).cast("string").alias("doc_id"), F.col("text").alias("quote")))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("single").alias("kind"), evidence.alias("evidence"))
+    turned = items.withColumn("question", F.array_join(F.reverse(F.split("question", " ")), " "))
+
+    def first_half(questions):
+        words = F.split("text", " ")
+        return questions.select("text", F.array(F.array_join(F.slice(words, 1, F.ceil(F.size(words) / 2).cast("int")), " ")).alias("queries"))
+
+    made = grid.Grid(spark, shared.fresh_path(spark, "grid"), docs, {"original": items, "paraphrased": turned}, {"hashing": search.hashing_embedder(), "wide": search.hashing_embedder(128)}, rewrite=first_half, rewriter="first half")
+    wanted = grid.settings(mode=["hybrid", "bm25"]) + grid.settings(dataset=["paraphrased"], mode=["bm25"]) + grid.settings(rewrite=["yes"], rerank=["lexical"]) + grid.settings(strategy=["fixed"], mode=["dense"], embedding=["wide"])
+    return made.run(wanted).drop("ms_per_query")
+
+
 def _kept_lines(spark, sf_dir):
     """Every document's lines, forty to a page."""
     lines = chunk.lines(table(spark, sf_dir, "documents"))
@@ -395,7 +411,7 @@ def paragraph_table(spark, sf_dir):
     return spark.sql("SELECT doc, seq, text, page_start, page_end, kind FROM paragraphs(TABLE(SELECT * FROM {lines}) PARTITION BY doc ORDER BY (page, seq))", lines=_kept_lines(spark, sf_dir))
 
 
-WITHOUT_SQL |= {f.__name__: f for f in (embedding_stage, generated_questions, misquoted, paragraph_table)}
+WITHOUT_SQL |= {f.__name__: f for f in (embedding_stage, eval_settings, generated_questions, misquoted, paragraph_table)}
 
 
 @register("SELECT doc_id::VARCHAR AS id, CASE WHEN toxic = 1 THEN 'q' || doc_id WHEN doc_id % 3 = 0 THEN 'done' ELSE 'plainly' END AS question FROM labels WHERE toxic = 1 OR doc_id % 3 = 0 OR doc_id % 5 <> 0")
