@@ -115,8 +115,9 @@ class Grid:
 
     def _chunks(self, strategy: str) -> tuple[str, DataFrame]:
         mark = named(self._docs(), strategy, self.sizes)
-        made = lambda: chunk.chunk_document(self.docs, strategy, *self.sizes).withColumn("index_text", X.index_text(F.col("header"), F.col("text")))
-        return mark, self.stages.table("chunks", mark, made)
+        made = lambda: chunk.chunk_document(self.docs, strategy, *self.sizes).select("chunk_id", "doc_id", "header", "text")
+        stored = self.stages.table("chunks", mark, made)
+        return mark, stored.withColumn("index_text", X.index_text(F.col("header"), F.col("text")))  # what follows from the row is not stored
 
     def _keywords(self, strategy: str) -> tuple[str, retrieval.Index]:
         mark, chunks = self._chunks(strategy)
