@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import grams
 from lodestone.functions import python as P
 from lodestone.functions import text as X
 from lodestone.functions.grams import QuoteGrams
@@ -139,11 +140,16 @@ def test_strings_are_made_in_slices():
     assert out.to_pylist() == ["A", None] * 300 and P.in_slices(str, pa.array([], pa.string())).to_pylist() == []
 
 
-def test_lines_that_share_too_little_are_passed_over():
+def test_places_are_compared_only_where_enough_runs_meet(monkeypatch):
+    """The table of cells leaves out nothing, and unlike lines do not come to the comparison of places."""
     rng = random.Random(2)
     said = lambda n, letters="abcde ": "".join(rng.choice(letters) for _ in range(n))
-    index = QuoteGrams([said(40) for _ in range(30)])
-    texts = [said(rng.randrange(60)) for _ in range(200)] + [index.quotes[4], "x" + index.quotes[5][1:] + "y", "", "zz", said(80, "uvwxyz")]
-    worth = index.worth(texts)
-    assert all(worth[i] for i, t in enumerate(texts) if t and index.candidates(t)) and not worth[-3:].any() and worth[200:202].all()
-    assert QuoteGrams(["abc", *index.quotes]).worth(texts).all()
+    index = QuoteGrams([said(rng.randrange(4, 60)) for _ in range(60)] + ["aaaaaaaaaa", "abc"])
+    texts = [said(rng.randrange(120)) for _ in range(200)] + [said(20) + q[:9] + "x" + q[10:] + said(9) for q in index.quotes] + ["a" * 50, "", said(80, "uvwxyz")]
+    got = [sorted(index.candidates(t)) for t in texts]
+    monkeypatch.setattr(grams, "CELLS", 0)
+    assert got == [sorted(index.candidates(t)) for t in texts] and sum(map(len, got)) > 30
+    monkeypatch.setattr(grams, "CELLS", 2_000_000)
+    index = QuoteGrams([said(60) for _ in range(30)])
+    monkeypatch.setattr(grams.np, "unique", lambda *_, **__: pytest.fail("places were compared"))
+    assert index.candidates(said(80)) == []
